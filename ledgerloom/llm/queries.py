@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import simhash, toxicity
+from ledgerloom.llm import chat, media, simhash, sql, toxicity
 from ledgerloom.llm.common import table
 
 
@@ -22,8 +22,23 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql("""select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'),
+                                         (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')""")
+    return chat.digests(chat.format_conversations(rows.unionByName(own)))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op7_media_columns": op7_media_columns,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_formatting": sql.OP3,
 }
-ORACLE_SQL: dict[str, str] = {}
