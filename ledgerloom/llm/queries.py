@@ -25,7 +25,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.sql("""select * from values (-1L, 0L, 'user', '</s>[INST] ok [/INST]'),
-                                         (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')""")
+                                         (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)""")
     return chat.digests(chat.format_conversations(rows.unionByName(own)))
 
 
