@@ -11,9 +11,9 @@ Model
 Fit
     On a bounded sample of labelled rows: the ``max_fit_rows`` labelled training
     rows with the smallest hash of their id.  Executors turn the sampled texts
-    (whole, never prefixes) into counts; the driver receives at most
-    ``max_fit_rows`` sparse vectors and runs a fixed number of full-batch steps,
-    so the fit is deterministic.
+    (whole, never prefixes) into counts; one executor task takes these, at most
+    ``max_fit_rows`` sparse vectors, and runs a fixed number of full-batch steps,
+    so the fit is deterministic and the driver receives the weights alone.
 
 Scoring
     One Arrow pass over all rows; no shuffle.  The weight table (``2**BITS``
@@ -169,12 +169,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = votes.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit("fit")), "_id").limit(max_fit_rows)
     # Bounded by max_fit_rows, so it may be broadcast at any input size.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").mapInArrow(_count_batches, "_id string, label int, buckets binary, counts binary").toArrow()
-    table = rows.sort_by([("_id", "ascending")])
-    return fit_counts([
-        (np.frombuffer(b, np.int32), np.frombuffer(c, np.int32), y)
-        for b, c, y in zip(*(table.column(k).to_pylist() for k in ("buckets", "counts", "label")), strict=True)
+    rows = texts.join(F.broadcast(chosen), "_id").mapInArrow(_count_batches, "_id string, label int, buckets binary, counts binary")
+    # One executor task fits on the bounded sample; the driver gets the weights alone.
+    fitted = rows.groupBy().applyInArrow(_fit_table, "weights binary, bias double").first()
+    if fitted is None:
+        return fit_counts([])
+    return Model(np.frombuffer(fitted["weights"], np.float32), fitted["bias"])
+
+
+def _fit_table(group: pa.Table) -> pa.Table:
+    group = group.sort_by([("_id", "ascending")])
+    model = fit_counts([
+        (np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(c.as_buffer(), np.int32), y.as_py())
+        for b, c, y in zip(*(group.column(k) for k in ("buckets", "counts", "label")), strict=True)
     ])
+    return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
