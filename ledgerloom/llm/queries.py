@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, media, mixing, packing, simhash, sql, substrings, toxicity
+from ledgerloom.llm import chat, media, mixing, packing, simhash, sql, substrings, topk, toxicity, urls
 from ledgerloom.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(own)))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.self_search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_url_filters": op4_url_filters,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_media_columns": op7_media_columns,
     "op8_mixing": op8_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
@@ -56,4 +66,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": sql.OP3,
+    "op4_url_filters": sql.OP4,
+    "op6_exact_top_k": sql.OP6,
 }

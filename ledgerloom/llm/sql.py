@@ -23,3 +23,87 @@ select conv_id, count(*) as n_turns,
   sum(chars)::bigint as formatted_chars
 from sized group by conv_id
 """
+
+
+def _op4_level(level: int) -> str:
+    node = ", ".join(["host", *(f"g{k}" for k in range(1, level))])
+    before = "counts" if level == 1 else f"level{level - 1}"
+    return f"""
+children{level} as (
+  select {node}, s{level}, sum(pages) as pages, sum(allowed) as allowed, sum(blocked) as blocked from {before} group by all
+), nodes{level} as (
+  select {node}, count(*) as kids, sum(pages) as node_pages, sum(allowed) as node_allowed, sum(blocked) as node_blocked
+  from children{level} group by all
+), rates{level} as (
+  select *, (node_blocked + 1)::double / (node_allowed + node_blocked + 2)::double as rate, (allowed + blocked)::double as labelled
+  from children{level} join nodes{level} using ({node})
+), named{level} as (
+  select {node}, s{level},
+    case when s{level} = '' then ''
+         when kids > 8 and pages * 8 < node_pages or abs(blocked::double - labelled * rate) <= 2.0 * sqrt(labelled * rate * (1.0 - rate)) then '*'
+         else s{level} end as g{level}
+  from rates{level}
+), level{level} as (
+  select * from {before} join named{level} using ({node}, s{level})
+)"""
+
+
+#: The same tree, level by level.
+OP4 = r"""
+with rest as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages
+), hosts as (
+  select page_id, coalesce(r, '') as r, regexp_extract(coalesce(r, ''), '^[^/?#]*') as h from rest
+), parsed as (
+  select page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(r, length(h) + 1), '^[^?#]*') as path
+  from hosts
+), ruled as (
+  select *,
+    case when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+         when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+         when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+         when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+         when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule,
+    list_filter(string_split(path, '/'), lambda s: s <> '') as parts
+  from parsed
+), urls as (
+  select page_id, host, path, rule,
+    case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as said,
+    coalesce(regexp_replace(parts[1], '[0-9]+', '#', 'g'), '') as s1,
+    coalesce(regexp_replace(parts[2], '[0-9]+', '#', 'g'), '') as s2,
+    coalesce(regexp_replace(parts[3], '[0-9]+', '#', 'g'), '') || case when len(parts) > 3 then '/**' else '' end as s3
+  from ruled
+), counts as (
+  select host, s1, s2, s3, count(*) as pages, count(*) filter (said = 'allow') as allowed, count(*) filter (said = 'block') as blocked
+  from urls group by all
+), """ + ", ".join(_op4_level(k) for k in (1, 2, 3)) + r""", templates as (
+  select host, g1, g2, g3, sum(allowed)::double as allowed, sum(blocked)::double as blocked from level3 group by all
+), by_host as (
+  select host, sum(allowed) as a, sum(blocked) as b from templates group by host
+), base as (
+  select (coalesce(sum(a), 0) + 1.0::double) / (coalesce(sum(a), 0) + coalesce(sum(b), 0) + 2.0::double) as base from by_host
+), host_purity as (
+  select host, (a + 2.0::double * base) / (a + b + 2.0::double) as purity from by_host, base
+), judged as (
+  select t.*, (allowed + 2.0::double * purity) / (allowed + blocked + 2.0::double) as pure from templates t join host_purity using (host)
+)
+select page_id, host, path, rule,
+  coalesce(said, case when pure >= 0.5 then 'allow' else 'block' end) as verdict,
+  host || case when g1 = '' then '' else '/' || g1 end || case when g2 = '' then '' else '/' || g2 end
+       || case when g3 = '' then '' else '/' || g3 end as template
+from urls left join (select host, s1, s2, s3, g1, g2, g3, pure from level3 join judged using (host, g1, g2, g3)) using (host, s1, s2, s3)
+"""
+
+#: Brute force over all pairs of a query and a candidate.
+OP6 = r"""
+with fine as (
+  select vec_id, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from fine q join fine c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= 5
+"""
