@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, media, mixing, packing, simhash, sql, substrings, topk, toxicity, urls
+from ledgerloom.llm import chat, lines, media, mixing, packing, simhash, sql, substrings, topk, toxicity, urls
 from ledgerloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.self_search(table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_url_filters": op4_url_filters,
+    "op5_line_dedup": op5_line_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_media_columns": op7_media_columns,
     "op8_mixing": op8_mixing,
@@ -67,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": sql.OP3,
     "op4_url_filters": sql.OP4,
+    "op5_line_dedup": sql.OP5,
     "op6_exact_top_k": sql.OP6,
 }

@@ -107,3 +107,41 @@ with fine as (
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
 from scored qualify rank <= 5
 """
+
+#: All windows of up to ten non-blank lines with ten words or more, by their text.
+OP5 = r"""
+with split as (
+  select doc_id, text, string_split(text, chr(10)) as parts from documents
+), lines as (
+  select doc_id, unnest(parts) as line, unnest(range(len(parts))) as ln from split
+), counted as (
+  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from lines
+), filled as (
+  select *, row_number() over (partition by doc_id order by ln) as t from counted where words > 0
+), windows as (
+  select f.doc_id, f.t, s.n,
+    sha256(string_agg(g.line, chr(10) order by g.t)) as body, min(g.ln) as first_line, max(g.ln) as last_line, sum(g.words) as words, count(*) as have
+  from filled f, (select unnest(range(1, 11)) as n) s, filled g
+  where g.doc_id = f.doc_id and g.t between f.t and f.t + s.n - 1
+  group by all
+), fit as (
+  select *, row_number() over (partition by n, body order by doc_id, t) as copy from windows where have = n and words >= 10
+), later as (
+  select doc_id, t, n from fit where copy > 1
+), gone_lines as (
+  select distinct f.doc_id, f.t, f.ln from filled f join later l on f.doc_id = l.doc_id and f.t between l.t and l.t + l.n - 1
+), islands as (
+  select *, t - row_number() over (partition by doc_id order by t) as island from gone_lines
+), runs as (
+  select doc_id, min(ln) as a, max(ln) as b from islands group by doc_id, island
+), gone as (
+  select distinct c.doc_id, c.ln from counted c join runs r on c.doc_id = r.doc_id and c.ln between r.a and r.b
+), per_doc as (
+  select c.doc_id, count(*) as n_lines, count(g.ln) as n_removed,
+    sha256(coalesce(string_agg(c.line, chr(10) order by c.ln) filter (g.ln is null), '')) as kept_sha256
+  from counted c left join gone g using (doc_id, ln) group by c.doc_id
+)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+  (select count(*) from runs r where r.doc_id = d.doc_id) as n_runs, coalesce(kept_sha256, sha256('')) as kept_sha256
+from documents d left join per_doc using (doc_id)
+"""
