@@ -46,8 +46,10 @@ def read_catalog(spark: SparkSession, root: str, tags: Tags = Tags()) -> tuple[D
     The folder's files are few and small; one scan lists and parses all of them.
     """
     folder = os.path.join(os.path.realpath(root), tags.state_dir)
+    flows = os.path.join(folder, "workflows")
+    names = [os.path.join("workflows", n) for n in sorted(os.listdir(flows)) if n.endswith(".yaml")] if os.path.isdir(flows) else []
     files = []
-    for name in ("features.yaml", *(os.path.join("workflows", n) for n in sorted(os.listdir(os.path.join(folder, "workflows"))) if n.endswith(".yaml")) if os.path.isdir(os.path.join(folder, "workflows")) else ()):
+    for name in ["features.yaml", *names]:
         if os.path.isfile(os.path.join(folder, name)):
             with open(os.path.join(folder, name), "rb") as handle:
                 files.append((name, handle.read()))
