@@ -38,6 +38,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.llm.common import written
+
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 DEPTH = 3
 FANOUT = 8
@@ -91,7 +93,8 @@ def _level(counts: DataFrame, level: int) -> DataFrame:
     alike = F.abs(F.col("blocked") - labelled * rate) <= Z * F.sqrt(labelled * rate * (1.0 - rate))
     general = F.when(F.col(shape) == "", "").when(variable | alike, "*").otherwise(F.col(shape))
     named = children.join(nodes, node).select(*node, shape, general.alias(f"g{level}"))
-    return counts.join(named, [*node, shape])
+    # Each level reads the one before three times: written, the plan stays as long as one level.
+    return written(counts.join(named, [*node, shape]), "url-counts")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -103,6 +106,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col:
     shapes = [f"s{k}" for k in range(1, DEPTH + 1)]
     counts = urls.groupBy("host", *shapes).agg(
         F.count("*").alias("pages"), F.count_if(F.col("said") == "allow").alias("allowed"), F.count_if(F.col("said") == "block").alias("blocked"))
+    counts = written(counts, "url-counts")
     for level in range(1, DEPTH + 1):
         counts = _level(counts, level)
     general = [f"g{k}" for k in range(1, DEPTH + 1)]
