@@ -28,6 +28,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from ledgerloom.llm.common import written
 CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 100_000
-#: Words kept by one worker; the cache is emptied when it is full.
-CACHE_WORDS = 1_000_000
+#: Words that one worker keeps; when full, it keeps those it met first, which are mostly the common ones.
+CACHE_WORDS, CACHE_KEPT = 400_000, 100_000
 _MARK, _MARK_ID = "<|endoftext|>", 49407
 #: A stop after a letter is a token of its own, so it may be split from the word.
 _STOP = re.compile(r"(?<=[^\W\d_])(?=[.,](?:\s|\Z))")
@@ -84,8 +85,8 @@ class Encoder:
         new = [w for w in dict.fromkeys(words) if w not in self.words]
         if new:
             if len(self.words) + len(new) > CACHE_WORDS:
-                self.words.clear()
-                new = list(dict.fromkeys(words))
+                self.words = dict(islice(self.words.items(), CACHE_KEPT))
+                new = [w for w in dict.fromkeys(words) if w not in self.words]
             self._learn(new)
         return b"".join(map(self.words.__getitem__, words))
 

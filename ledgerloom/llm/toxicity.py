@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 ORDERS = (3, 4, 5)
 BITS = 18
 #: Documented bound of the fit: labelled rows used for it.
-MAX_FIT_ROWS = 3000
+MAX_FIT_ROWS = 5000
 _STEPS = 80
 #: Buckets with a smaller absolute log-count ratio carry no weight.
 _LEAST_RATIO = 1.0
@@ -124,22 +124,19 @@ def fit_counts(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     if not len(rows) or positive in (0, len(rows)):
         share = np.clip((positive + 0.5) / (len(rows) + 1), 1e-6, 1 - 1e-6)
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    ids = np.concatenate([i for i, *_ in rows]).astype(np.int64)
-    number = np.array([len(i) for i, *_ in rows])
-    counts = np.concatenate([c for _, c, _ in rows]).astype(np.float64)
-    of_row = np.repeat(np.arange(len(rows)), number)
-    totals = np.maximum(_sums(counts, number), 1)
-    toxic = labels[of_row] == 1
-
     # Log-count ratios from document frequencies: a bucket of one long text says little.
-    have = [np.bincount(ids[m], minlength=size) for m in (toxic, ~toxic)]
-    ratio = np.log((have[0] + 0.5) / (positive + 1)) - np.log((have[1] + 0.5) / (len(rows) - positive + 1))
-    ratio[(have[0] + have[1] < 3) | (np.abs(ratio) < _LEAST_RATIO)] = 0.0
-
-    telling = ratio[ids] != 0
-    number = _sums(telling, number).astype(np.int64)
-    ids, counts, of_row = ids[telling], counts[telling], of_row[telling]
-    values = counts / totals[of_row] * ratio[ids]
+    have = np.zeros((2, size))
+    for buckets, _, label in rows:
+        have[label, buckets] += 1
+    ratio = np.log((have[1] + 0.5) / (positive + 1)) - np.log((have[0] + 0.5) / (len(rows) - positive + 1))
+    ratio[(have.sum(axis=0) < 3) | (np.abs(ratio) < _LEAST_RATIO)] = 0.0
+
+    kept = [(b[t], c[t] / max(1, c.sum()) * ratio[b[t]]) for b, c, _ in rows for t in [ratio[b] != 0]]
+    ids = np.concatenate([b for b, _ in kept])
+    values = np.concatenate([v for _, v in kept])
+    number = np.array([len(b) for b, _ in kept])
+    of_row = np.repeat(np.arange(len(rows), dtype=np.int32), number)
+
     norm = np.sqrt(np.mean(_sums(values * values, number))) or 1.0
     values /= norm
     weight, bias = np.zeros(size), 0.0
@@ -178,11 +175,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _fit_table(group: pa.Table) -> pa.Table:
-    group = group.sort_by([("_id", "ascending")])
-    model = fit_counts([
+    rows = [
         (np.frombuffer(b.as_buffer(), np.int32), np.frombuffer(c.as_buffer(), np.int32), y.as_py())
         for b, c, y in zip(*(group.column(k) for k in ("buckets", "counts", "label")), strict=True)
-    ])
+    ]
+    ids = group.column("_id").to_pylist()
+    model = fit_counts([rows[k] for k in sorted(range(len(rows)), key=lambda k: (ids[k], rows[k][0].tobytes()))])
     return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": [model.bias]})
 
 
