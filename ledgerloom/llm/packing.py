@@ -171,7 +171,7 @@ def _pack_group(capacity: int, last: bool):
         loose = np.zeros(made, bool)
         if not last and made > least_bins(lengths, capacity):
             # Enough of the loosest bins that their pieces can be arranged anew.
-            order = np.lexsort((np.arange(made), fills))[: max(64, made // 20)]
+            order = np.lexsort((np.arange(made), fills))[: max(64, made // 8)]
             loose[order[fills[order] < capacity]] = True
         group = group.set_column(group.column_names.index("_bin"), "_bin", pa.array(bins))
         group = group.set_column(group.column_names.index("_offset"), "_offset", pa.array(offsets))
