@@ -45,7 +45,7 @@ _BUCKETS = 64
 
 
 def fill(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each size to take so that the sum comes nearest ``budget`` from below."""
+    """How many of each size to take so that the sum comes nearest ``budget``."""
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if total <= budget or not total:
         return list(counts)
@@ -62,27 +62,46 @@ def fill(sizes: list[int], counts: list[int], budget: int) -> list[int]:
                 rest -= sizes[i]
         if rest <= EXACT or rest == before:
             break
-    # Bounded knapsack: bit b of a row says that the items so far can sum to b.
-    mask, rows, items = (1 << rest + 1) - 1, [1], []
-    for i in reversed(order):
-        size, free = sizes[i], counts[i] - taken[i]
-        if not 0 < size <= rest:
+    free = [c - t for c, t in zip(counts, taken, strict=True)]
+    chosen, total = _nearest(sizes, free, rest, rest)
+    if total < rest:  # a sum above the budget may be nearer
+        chosen, total = _nearest(sizes, free, rest, 2 * rest - total - 1)
+    gap = abs(total - rest)
+    if gap and budget <= 4 * EXACT:  # a small source: without the share of each length a nearer sum may do
+        other, total = _nearest(sizes, counts, budget, budget + gap)
+        if abs(total - budget) < gap:
+            return other
+    return [t + n for t, n in zip(taken, chosen, strict=True)]
+
+
+def _nearest(sizes: list[int], counts: list[int], wanted: int, most: int) -> tuple[list[int], int]:
+    """Bounded knapsack: how many of each size make the sum nearest ``wanted`` among those up to ``most``, and the sum.
+
+    Of two sums as near the smaller one is chosen.
+    """
+    mask, rows, items = (1 << most + 1) - 1, [1], []  # bit b of a row: the items so far can sum to b
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
+        if not 0 < sizes[i] <= most:
             continue
-        free, step = min(free, rest // size), 1
-        while free and not rows[-1] >> rest & 1:
+        free, step = min(counts[i], most // sizes[i]), 1
+        while free and not rows[-1] >> wanted & 1:
             step = min(step, free)
-            rows.append((rows[-1] | rows[-1] << size * step) & mask)
+            rows.append((rows[-1] | rows[-1] << sizes[i] * step) & mask)
             items.append((i, step))
             free -= step
             step *= 2
-        if rows[-1] >> rest & 1:
+        if rows[-1] >> wanted & 1:
             break
-    at = rows[-1].bit_length() - 1
+    below = (rows[-1] & (1 << wanted + 1) - 1).bit_length() - 1
+    above = rows[-1] >> wanted
+    above = wanted + (above & -above).bit_length() - 1 if above else 2 * wanted + 1
+    total = at = below if wanted - below <= above - wanted else above
+    taken = [0] * len(sizes)
     for (i, step), row in zip(reversed(items), reversed(rows[:-1]), strict=True):
         if not row >> at & 1:
             at -= sizes[i] * step
             taken[i] += step
-    return taken
+    return taken, total
 
 
 def _plan_source(group: pa.Table) -> pa.Table:
