@@ -22,8 +22,13 @@ class Limits:
 
 def complexity_of(node: ast.AST) -> int:
     """Cyclomatic complexity, nested definitions included."""
-    forks = sum(isinstance(n, _FORKS) for n in ast.walk(node))
-    return 1 + forks + sum(len(n.values) - 1 for n in ast.walk(node) if isinstance(n, ast.BoolOp))
+    total = 1
+    for part in ast.walk(node):
+        if isinstance(part, _FORKS):
+            total += 1
+        elif isinstance(part, ast.BoolOp):
+            total += len(part.values) - 1
+    return total
 
 
 def findings_of(text: str | None, limits: Limits) -> Iterator[tuple]:
