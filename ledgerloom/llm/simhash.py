@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import removed, written
+from ledgerloom.llm.common import written
 from ledgerloom.llm.components import components
 
 SHINGLE = 4
@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = hung.join(nodes, hung.node == nodes.fp).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that the join by a hot fingerprint has two plain sides and can be split.
+    labels = written(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "labels")
     return rows.join(labels, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
