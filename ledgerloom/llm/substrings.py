@@ -55,11 +55,11 @@ from ledgerloom.llm.common import written
 LENGTH = 50
 GRAM = 20
 MOST = 31
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 32 << 20
 #: Documents from which the splitters are sampled.
 SAMPLE_DOCS = 400
 _SEGMENT = 1 << 20
-_EMIT = 24 << 20
+_EMIT = 16 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
@@ -414,7 +414,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     touched = texts.join(spans.hint("shuffle_hash"), ["doc_id", "key"]).mapInArrow(
         _kept_batches(False), "doc_id long, key long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "key"])
 
-    first = info.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"))
+    # Written, so that the join by a hot text has two plain sides and can be split.
+    first = written(info.where("doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first")), "first")
     named = info.join(first, "sha", "left")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= length), F.lit(False))
     result = named.withColumn("copy", copy).join(touched, ["doc_id", "key"], "left")
