@@ -24,8 +24,8 @@ Edge cases
     * repeated rows are documents of their own; which of equal rows is taken does
       not matter;
     * a source of size 0 has target 0; no source at all: an empty result;
-    * extra columns are kept by :func:`mix` (``times`` is replaced) and dropped by
-      :func:`mixture`.
+    * extra columns are kept by :func:`mix` and :func:`mixed`, but one named like a
+      result (``times, size, source_size, target``) is replaced; :func:`mixture` drops them.
 """
 
 from __future__ import annotations
