@@ -18,7 +18,8 @@ Edge cases
     * null or empty text: the end id alone;
     * repeated rows are packed once each; ties by length go by id and piece;
     * null ids are packed like others;
-    * extra columns are dropped by :func:`token_pieces` and kept by :func:`pack`;
+    * extra columns are dropped by :func:`token_pieces` and kept by :func:`pack`, but
+      one named ``sequence_id`` or ``offset`` is replaced;
     * an empty table gives an empty result.
 """
 
@@ -40,7 +41,7 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 100_000
 #: Words that one worker keeps; when full, it keeps those it met first, which are mostly the common ones.
-CACHE_WORDS, CACHE_KEPT = 400_000, 100_000
+CACHE_WORDS, CACHE_KEPT = 600_000, 200_000
 _MARK, _MARK_ID = "<|endoftext|>", 49407
 #: A stop after a letter is a token of its own, so it may be split from the word.
 _STOP = re.compile(r"(?<=[^\W\d_])(?=[.,](?:\s|\Z))")
