@@ -37,6 +37,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the floor of ten words: later copies of every repeated run of non-blank lines."""
+    return lines.line_report(table(spark, sf_dir, "documents"), min_words=1)
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.self_search(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_url_filters": op4_url_filters,
     "op5_line_dedup": op5_line_dedup,
+    "op5_line_dedup_whole": op5_line_dedup_whole,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_media_columns": op7_media_columns,
     "op8_mixing": op8_mixing,
@@ -73,5 +79,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": sql.OP3,
     "op4_url_filters": sql.OP4,
     "op5_line_dedup": sql.OP5,
+    "op5_line_dedup_whole": sql.OP5_WHOLE,
     "op6_exact_top_k": sql.OP6,
 }

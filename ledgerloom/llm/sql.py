@@ -145,3 +145,26 @@ select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_remo
   (select count(*) from runs r where r.doc_id = d.doc_id) as n_runs, coalesce(kept_sha256, sha256('')) as kept_sha256
 from documents d left join per_doc using (doc_id)
 """
+
+#: The same without the floor: a repeated run is a row of repeated lines, so single lines tell.
+OP5_WHOLE = r"""
+with counted as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as ln from documents
+), filled as (
+  select *, row_number() over (partition by doc_id order by ln) as t, row_number() over (partition by line order by doc_id, ln) as copy
+  from counted where regexp_matches(line, '[^\x20\x09-\x0D]')
+), islands as (
+  select doc_id, ln, t - row_number() over (partition by doc_id order by t) as island from filled where copy > 1
+), runs as (
+  select doc_id, min(ln) as a, max(ln) as b from islands group by doc_id, island
+), gone as (
+  select c.doc_id, c.ln from counted c join runs r on c.doc_id = r.doc_id and c.ln between r.a and r.b
+), per_doc as (
+  select c.doc_id, count(*) as n_lines, count(g.ln) as n_removed,
+    sha256(coalesce(string_agg(c.line, chr(10) order by c.ln) filter (g.ln is null), '')) as kept_sha256
+  from counted c left join gone g using (doc_id, ln) group by c.doc_id
+)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed,
+  (select count(*) from runs r where r.doc_id = d.doc_id) as n_runs, coalesce(kept_sha256, sha256('')) as kept_sha256
+from documents d left join per_doc using (doc_id)
+"""
