@@ -4,7 +4,8 @@ Tokens
     A document is its tokenizer ids, then one end id.  Only documents longer than
     the capacity are cut, into full pieces and a rest.  Words are encoded once per
     worker and kept in a bounded cache; the tokenizer itself drops white space, so
-    the ids of a text are those of its words in order.
+    the ids of a text are those of its words in order.  Its white space is that of
+    ``str.split`` but for U+001C to U+001F, which are text to it.
 
 Packing
     Pieces are dealt into groups of about ``GROUP_ROWS``; each group is packed by
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -43,8 +45,35 @@ GROUP_ROWS = 100_000
 #: Words that one worker keeps; when full, it keeps those it met first, which are mostly the common ones.
 CACHE_WORDS, CACHE_KEPT = 600_000, 200_000
 _MARK, _MARK_ID = "<|endoftext|>", 49407
-#: A stop after a letter is a token of its own, so it may be split from the word.
-_STOP = re.compile(r"(?<=[^\W\d_])(?=[.,](?:\s|\Z))")
+
+
+def _plain_letters() -> str:
+    """The letters, as the inside of a regex class, that NFC keeps and lower-casing makes one letter of."""
+    ranges: list[list[int]] = []
+    for point in range(0xD800):
+        c = chr(point)
+        low = c.lower()
+        # Letters of an old Unicode are letters to every tokenizer.
+        if c.isalpha() and len(low) == 1 and unicodedata.ucd_3_2_0.category(c)[0] == "L" and unicodedata.normalize("NFC", c + low) == c + low:
+            if ranges and ranges[-1][1] == point - 1:
+                ranges[-1][1] = point
+            else:
+                ranges.append([point, point])
+    return "".join(f"\\u{first:04x}-\\u{last:04x}" for first, last in ranges)
+
+
+#: A stop after a letter is a token of its own, so it may be split from the word; but NFC and lower-casing
+#: make a letter and a mark of some letters, and that mark and the stop are one token.
+_STOP = re.compile(rf"[.,](?<=[{_plain_letters()}][.,])(?=\s|\Z)")
+#: ``str.split`` drops these, the tokenizer does not.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_WORDS = re.compile(rf"[\S{_SEPARATORS}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The parts of a text that can be encoded on their own."""
+    text = _STOP.sub(r" \g<0>", text)
+    return _WORDS.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
 
 
 class Encoder:
@@ -82,7 +111,7 @@ class Encoder:
                 self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode(self, text: str) -> bytes:
-        words = _STOP.sub(" ", text).split()
+        words = words_of(text)
         new = [w for w in dict.fromkeys(words) if w not in self.words]
         if new:
             if len(self.words) + len(new) > CACHE_WORDS:

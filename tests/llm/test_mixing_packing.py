@@ -102,6 +102,20 @@ def test_pieces_have_the_tokenizers_ids(spark):
         assert all(p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes()) for p in parts)
 
 
+@pytest.mark.parametrize("pattern", ["ab{}cd", "ab {}. x", "a{}, {}", "ab.{}x,{}"])
+def test_every_character_has_the_tokenizers_ids(pattern):
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    points = [*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)]
+    for at in range(0, len(points), 8192):
+        texts = [pattern.replace("{}", chr(c)) for c in points[at : at + 8192]]
+        want = tokenizer.encode_batch(texts, add_special_tokens=False)
+        wrong = [t for t, w in zip(texts, want, strict=True) if encoder.encode(t) != np.array(w.ids, "<u4").tobytes()]
+        assert not wrong, wrong[:5]
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(20)]
