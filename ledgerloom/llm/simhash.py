@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ledgerloom.llm.common import written
 from ledgerloom.llm.components import components
@@ -82,6 +83,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
+def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "_fp"])
+
+
 def _flips(bits: int, most: int) -> np.ndarray:
     """All masks of ``bits`` bits with at most ``most`` set, as uint64."""
     every = [sum(1 << i for i in c) for k in range(most + 1) for c in combinations(range(bits), k)]
@@ -158,26 +165,33 @@ def links(prints: DataFrame, count: int) -> DataFrame:
     return dealt.groupBy("prefix").applyInArrow(_prefix_forest(bits), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+def _grouped(rows: DataFrame) -> DataFrame:
+    """``rows (doc_id, fp)`` with ``root``, the component's name, and ``component_id``, its smallest id."""
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     hung = written(components(links(nodes.select("fp"), nodes.count())), "roots")
     linked = hung.join(nodes, hung.node == nodes.fp).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    named = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
+    named = linked.join(least, "root").select(F.col("node").alias("fp"), "root", "least")
     # Written, so that the join by a hot fingerprint has two plain sides and can be split.
-    labels = written(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "labels")
-    return rows.join(labels, "fp", "left").select(
+    labels = written(nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id")), "labels")
+    return rows.join(labels, "fp", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
+    return _grouped(written(fingerprints(docs, id_col, text_col), "fingerprints")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is its group's smallest; rows with a null id are kept.
+    """One row of each group, with its smallest id; rows with a null id are kept.
 
-    Repeated rows of an id: one stays.
+    Rows of an id with texts of different groups are chosen apart; of one group's rows
+    with that id, one with the smallest fingerprint stays.
     """
-    groups = near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.join(first, known.doc_id == first._kept, "left_semi").unionByName(docs.where("doc_id is null"))
+    marked = written(docs.mapInArrow(_marked_batches, StructType([*docs.schema.fields, StructField("_fp", LongType())])), "marked")
+    groups = _grouped(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")))
+    first = groups.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("_kept"), F.min("fp").alias("_print"))
+    known = marked.where("doc_id is not null").dropDuplicates(["doc_id", "_fp"])
+    kept = known.join(first, (known.doc_id == first._kept) & (known._fp == first._print), "left_semi")
+    return kept.unionByName(marked.where("doc_id is null")).select(*docs.columns)

@@ -58,6 +58,14 @@ def test_groups_equal_brute_force(spark):
     assert kept.columns == docs.columns
 
 
+def test_rows_of_an_id_in_different_groups_all_stay(spark):
+    alone = [" ".join(f"{k}x{j}" for j in range(40)) for k in range(6)]
+    rows = [(1, alone[0]), (2, alone[0]), (2, alone[1]), (2, alone[2]), (2, alone[2]), (3, alone[2]), (3, alone[3]), (None, alone[4])]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, alone[0]), (2, alone[1]), (2, alone[2]), (3, alone[3]), (None, alone[4])]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_prefix_links_find_all_pairs():
     rng = np.random.default_rng(2)
     seeds = rng.integers(0, 2**63, 40, dtype=np.uint64)
