@@ -20,7 +20,8 @@ Edge cases
     * components too large for exact doubles are multiplied as integers; scores beyond
       the range of a long saturate;
     * fewer than k other vectors: all of them are returned;
-    * repeated rows of an id are candidates of their own, a query is answered once;
+    * repeated rows are candidates of their own; a query is an id with its vector, so
+      repeated rows of both are answered once and an id's different vectors each;
     * extra columns are ignored, an empty table gives an empty result.
 """
 
@@ -93,7 +94,7 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query id, vector id, score)`` of each query's best ``k`` in the block, its own id left out."""
+    """``(place of the query, vector id, score)`` of each query's best ``k`` in the block, its own id left out."""
     large = np.abs(vectors.astype(float)).max(initial=0) * np.abs(queries.astype(float)).max(initial=0) * vectors.shape[1] >= 2**53
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
@@ -102,7 +103,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     starts = np.searchsorted(kind[by_kind], np.arange(len(first) + 1))
     lists = Lists(vectors[first], bool(large))
     found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
-    for query_id, query in zip(query_ids, queries):
+    for place, (query_id, query) in enumerate(zip(query_ids, queries, strict=True)):
         kinds, scores = lists.search(query, k + 1)
         if len(scores) > k + 1:
             least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
@@ -112,20 +113,21 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         everyone = np.concatenate(members)
         marks = np.repeat(scores, [len(m) for m in members])
         top = np.lexsort((everyone, -marks))[:k]
-        found.append((np.full(len(top), query_id), everyone[top], marks[top]))
+        found.append((np.full(len(top), place), everyone[top], marks[top]))
     a, b, c = zip(*found)
     return np.concatenate(a), np.concatenate(b), np.concatenate(c)
 
 
 def _block_search(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        names = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+        names = {"query_id": pa.int64(), "query": pa.string(), "vec_id": pa.int64(), "score": pa.int64()}
         if not vectors.num_rows or not queries.num_rows:
             return pa.table({n: pa.array([], t) for n, t in names.items()})
         width = max(max(len(v) for v in t.column("vector")) for t in (vectors, queries)) or 1
-        got = search_block(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("vector"), width),
-                           queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"), width), k)
-        return pa.table({n: pa.array(v, t) for (n, t), v in zip(names.items(), got, strict=True)})
+        place, *got = search_block(vectors.column("vec_id").to_numpy(), _matrix(vectors.column("vector"), width),
+                                   queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"), width), k)
+        asked = queries.select(["vec_id", "query"]).take(pa.array(place))
+        return pa.table([*asked.columns, *got], schema=pa.schema(names))
 
     return run
 
@@ -143,16 +145,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both have columns ``vec_id`` and ``vector`` (as :func:`quantised` makes them).
     """
-    queries = queries.dropDuplicates(["vec_id"])
+    # A query is an id and its vector: copies of a row are one, an id's other vectors are others.
+    queries = queries.select("vec_id", F.sha2(F.array_join("vector", ","), 256).alias("query"), "vector").dropDuplicates(["vec_id", "query"])
     blocks = max(LEAST_BLOCKS, math.ceil(vectors.count() / BLOCK_ROWS))
     parts = max(1, math.ceil(queries.count() / QUERY_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    left = vectors.select("vec_id", "vector", block.alias("block"), every(parts).alias("part"))
-    right = queries.select("vec_id", "vector", part.alias("part"), every(blocks).alias("block"))
-    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_block_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    # Candidates are dealt by row, so that many rows of one id or vector spread too.
+    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    part = F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int")
+    left = vectors.select("vec_id", "vector", block.alias("block")).select("*", every(parts).alias("part"))
+    right = queries.select("vec_id", "query", "vector", part.alias("part"), every(blocks).alias("block"))
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_block_search(k), "query_id long, query string, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -74,3 +74,16 @@ def test_sequences_keep_order_and_captions(spark):
     store = spark.createDataFrame([("aa", 7)], "digest string, payload_bytes long")
     found = {(r["position"], r["payload_bytes"]) for r in media.resolve(media.references(parsed), store).collect()}
     assert found == {(1, 7), (2, None), (4, None)}
+
+
+def test_an_id_with_several_vectors_is_several_queries(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])]
+    found = topk.self_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in found) == [(0, 1, 1, 65536), (0, 1, 2, 131072), (0, 2, 1, 0), (0, 2, 2, 0)]
+
+
+def test_a_third_of_the_rows_with_one_id_is_spread(spark):
+    rng = random.Random(2)
+    rows = [(7, [rng.gauss(0, 1) for _ in range(4)]) for _ in range(300)] + [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(100, 700)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert sorted(tuple(r) for r in topk.self_search(frame).collect()) == sorted(plain_top(rows, 50, 5))
