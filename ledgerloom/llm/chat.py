@@ -29,7 +29,7 @@ Edge cases
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 _PIECE = r"(?s)^<s>\[INST\]([01])(.*?)\[/INST\](.*)$"
@@ -73,6 +73,7 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     ``conv_id, formatted, turns`` (parsed from ``formatted``), ``loss_spans`` (start
     from 0 and length in code points of each ``loss_role`` text within
     ``formatted``, and whether it is escaped there) and ``identical``.
+    One shuffle, by conversation; its turns are sorted and summed where they arrive.
     """
     turns = rows.select("conv_id", F.col("turn").cast("long").alias("turn"),
                         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
@@ -81,50 +82,39 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     alone = _parsed(_render(F.lit("0"), F.col("role"), F.col("text")))
     raw = (F.size(alone) == 1) & F.coalesce(alone[0] == source, F.lit(False))
     turns = turns.withColumn("raw", raw)
-    one = turns.withColumn("piece", F.when(F.col("raw"), _render(F.lit("0"), F.col("role"), F.col("text")))
-                           .otherwise(_render(F.lit("1"), escaped(F.col("role")), escaped(F.col("text")))))
-    whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "piece"))).alias("rows"))
+    plain = _render(F.lit("0"), F.col("role"), F.col("text"))
+    safe = _render(F.lit("1"), escaped(F.col("role")), escaped(F.col("text")))
+    one = turns.select("conv_id", "turn", "role", "text", F.when(F.col("raw"), plain).otherwise(safe).alias("piece"),
+                       F.when(F.col("raw"), F.length("text")).otherwise(F.length(escaped(F.col("text")))).alias("chars"),
+                       F.length(safe).alias("safe_chars"), F.length(escaped(F.col("text"))).alias("safe_text"), (~F.col("raw")).alias("escaped"))
+    # Where each turn's text starts, as rendered first and as rendered if all turns are escaped: running sums.
+    upto = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = lambda size: F.sum(size.cast("long")).over(upto) - len("</s>")
+    one = one.withColumn("end", end(F.length("piece"))).withColumn("safe_end", end(F.col("safe_chars")))
+    span = lambda stop, size, said: F.struct((F.col(stop) - F.col(size)).alias("start"), F.col(size).cast("long").alias("length"), said.alias("escaped"))
+    one = one.withColumn("span", span("end", "chars", F.col("escaped"))).withColumn("safe_span", span("safe_end", "safe_text", F.lit(True)))
+    whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "end", "piece", "span", "safe_span"))).alias("rows"))
     whole = whole.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"], r["text"])).alias("source"),
-                         F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("first"))
+                         F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("first"),
+                         F.filter("rows", lambda r: r["role"] == loss_role)["span"].alias("span"),
+                         F.filter("rows", lambda r: r["role"] == loss_role)["safe_span"].alias("safe_span"))
     whole = whole.withColumn("back", _parsed(F.col("first")))
     again = F.array_join(F.transform("source", lambda r: _render(F.lit("1"), escaped(r["role"]), escaped(r["text"]))), "")
     good = F.coalesce(F.col("back") == F.col("source"), F.lit(False))
     whole = whole.select("conv_id", "source", F.when(good, F.col("first")).otherwise(again).alias("formatted"),
-                         F.when(good, F.col("back")).alias("back"))
+                         F.when(good, F.col("back")).alias("back"), F.when(good, F.col("span")).otherwise(F.col("safe_span")).alias("loss_spans"))
     whole = whole.withColumn("turns", F.coalesce("back", _parsed(F.col("formatted"))))
-    return whole.select("conv_id", "formatted", "turns", _loss_spans(F.col("formatted"), loss_role).alias("loss_spans"),
-                        F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("identical"))
+    return whole.select("conv_id", "formatted", "turns", "loss_spans", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("identical"))
 
 
-def _loss_spans(formatted: Column, loss_role: str) -> Column:
-    """Start, length and escaping of the texts under the loss mask."""
-    pieces = F.split(formatted, "</s>", -1)
-    sized = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.struct(
-        (F.length(p) + 4).cast("long").alias("whole"),
-        F.length(F.regexp_extract(p, _PIECE, 3)).cast("long").alias("text"),
-        (F.regexp_extract(p, _PIECE, 1) == "1").alias("escaped"),
-        (F.when(F.regexp_extract(p, _PIECE, 1) == "0", F.regexp_extract(p, _PIECE, 2))
-         .otherwise(unescaped(F.regexp_extract(p, _PIECE, 2))) == loss_role).alias("loss")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint,escaped:boolean>>").alias("spans"))
-    folded = F.aggregate(sized, start, lambda acc, p: F.struct(
-        (acc["at"] + p["whole"]).alias("at"),
-        F.when(p["loss"], F.array_append(acc["spans"], F.struct((acc["at"] + p["whole"] - 4 - p["text"]).alias("start"), p["text"].alias("length"), p["escaped"])))
-        .otherwise(acc["spans"]).alias("spans")))
-    return folded["spans"]
-
-
-def digests(formatted: DataFrame) -> DataFrame:
+def digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """What is read back from the rendered conversations, as counts and hashes.
 
-    The turns come from the parse, the loss text from ``formatted`` at the loss spans.
+    Turns and loss texts come from the parse of ``formatted``: a conversation's cost
+    grows with its length, never with its square.
     """
     turns = F.array_join(F.flatten(F.transform("turns", lambda t: F.array(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), "")
-
-    def under(span: Column) -> Column:
-        text = F.substring(F.col("formatted"), (span["start"] + 1).cast("int"), span["length"].cast("int"))
-        return F.when(span["escaped"], unescaped(text)).otherwise(text)
-
-    loss = F.array_join(F.transform("loss_spans", under), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
     return formatted.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),

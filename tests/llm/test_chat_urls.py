@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import time
 
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -73,3 +75,28 @@ def test_longest_rule_wins_and_templates_judge_the_rest(spark):
     assert {found[200 + k]["verdict"] for k in range(30)} == {"block"} and found[400]["verdict"] == "allow"
     assert found[None]["template"].endswith("/**") or found[None]["template"].endswith("*")
     assert urls.judge(frame.limit(0)).count() == 0
+
+
+def test_loss_spans_point_at_the_texts(spark):
+    rows = [(1, 0, "user", "é </s> x", ""), (1, 1, "assistant", "😀 plain", ""), (1, 2, "assistant", "[INST] \\ </s>", ""), (1, 2, "assistant", "[INST] \\ </s>", ""), (1, 3, "assistant", "", ""), (2, 0, "user", "only", "")]
+    out = {r["conv_id"]: r for r in formatted(spark, rows).collect()}
+    texts = []
+    for span in out[1]["loss_spans"]:
+        text = out[1]["formatted"][span["start"] : span["start"] + span["length"]]
+        texts.append(re.sub(r"(?s)\\(.)", r"\1", text) if span["escaped"] else text)
+    assert texts == [r[3] for r in rows if r[0] == 1 and r[2] == "assistant"] and out[2]["loss_spans"] == []
+
+
+def test_a_long_conversation_costs_its_length(spark):
+    def seconds(turns):
+        rows = spark.range(turns).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat(repeat('words and ', 10), id) as text")
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            found = chat.digests(chat.format_conversations(rows)).collect()
+            best.append(time.perf_counter() - began)
+            assert found[0]["n_turns"] == turns
+        return min(best)
+
+    seconds(2_000)
+    assert seconds(64_000) < 4 * seconds(16_000) + 1
