@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 import time
+from unittest import mock
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -100,3 +104,64 @@ def test_a_long_conversation_costs_its_length(spark):
 
     seconds(2_000)
     assert seconds(64_000) < 4 * seconds(16_000) + 1
+
+
+def plain_templates(pages):
+    """Verdict and template of each url by the module's description, segment by segment, without shortcuts."""
+    fits = lambda host, path, rule: (host == rule.split("/")[0] or host.endswith("." + rule.split("/")[0])) and path.startswith("/" + rule.split("/", 1)[1])
+    said, rows = {}, []
+    for page, url in pages:
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        rules = [r for r in urls.RULES if fits(host, path, r[1])]
+        said[page] = max(rules, key=lambda r: len(r[1]))[0] if rules else None
+        rows.append((page, host, [re.sub("[0-9]+", "#", s) for s in path.split("/") if s]))
+    named = {page: () for page, *_ in rows}
+    bad, labelled = (lambda group: sum(said[p] == "block" for p in group)), (lambda group: sum(said[p] is not None for p in group))
+    for depth in range(max(len(s) for *_, s in rows) + 1):
+        nodes = {}
+        for page, host, parts in rows:
+            if len(named[page]) == depth:  # has read all its segments so far
+                nodes.setdefault((host, named[page]), {}).setdefault(parts[depth] if depth < len(parts) else None, []).append(page)
+        for children in nodes.values():
+            everyone = [p for group in children.values() for p in group]
+            rate = (bad(everyone) + 1) / (labelled(everyone) + 2)
+            for part, group in children.items():
+                if part is None:
+                    continue
+                variable = len(children) > 8 and len(group) * 8 < len(everyone)
+                alike = abs(bad(group) - labelled(group) * rate) <= 2 * math.sqrt(labelled(group) * rate * (1 - rate))
+                for page in group:
+                    named[page] += ("*" if variable or alike else part,)
+    groups, hosts = {}, {}
+    for page, host, _ in rows:
+        groups.setdefault((host, named[page]), []).append(page)
+        hosts.setdefault(host, []).append(page)
+    good = lambda group: labelled(group) - bad(group)
+    everyone = [p for p, *_ in rows]
+    base = (good(everyone) + 1) / (labelled(everyone) + 2)
+    out = {}
+    for (host, name), group in groups.items():
+        prior = (good(hosts[host]) + 2 * base) / (labelled(hosts[host]) + 2)
+        purity = (good(group) + 2 * prior) / (labelled(group) + 2)
+        for page in group:
+            out[page] = (said[page] or ("allow" if purity >= 0.5 else "block"), "/".join([host, *name]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_templates_equal_brute_force_at_any_depth(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    rules = (("allow", "com/fr/"), ("block", "com/de/"), ("block", "com/x/y/z/w/"), ("allow", "com/x/y/z/v/"), ("block", "com/s/t/u/"))
+    for page in range(900):
+        host = rng.choice(["a.com", "b.com", "b.com", "c.net", "hot.com", "hot.com", "hot.com"])
+        start = rng.choice(["fr", "de", "x/y/z/w", "x/y/z/v", "x/y/z/w", "x/y/q", "s/t/u/1", "s/t", ""])
+        tail = [rng.choice(["w", "v", f"p{rng.randrange(30)}", "k", str(rng.randrange(99)), "same/same/same"]) for _ in range(rng.randrange(0, 4))]
+        rows.append((page, f"http://{host}/" + "/".join([start, *tail])))
+    rows += [(2000, "http://deep.com/fr/" + "/".join(["d"] * 300)), (2001, "http://deep.com/fr/" + "/".join(["d"] * 299) + "/e"), (2002, "none"), (2003, "http://long.com/" + "l" * 5000)]
+    with mock.patch.object(urls, "RULES", rules):
+        want = plain_templates(rows)
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules)
+    assert {r["page_id"]: (r["verdict"], r["template"]) for r in found.collect()} == want
