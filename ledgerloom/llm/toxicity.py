@@ -9,11 +9,12 @@ Model
     and a long text is neither favoured nor punished.
 
 Fit
-    On a bounded sample of labelled rows: the ``max_fit_rows`` labelled training
-    rows with the smallest hash of their id.  Executors turn the sampled texts
-    (whole, never prefixes) into counts; one executor task takes these, at most
-    ``max_fit_rows`` sparse vectors, and runs a fixed number of full-batch steps,
-    so the fit is deterministic and the driver receives the weights alone.
+    On a bounded sample of labelled rows: of the ``max_fit_rows`` labelled training
+    ids with the smallest hash, the ``max_fit_rows`` texts with the smallest hash of
+    id and text.  Executors turn the sampled texts (whole, never prefixes) into
+    counts; one executor task takes these, at most ``max_fit_rows`` sparse vectors
+    however often an id or a row repeats, and runs a fixed number of full-batch
+    steps, so the fit is deterministic and the driver receives the weights alone.
 
 Scoring
     One Arrow pass over all rows; no shuffle.  The weight table (``2**BITS``
@@ -26,8 +27,11 @@ Edge cases
       count by their maximum (any toxic vote marks the row);
     * no training row of one of the classes: every score is the share of
       positive labels (0.5 with no label at all);
-    * extra columns of the input are kept by :func:`score_frame` unless their
-      name is one of the result's.
+    * repeated rows are scored each and fitted once; an id with several texts is
+      fitted with each of them, under its one label;
+    * extra columns, also ones named like a result (``held_out``, ``predicted``),
+      are dropped by :func:`scored`; :func:`score_frame` keeps them all but one named
+      like its ``score_col``, which it replaces.
 """
 
 from __future__ import annotations
@@ -164,9 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if train is not None:
         votes = votes.where(train)
     chosen = votes.orderBy(F.xxhash64(F.col("_id").cast("string"), F.lit("fit")), "_id").limit(max_fit_rows)
-    # Bounded by max_fit_rows, so it may be broadcast at any input size.
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").mapInArrow(_count_batches, "_id string, label int, buckets binary, counts binary")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    # Both samples are bounded by max_fit_rows, so they may be broadcast at any input size.
+    labelled = texts.select("_id", "_key").join(F.broadcast(chosen), "_id").distinct()
+    sample = labelled.orderBy(F.xxhash64("_id", "_key"), "_id", "_key").limit(max_fit_rows)
+    rows = texts.join(F.broadcast(sample), ["_id", "_key"]).mapInArrow(_count_batches, "_id string, key long, label int, buckets binary, counts binary")
+    rows = rows.dropDuplicates(["_id", "key"])
     # One executor task fits on the bounded sample; the driver gets the weights alone.
     fitted = rows.groupBy().applyInArrow(_fit_table, "weights binary, bias double").first()
     if fitted is None:
@@ -185,15 +192,19 @@ def _fit_table(group: pa.Table) -> pa.Table:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each (id, text) that a task meets, once; there are no more of them than the sample has."""
+    met: set[tuple] = set()
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
+        names = list(zip(batch.column("_id").cast(pa.string()).to_pylist(), batch.column("_key").to_pylist(), strict=True))
+        new = [at for at, name in enumerate(names) if name not in met and not met.add(name)]
+        for at in range(0, len(new), 64):
+            part = batch.take(pa.array(new[at : at + 64], pa.int64()))
             pairs = [counts_of(t) for t in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                part.column("_id").cast(pa.string()), part.column("_label"),
+                part.column("_id").cast(pa.string()), part.column("_key"), part.column("_label"),
                 pa.array([b.astype(np.int32).tobytes() for b, _ in pairs], pa.binary()),
                 pa.array([c.astype(np.int32).tobytes() for _, c in pairs], pa.binary()),
-            ], ["_id", "label", "buckets", "counts"])
+            ], ["_id", "key", "label", "buckets", "counts"])
 
 
 def score_frame(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
