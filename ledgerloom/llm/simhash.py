@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations, repeat
 
 import numpy as np
@@ -42,12 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import fresh, written
 from ledgerloom.llm.components import components
 
 SHINGLE = 4
 SEED = 42
 HALF = 2
+#: Fingerprints near one prefix that one task takes, and variants that it sorts at once.
+PREFIX_ROWS, SORTED = 2_000_000, 1 << 20
 
 
 def fingerprint(text: str | None) -> int:
@@ -83,10 +86,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "_fp"])
+def _marked_batches(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, name])
+
+    return run
 
 
 def _flips(bits: int, most: int) -> np.ndarray:
@@ -110,33 +116,51 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = after
 
 
-def prefix_links(prints: np.ndarray, prefix: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among distinct fingerprints that share a variant whose first
-    ``bits`` bits are ``prefix``; each collision is linked in a chain."""
-    found = [np.zeros(0, np.int64)]
-    spent = np.bitwise_count((prints >> np.uint64(64 - bits)) ^ np.uint64(prefix)).astype(np.int64)
-    keep = np.flatnonzero(spent <= HALF)
-    # More leading bits are fixed until a variant's rest and an index fit one word.
-    more = max(4, math.ceil(math.log2(max(len(keep), 2))) - bits + 1)
-    rest = 64 - bits - more
-    middle = prints >> np.uint64(rest) & np.uint64((1 << more) - 1)
-    tails = prints & np.uint64((1 << rest) - 1)
-    balls = [_flips(rest, k) for k in range(HALF + 1)]
-    for sub in range(1 << more):
-        left = HALF - spent - np.bitwise_count(middle ^ np.uint64(sub))
-        here = np.flatnonzero(left >= 0)
-        if len(here) < 2:
+def _collisions(prints: np.ndarray, left: np.ndarray, fixed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of neighbours in each collision of the variants that keep the first ``fixed`` bits
+    and flip at most ``left`` of the others; more bits are fixed until a sort is small."""
+    open_parts = [(np.arange(len(prints)), left, np.zeros(len(prints), np.uint64), fixed)]
+    while open_parts:
+        here, left, flips, fixed = open_parts.pop()
+        rest = 64 - fixed
+        wide = int(len(here) - 1).bit_length()
+        balls = sum(int(np.count_nonzero(left == k)) * sum(math.comb(rest, j) for j in range(k + 1)) for k in range(HALF + 1))
+        if wide > fixed or (balls > SORTED and rest > 4):
+            # Deal by the variants' next four bits.
+            nibble = (prints[here] ^ flips) >> np.uint64(rest - 4) & np.uint64(15)
+            for value in range(16):
+                after = left - np.bitwise_count(nibble ^ np.uint64(value))
+                kept = np.flatnonzero(after >= 0)
+                if len(kept) > 1:
+                    flip = (nibble[kept] ^ np.uint64(value)) << np.uint64(rest - 4)
+                    open_parts.append((here[kept], after[kept], flips[kept] ^ flip, fixed + 4))
             continue
-        wide = np.uint64(max(1, int(len(here) - 1).bit_length()))
+        tails = prints[here] & np.uint64((1 << rest) - 1)
         packed = []
         for k in range(HALF + 1):
-            at = np.flatnonzero(left[here] == k)
-            packed.append(((tails[here[at], None] ^ balls[k][None, :]) << wide | at[:, None].astype(np.uint64)).ravel())
+            at = np.flatnonzero(left == k)
+            packed.append(((tails[at, None] ^ _ball(rest, k)[None, :]) << np.uint64(wide) | at[:, None].astype(np.uint64)).ravel())
         packed = np.sort(np.concatenate(packed))
-        same = packed[1:] >> wide == packed[:-1] >> wide
-        low = np.uint64((1 << int(wide)) - 1)
-        a, b = here[(packed[:-1][same] & low).astype(np.int64)], here[(packed[1:][same] & low).astype(np.int64)]
-        found.append(np.unique(np.minimum(a, b) << 32 | np.maximum(a, b)))
+        same = packed[1:] >> np.uint64(wide) == packed[:-1] >> np.uint64(wide)
+        low = np.uint64((1 << wide) - 1)
+        yield here[(packed[:-1][same] & low).astype(np.int64)], here[(packed[1:][same] & low).astype(np.int64)]
+
+
+@cache
+def _ball(bits: int, most: int) -> np.ndarray:
+    return _flips(bits, most)
+
+
+def prefix_links(prints: np.ndarray, prefix: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among distinct fingerprints that share a variant whose first
+    ``bits`` bits are ``prefix``; each collision is linked in a chain."""
+    left = HALF - np.bitwise_count((prints >> np.uint64(64 - bits)) ^ np.uint64(prefix)).astype(np.int64)
+    keep = np.flatnonzero(left >= 0)
+    found = [np.zeros(0, np.int64)]
+    if len(keep) > 1:
+        for a, b in _collisions(prints[keep], left[keep], bits):
+            a, b = keep[a], keep[b]
+            found.append(np.unique(np.minimum(a, b) << 32 | np.maximum(a, b)))
     pairs = np.unique(np.concatenate(found))
     a, b = pairs >> 32, pairs & 0xFFFFFFFF
     near = np.bitwise_count(prints[a] ^ prints[b]) <= 2 * HALF
@@ -155,14 +179,36 @@ def _prefix_forest(bits: int):
     return run
 
 
+def _dealt(rows: DataFrame, bits: int, more: int) -> DataFrame:
+    """``rows (fp, prefix, left)``, by the first ``bits`` bits, dealt by ``more`` further bits."""
+    masks = [(int(m), int(m).bit_count()) for m in _flips(more, HALF)]
+    flips = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(n).alias("cost")) for m, n in masks])
+    own = F.shiftrightunsigned("fp", 64 - bits - more).bitwiseAND(F.lit((1 << more) - 1).cast("long"))
+    rows = rows.select("fp", "prefix", "left", F.explode(flips).alias("flip")).where("flip.cost <= left")
+    return rows.select("fp", (F.shiftleft("prefix", more).bitwiseOR(own.bitwiseXOR(F.col("flip.mask")))).alias("prefix"), (F.col("left") - F.col("flip.cost")).alias("left"))
+
+
 def links(prints: DataFrame, count: int) -> DataFrame:
-    """Spanning links ``u, v`` of the near-fingerprint graph over distinct ``prints (fp)``."""
+    """Spanning links ``u, v`` of the near-fingerprint graph over distinct ``prints (fp)``.
+
+    A prefix that more than ``PREFIX_ROWS`` fingerprints are near, as in a large family of
+    similar texts, is dealt by eight more bits, and again, until none is; that ends, for
+    no more than 2,081 fingerprints are near one whole variant.
+    """
     # 37 copies of a fingerprint up to 2**23 of them; then one bit more for each doubling.
     bits = min(24, max(8, math.ceil(math.log2(max(count, 1))) - 15))
-    flips = F.array(*[F.lit(int(m)) for m in _flips(bits, HALF)])
-    dealt = prints.select("fp", F.explode(flips).alias("flip")).select(
-        "fp", F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("flip")).alias("prefix"))
-    return dealt.groupBy("prefix").applyInArrow(_prefix_forest(bits), "u long, v long")
+    rows = _dealt(prints.select("fp", F.lit(0).cast("long").alias("prefix"), F.lit(HALF).alias("left")), 0, bits)
+    found = None
+    while True:
+        dense = written(rows.groupBy("prefix").count().where(F.col("count") > PREFIX_ROWS).select("prefix"), "dense")
+        last = bits + 8 > 60 or dense.isEmpty()
+        fine = rows if last else rows.join(dense, "prefix", "left_anti")
+        forest = fine.select("fp", "prefix").groupBy("prefix").applyInArrow(_prefix_forest(bits), "u long, v long")
+        found = forest if found is None else found.unionByName(forest)
+        if last:
+            return found
+        rows = written(_dealt(rows.join(dense, "prefix", "left_semi"), bits, 8), "dealt")
+        bits += 8
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -187,11 +233,15 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One row of each group, with its smallest id; rows with a null id are kept.
 
     Rows of an id with texts of different groups are chosen apart; of one group's rows
-    with that id, one with the smallest fingerprint stays.
+    with that id, one with the smallest fingerprint stays, and of these the one with the
+    smallest hash of all its columns, so reruns agree.
     """
-    marked = written(docs.mapInArrow(_marked_batches, StructType([*docs.schema.fields, StructField("_fp", LongType())])), "marked")
-    groups = _grouped(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_fp").alias("fp")))
-    first = groups.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("_kept"), F.min("fp").alias("_print"))
-    known = marked.where("doc_id is not null").dropDuplicates(["doc_id", "_fp"])
-    kept = known.join(first, (known.doc_id == first._kept) & (known._fp == first._print), "left_semi")
-    return kept.unionByName(marked.where("doc_id is null")).select(*docs.columns)
+    mark, whole, kept = fresh(docs.columns, "_fp", "_row", "_kept")
+    batches = _marked_batches(mark)
+    marked = docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(mark, LongType())]))
+    marked = written(marked.withColumn(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])), "marked")
+    groups = _grouped(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("fp"), F.col(whole).alias("row")))
+    first = groups.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "row")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias(kept), F.col("first.fp").alias(mark), F.col("first.row").alias(whole))
+    known = marked.where("doc_id is not null").withColumn(kept, F.col("doc_id").cast("long")).join(first, [kept, mark, whole], "left_semi")
+    return known.dropDuplicates([kept, mark, whole]).unionByName(marked.where("doc_id is null").withColumn(kept, F.lit(None).cast("long"))).select(*docs.columns)

@@ -94,3 +94,39 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_dense_family_is_dealt_by_more_bits(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = int(rng.integers(0, 2**63))
+    prints = {base ^ sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 9), replace=False)) for _ in range(400)}
+    prints |= {int(x) for x in rng.integers(0, 2**63, 200)}
+    prints = np.array(sorted(prints), np.uint64)
+    a, b = np.nonzero(np.triu(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4, 1))
+    want = simhash._roots(len(prints), a, b)
+    frame = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long").cache()
+    place = {int(x): k for k, x in enumerate(prints.view(np.int64))}
+    for most, sorted_at_once in ((2_000_000, 1 << 20), (50, 500)):
+        monkeypatch.setattr(simhash, "PREFIX_ROWS", most)
+        monkeypatch.setattr(simhash, "SORTED", sorted_at_once)
+        found = simhash.links(frame, len(prints)).collect()
+        ends = np.array([(place[r["u"]], place[r["v"]]) for r in found], np.int64).reshape(-1, 2)
+        assert np.array_equal(simhash._roots(len(prints), ends[:, 0], ends[:, 1]), want)
+
+
+def test_representatives_keep_clashing_columns_and_agree(spark):
+    rows = [(k, f"some words that are number {k // 2} of a few", k, k * 2, None) for k in range(20)] + [(0, "some words that are number 0 of a few", 77, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp long, _kept long, root string")
+    kept = sorted(map(str, simhash.representatives(docs).collect()))
+    assert len(kept) == 10 and simhash.representatives(docs).columns == docs.columns
+    assert kept == sorted(map(str, simhash.representatives(docs.repartition(3)).collect()))
+
+
+def test_small_sorts_find_the_same_links(monkeypatch):
+    rng = np.random.default_rng(12)
+    family = np.uint64(0xABCDEF0123456789) ^ np.array([sum(1 << int(b) for b in rng.choice(56, 3, replace=False)) for _ in range(300)], np.uint64)
+    prints = np.unique(np.concatenate([family, rng.integers(0, 2**64, 300, dtype=np.uint64)]))
+    prefix = 0xAB
+    whole = simhash._roots(len(prints), *simhash.prefix_links(prints, prefix, 8))
+    monkeypatch.setattr(simhash, "SORTED", 200)
+    assert np.array_equal(simhash._roots(len(prints), *simhash.prefix_links(prints, prefix, 8)), whole) and len(set(whole)) < len(prints) - 200
