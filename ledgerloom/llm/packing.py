@@ -11,16 +11,18 @@ Packing
     Pieces are dealt into groups of about ``GROUP_ROWS``; each group is packed by
     best-fit decreasing and gets a lower bound on its number of bins from
     dual-feasible functions.  A group whose bins equal its bound is certified and
-    final.  Groups with a gap give up the pieces of their loosest bins; these are
-    exchanged (dealt anew into fewer groups) and packed again, until no group has
-    a gap or one group is left.
+    gives up its loosest bin alone, what its pieces leave over.  Groups with a gap
+    give up the pieces of their loosest bins.  What is given up is exchanged (dealt
+    anew, into as few groups as it fills) and packed again.  The
+    exchange goes on while it closes bins and the bins exceed the bound of all
+    pieces together; :func:`certificate` states bins, bound and the gap that is left.
 
 Edge cases
     * null or empty text: the end id alone;
     * repeated rows are packed once each; ties by length go by id and piece;
     * null ids are packed like others;
     * extra columns are dropped by :func:`token_pieces` and kept by :func:`pack`, but
-      one named ``sequence_id`` or ``offset`` is replaced;
+      one named ``sequence_id`` or ``offset``, its results, is replaced;
     * an empty table gives an empty result.
 """
 
@@ -37,10 +39,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import fresh, written
 
 CAPACITY = 4096
 END_ID = 1
+VOCABULARY = "word_bpe_49k.json"
 GROUP_ROWS = 100_000
 #: Words that one worker keeps; when full, it keeps those it met first, which are mostly the common ones.
 CACHE_WORDS, CACHE_KEPT = 600_000, 200_000
@@ -89,7 +92,11 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        """One encoder per worker and file."""
+        """One encoder per worker and file; a name without a folder is a public vocabulary where the worker runs."""
+        if "/" not in path:
+            import public_tokenizers
+
+            path = str(public_tokenizers.path(path))
         if path not in cls._kept:
             cls._kept[path] = cls(path)
         return cls._kept[path]
@@ -173,7 +180,11 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
     """A lower bound on the number of bins, the best of several dual-feasible functions."""
-    counts = np.bincount(lengths, minlength=capacity + 1)
+    return least_bins_of(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def least_bins_of(counts: np.ndarray, capacity: int) -> int:
+    """The same of a histogram: how many pieces there are of each length from 0 to the capacity."""
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((counts * x).sum()) // capacity)
     for k in range(1, 13):
@@ -191,53 +202,74 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack_group(capacity: int, last: bool):
+def _pack_group(capacity: int, last: bool, names: list[str]):
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("_tie", "ascending")])
+        tie, bin_, at, loose_ = names
+        group = group.sort_by([("length", "descending"), (tie, "ascending")])
         lengths = group.column("length").to_numpy().astype(np.int64)
         bins, offsets = best_fit(lengths, capacity)
         made = int(bins.max()) + 1
         fills = np.bincount(bins, lengths, made)
         loose = np.zeros(made, bool)
-        if not last and made > least_bins(lengths, capacity):
-            # Enough of the loosest bins that their pieces can be arranged anew.
-            order = np.lexsort((np.arange(made), fills))[: max(64, made // 8)]
+        if not last:
+            # With a gap, enough of the loosest bins that their pieces can be arranged anew; else what is left over.
+            many = max(64, made // 8) if made > least_bins(lengths, capacity) else 1
+            order = np.lexsort((np.arange(made), fills))[:many]
             loose[order[fills[order] < capacity]] = True
-        group = group.set_column(group.column_names.index("_bin"), "_bin", pa.array(bins))
-        group = group.set_column(group.column_names.index("_offset"), "_offset", pa.array(offsets))
-        return group.set_column(group.column_names.index("_loose"), "_loose", pa.array(loose[bins]))
+        for name, values in ((bin_, bins), (at, offsets), (loose_, loose[bins])):
+            group = group.set_column(group.column_names.index(name), name, pa.array(values))
+        return group
 
     return run
 
 
+def _bound(pieces: DataFrame, capacity: int) -> int:
+    """The lower bound of all pieces together, from their histogram of at most ``capacity`` rows."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in pieces.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    return least_bins_of(counts, capacity)
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """``bins`` of a packing, the lower ``bound`` on any packing's and the ``gap`` between them."""
+    bins, bound = packed.select("sequence_id").distinct().count(), _bound(packed, capacity)
+    return {"bins": bins, "bound": bound, "gap": bins - bound}
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``pieces`` (with a column ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``."""
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     ties = [c for c in ("doc_id", "piece") if c in names]
-    left = pieces.select(*names, F.xxhash64(*ties, F.lit(7)).alias("_tie") if ties else F.lit(0).cast("long").alias("_tie"),
-                         F.lit(0).cast("long").alias("_group"), F.lit(0).cast("long").alias("_bin"),
-                         F.lit(0).cast("long").alias("_offset"), F.lit(True).alias("_loose"))
-    done, rounds, before = None, 0, None
+    tie, group, bin_, at, loose = fresh(pieces.columns, "_tie", "_group", "_bin", "_offset", "_loose")
+    zero = F.lit(0).cast("long")
+    left = pieces.select(*names, F.xxhash64(*ties, F.lit(7)).alias(tie) if ties else zero.alias(tie),
+                         zero.alias(group), zero.alias(bin_), zero.alias(at), F.lit(True).alias(loose))
+    bound, rows = _bound(pieces, capacity), pieces.count()
+    done, closed, rounds, before = None, 0, 0, None
     while True:
-        rows = left.count()
         groups = max(1, math.ceil(rows / group_rows))
-        last = groups == 1 or groups == before
         # The row's place keeps many equal rows from meeting in one group.
-        place = F.pmod(F.xxhash64("_tie", F.monotonically_increasing_id(), F.lit(rounds)), F.lit(groups))
-        dealt = left.withColumn("_group", place)
-        packed = written(dealt.groupBy("_group").applyInArrow(_pack_group(capacity, last), dealt.schema), "packed")
-        number = ((F.lit(rounds) * (1 << 22) + F.col("_group")) * (1 << 24) + F.col("_bin")).alias("sequence_id")
-        final = packed.where("not _loose").select(*names, number, F.col("_offset").alias("offset"))
+        place = F.pmod(F.xxhash64(tie, F.monotonically_increasing_id(), F.lit(rounds)), F.lit(groups))
+        dealt = left.withColumn(group, place)
+        run = _pack_group(capacity, groups == 1, [tie, bin_, at, loose])
+        packed = written(dealt.groupBy(group).applyInArrow(run, dealt.schema), "packed")
+        said = packed.groupBy(group, loose).agg(F.count_distinct(bin_).alias("bins"), F.count("*").alias("rows"))
+        said = said.groupBy(loose).agg(F.sum("bins").alias("bins"), F.sum("rows").alias("rows")).collect()
+        bins = {r[loose]: r["bins"] for r in said}
+        total = closed + sum(bins.values())
+        # An exchange that closed no bin, or a packing at the bound, is the last.
+        last = not bins.get(True) or total == bound or before is not None and total >= before
+        number = ((F.lit(rounds) * (1 << 22) + F.col(group)) * (1 << 24) + F.col(bin_)).alias("sequence_id")
+        final = (packed if last else packed.where(~F.col(loose))).select(*names, number, F.col(at).alias("offset"))
         done = final if done is None else done.unionByName(final)
-        left, rounds, before = packed.where("_loose"), rounds + 1, groups
         if last:
             return done
+        left, rows, before = packed.where(F.col(loose)), next(r["rows"] for r in said if r[loose]), total
+        closed += bins.get(False, 0)
+        rounds += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """All rows of ``docs`` as packed pieces."""
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+def pack_documents(docs: DataFrame, tokenizer: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
+    """All rows of ``docs`` as packed pieces; ``tokenizer`` is a public vocabulary's name, or a path that all workers have."""
     return pack(written(token_pieces(docs, str(tokenizer), capacity=capacity), "pieces"), capacity)

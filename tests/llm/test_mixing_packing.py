@@ -162,3 +162,30 @@ def test_bounds_hold_and_best_fit_is_valid():
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_exchange_ends_at_a_stated_gap(spark):
+    rng = random.Random(21)
+    lengths = [rng.choice([rng.randrange(1300, 1500), rng.randrange(900, 1400), 2100]) for _ in range(3000)]
+    frame = spark.createDataFrame([(k, 0, n, 1, 2) for k, n in enumerate(lengths)], "doc_id long, piece int, length long, _group long, _loose int")
+    one, many = (packing.pack(frame, group_rows=n) for n in (10_000, 200))
+    assert one.columns == ["doc_id", "piece", "length", "_group", "_loose", "sequence_id", "offset"]
+    for packed in (one, many):
+        said = packing.certificate(packed)
+        assert said["bins"] == check_packing(packed.collect(), lengths, 4096) and said["gap"] == said["bins"] - said["bound"] >= 0
+    assert packing.certificate(many)["bins"] <= packing.certificate(one)["bins"] * 1.01 + 1
+    exact = spark.createDataFrame([(k, 0, 1024, 0, 0) for k in range(1000)], "doc_id long, piece int, length long, _group long, _loose int")
+    assert packing.certificate(packing.pack(exact, group_rows=100))["gap"] == 0
+
+
+def test_seeded_texts_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = random.Random(31)
+    alphabet = [*map(chr, range(0x21)), *"abzAZ09.,'!<|>", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "İ", "́", "़", "क़", "ড়", "ਲ਼", "​", " ", "　", "ﬁ", "é", "中", "\U0001f600"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want, strict=True) if encoder.encode(t) != np.array(w.ids, "<u4").tobytes()]
+    assert not wrong, wrong[:5]
