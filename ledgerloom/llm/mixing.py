@@ -3,15 +3,19 @@
 Targets
     Sources, by code point with null last, weigh ``WEIGHTS`` in turn and share a
     budget of ``SHARE`` of all sizes.  A source is given at most ``MOST`` times its
-    size; what is above is shared again by weight until no target is above.  That
-    fixed point is the water level ``min(MOST * size, level * weight)``.
+    size; what is above is shared again by weight until no target is above.  Places
+    are numbered by ranges of the names, the sharing is a few sums over the sources:
+    no task has to hold them all.
 
 Fitting
     Documents are counted by source and exact length.  A source takes every
     document as often as its target holds the whole source; of each length it then
     takes the remaining share of the documents, rounded down.  What the rounding
     leaves of the budget is filled by single documents, longest first, and at last
-    exactly by a bounded-knapsack program over the lengths still left.
+    by a bounded-knapsack program over the lengths still left.  Should that miss the
+    budget, shares of ``WIDE`` less are taken and the program fills all of that: at a
+    budget up to ``WIDE`` its sum is the nearest of all, above it the nearest that
+    keeps those shares.  The steps are the same for every size.
 
 Selection
     The planned number of documents of a length are those first by a seeded hash of
@@ -24,23 +28,27 @@ Edge cases
     * repeated rows are documents of their own; which of equal rows is taken does
       not matter;
     * a source of size 0 has target 0; no source at all: an empty result;
-    * extra columns are kept by :func:`mix` and :func:`mixed`, but one named like a
-      result (``times, size, source_size, target``) is replaced; :func:`mixture` drops them.
+    * a hot length is one row of the counts, a hot source one histogram of its lengths;
+    * extra columns are kept: :func:`mixed` returns all columns as they came, :func:`mix`
+      replaces one named like its results (``times, size, source_size, target``),
+      :func:`mixture` drops them.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import WORD, written
+from ledgerloom.llm.common import WORD, fresh, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = 17
-#: Budget that is left to the knapsack program; it bounds the program's table.
-EXACT = 1 << 16
+#: Budget that is left to the knapsack program, at first and should that miss; it bounds the program's
+#: memory, a bit and four bytes for each sum up to twice the budget.
+EXACT, WIDE = 1 << 16, 1 << 18
 _BUCKETS = 64
 
 
@@ -49,58 +57,70 @@ def fill(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if total <= budget or not total:
         return list(counts)
-    taken = [c * budget // total for c in counts]
+    taken, gap = _fitted(sizes, counts, budget, budget, EXACT)
+    if gap:
+        other, less = _fitted(sizes, counts, budget, max(0, budget - WIDE), WIDE)
+        if less < gap:
+            return other
+    return taken
+
+
+def _fitted(sizes: list[int], counts: list[int], budget: int, shared: int, program: int) -> tuple[list[int], int]:
+    """What to take with a share of ``shared`` of each length and about ``program`` left to the program, and the distance."""
+    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
+    taken = [c * shared // total for c in counts]
     rest = budget - sum(s * t for s, t in zip(sizes, taken, strict=True))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     while True:  # one more of each length, longest first, down to what the program takes
         before = rest
         for i in order:
-            if rest <= EXACT:
+            if rest <= program:
                 break
-            if 0 < sizes[i] <= rest - EXACT // 2 and taken[i] < counts[i]:
+            if 0 < sizes[i] <= rest - program // 2 and taken[i] < counts[i]:
                 taken[i] += 1
                 rest -= sizes[i]
-        if rest <= EXACT or rest == before:
+        if rest <= program or rest == before:
             break
     free = [c - t for c, t in zip(counts, taken, strict=True)]
-    chosen, total = _nearest(sizes, free, rest, rest)
-    if total < rest:  # a sum above the budget may be nearer
-        chosen, total = _nearest(sizes, free, rest, 2 * rest - total - 1)
-    gap = abs(total - rest)
-    if gap and budget <= 4 * EXACT:  # a small source: without the share of each length a nearer sum may do
-        other, total = _nearest(sizes, counts, budget, budget + gap)
-        if abs(total - budget) < gap:
-            return other
-    return [t + n for t, n in zip(taken, chosen, strict=True)]
+    chosen, reached = _nearest(sizes, free, rest, rest)
+    if reached < rest:  # a sum above the budget may be nearer
+        chosen, reached = _nearest(sizes, free, rest, 2 * rest - reached - 1)
+    return [t + n for t, n in zip(taken, chosen, strict=True)], abs(reached - rest)
 
 
 def _nearest(sizes: list[int], counts: list[int], wanted: int, most: int) -> tuple[list[int], int]:
     """Bounded knapsack: how many of each size make the sum nearest ``wanted`` among those up to ``most``, and the sum.
 
-    Of two sums as near the smaller one is chosen.
+    Of two sums as near the smaller one is chosen.  For each sum the item that first
+    reached it is kept, so the memory does not grow with the number of items.
     """
-    mask, rows, items = (1 << most + 1) - 1, [1], []  # bit b of a row: the items so far can sum to b
+    mask, row, items = (1 << most + 1) - 1, 1, []  # bit b of the row: the items so far can sum to b
+    via = np.zeros(most + 1, np.int32)
     for i in sorted(range(len(sizes)), key=lambda i: sizes[i]):
         if not 0 < sizes[i] <= most:
             continue
         free, step = min(counts[i], most // sizes[i]), 1
-        while free and not rows[-1] >> wanted & 1:
+        while free and not row >> wanted & 1:
             step = min(step, free)
-            rows.append((rows[-1] | rows[-1] << sizes[i] * step) & mask)
-            items.append((i, step))
+            grown = (row | row << sizes[i] * step) & mask
+            if grown != row:
+                items.append((i, step))
+                new = np.frombuffer((grown ^ row).to_bytes((most >> 3) + 1, "little"), np.uint8)
+                via[np.flatnonzero(np.unpackbits(new, bitorder="little"))] = len(items)
+                row = grown
             free -= step
             step *= 2
-        if rows[-1] >> wanted & 1:
+        if row >> wanted & 1:
             break
-    below = (rows[-1] & (1 << wanted + 1) - 1).bit_length() - 1
-    above = rows[-1] >> wanted
+    below = (row & (1 << wanted + 1) - 1).bit_length() - 1
+    above = row >> wanted
     above = wanted + (above & -above).bit_length() - 1 if above else 2 * wanted + 1
     total = at = below if wanted - below <= above - wanted else above
     taken = [0] * len(sizes)
-    for (i, step), row in zip(reversed(items), reversed(rows[:-1]), strict=True):
-        if not row >> at & 1:
-            at -= sizes[i] * step
-            taken[i] += step
+    while at:
+        i, step = items[via[at] - 1]
+        at -= sizes[i] * step
+        taken[i] += step
     return taken, total
 
 
@@ -114,45 +134,42 @@ def _plan_source(group: pa.Table) -> pa.Table:
                      "target": group.column("target"), "_times": pa.array([times] * len(sizes), pa.int32()), "_extra": pa.array(extra, pa.int64())})
 
 
-def targets(sources: DataFrame) -> DataFrame:
-    """``_source, source_size, target`` from ``sources (_source, source_size)``, one row per source."""
+def _weighted(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``weight``, by place; places are counted within ranges of the names."""
+    parts = written(sources.select("_source", "source_size").repartitionByRange("_source").withColumn("part", F.spark_partition_id()), "sources")
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", ahead.alias("ahead"))  # a row per range
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy("_source")) - 1
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    order = Window.orderBy("_source")
-    ranked = sources.select("_source", "source_size", F.get(weights, F.pmod(F.row_number().over(order) - 1, F.lit(len(WEIGHTS)))).alias("weight"))
-    # In order of the level at which a source is full: what is full, and what still shares.
-    level = F.col("source_size") * float(MOST) / F.col("weight")
-    upto = Window.orderBy(level, "_source").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    ranked = ranked.select("*", level.alias("full_at"),
-                           F.coalesce(F.sum("source_size").over(upto), F.lit(0)).alias("full"),
-                           F.coalesce(F.sum("weight").over(upto), F.lit(0.0)).alias("gone"),
-                           F.sum("source_size").over(every).alias("all_sizes"), F.sum("weight").over(every).alias("all_weights"))
-    water = (F.col("all_sizes") * SHARE - F.col("full") * float(MOST)) / (F.col("all_weights") - F.col("gone"))
-    # The level is that of the first source, in this order, that it does not fill.
-    place = F.row_number().over(Window.orderBy(level, "_source"))
-    ranked = ranked.withColumn("water", F.struct(place.alias("place"), water.alias("level")))
-    ranked = ranked.withColumn("water", F.min(F.when(F.col("water.level") <= F.col("full_at"), F.col("water"))).over(every)["level"])
-    return ranked.select("_source", "source_size", F.least(F.col("source_size") * float(MOST), F.coalesce("water", "full_at") * F.col("weight")).alias("target"))
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    # A prefix orders null last and keeps the code-point order of the rest.
-    hashed = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED))
-    return docs.select("*", F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")).alias("_source"),
-                       F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-                       hashed.alias("_hash"), F.shiftrightunsigned(hashed, 58).cast("int").alias("_bucket"))
+    ranked = parts.join(starts, "part").select("_source", "source_size", F.get(weights, F.pmod(place, F.lit(len(WEIGHTS))).cast("int")).alias("weight"))
+    return written(ranked, "sources")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", narrow: bool = False) -> DataFrame:
-    """``docs`` with ``times``, how often the mix takes each row, and its size, source size and target.
+def targets(sources: DataFrame) -> DataFrame:
+    """``_source, source_size, target`` from ``sources (_source, source_size)``, one row per source."""
+    ranked, level, before = _weighted(sources), 0.0, -1
+    while True:
+        full = F.col("source_size") * float(MOST) < F.col("weight") * level
+        now = ranked.agg(F.sum("source_size").alias("every"), F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)).alias("full"),
+                         F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("weight"), F.count_if(full).alias("n")).first()
+        if not now["weight"] or now["n"] == before:
+            break
+        level, before = (now["every"] * SHARE - now["full"] * float(MOST)) / now["weight"], now["n"]
+    return ranked.select("_source", "source_size", F.least(F.col("source_size") * float(MOST), F.col("weight") * level).alias("target"))
 
-    ``narrow`` keeps the id alone of the columns of ``docs``.
-    """
-    kept = [id_col] if narrow else [c for c in docs.columns if c not in ("times", "size", "source_size", "target")]
-    rows = _keyed(docs, id_col, text_col, source_col).select(*kept, "_source", "_size", "_hash", "_bucket")
+
+def _mixed(docs: DataFrame, kept: list[str], results: list[str], id_col: str, text_col: str, source_col: str, narrow: bool) -> DataFrame:
+    """The columns ``kept`` of ``docs`` and the results times, size, source size and target under the given names."""
+    key, size, hashed, bucket, place, once, more = fresh([*docs.columns, *results], "_from", "_words", "_hash", "_bucket", "_place", "_once", "_more")
+    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    # A prefix orders null last and keeps the code-point order of the rest.
+    name = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
+    number = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED))
+    rows = docs.select(*kept, name.alias(key), words.alias(size), number.alias(hashed), F.shiftrightunsigned(number, 58).cast("int").alias(bucket))
     if narrow:
         rows = written(rows, "sizes")
-    buckets = written(rows.groupBy("_source", "_size", "_bucket").agg(F.count("*").alias("_count")), "buckets")
+    counted = rows.groupBy(F.col(key).alias("_source"), F.col(size).alias("_size"), F.col(bucket).alias("_bucket")).agg(F.count("*").alias("_count"))
+    buckets = written(counted, "buckets")
     lengths = buckets.groupBy("_source", "_size").agg(F.sum("_count").alias("_count"))
     sources = lengths.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_count")).alias("source_size"))
     histogram = lengths.join(targets(sources), "_source").select("_source", "_size", "_count", "source_size", "target")
@@ -161,11 +178,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # At most 64 rows per (source, length): how many each hash range gives.
     before = Window.partitionBy("_source", "_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = buckets.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0)))
-    ranges = ranges.join(planned, ["_source", "_size"]).withColumn("_take", F.col("_extra") - F.col("_before")).drop("_count", "_before", "_extra")
-    place = F.row_number().over(Window.partitionBy("_source", "_size", "_bucket").orderBy("_hash", id_col))
-    chosen = rows.join(ranges, ["_source", "_size", "_bucket"]).withColumn("_place", place)
-    times = F.col("_times") + F.when(F.col("_place") <= F.col("_take"), 1).otherwise(0)
-    return chosen.select(*kept, F.col("_size").alias("size"), "source_size", "target", times.alias("times"))
+    ranges = ranges.join(planned, ["_source", "_size"]).withColumn("_take", F.col("_extra") - F.col("_before"))
+    times, said, whole, target = results
+    ranges = ranges.select(F.col("_source").alias(key), F.col("_size").alias(size), F.col("_bucket").alias(bucket), F.col("source_size").alias(whole), F.col("target").alias(target), F.col("_times").alias(once), F.col("_take").alias(more))
+    nth = F.row_number().over(Window.partitionBy(key, size, bucket).orderBy(hashed, id_col))
+    chosen = rows.join(ranges, [key, size, bucket]).withColumn(place, nth)
+    taken = F.col(once) + F.when(F.col(place) <= F.col(more), 1).otherwise(0)
+    return chosen.select(*kept, F.col(size).alias(said), whole, target, taken.alias(times))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", narrow: bool = False) -> DataFrame:
+    """``docs`` with ``times``, how often the mix takes each row, and its size, source size and target.
+
+    ``narrow`` keeps the id alone of the columns of ``docs``.
+    """
+    results = ["times", "size", "source_size", "target"]
+    return _mixed(docs, [id_col] if narrow else [c for c in docs.columns if c not in results], results, id_col, text_col, source_col, narrow)
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -175,4 +203,6 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    return mix(docs).select(F.explode(F.expr("array_repeat(0, times)")).alias("_copy"), *docs.columns).select(*docs.columns)
+    results = fresh(docs.columns, "_times", "_said", "_whole", "_target")
+    rows = _mixed(docs, docs.columns, results, "doc_id", "text", "source", False)
+    return rows.select(F.explode(F.array_repeat(F.lit(0), F.col(results[0]))).alias(results[1]), *docs.columns).select(*docs.columns)

@@ -189,3 +189,31 @@ def test_seeded_texts_have_the_tokenizers_ids():
     want = tokenizer.encode_batch(texts, add_special_tokens=False)
     wrong = [t for t, w in zip(texts, want, strict=True) if encoder.encode(t) != np.array(w.ids, "<u4").tobytes()]
     assert not wrong, wrong[:5]
+
+
+def test_the_mix_keeps_columns_named_like_its_own(spark):
+    rows = [(k, "w " * (k % 30 + 1), "s" + str(k % 4), 99, 98, 97, 96, "f", "g") for k in range(200)]
+    names = "doc_id long, text string, source string, size int, target int, source_size int, times int, _from string, _times string"
+    frame = spark.createDataFrame(rows, names)
+    found = mixing.mixed(frame)
+    assert found.columns == frame.columns and set(map(tuple, found.collect())) <= set(rows)
+
+
+def test_many_sources_meet_plain_targets(spark):
+    rng = random.Random(14)
+    sizes = {f"s{rng.randrange(10**9)}": rng.choice([0, 1, 5, rng.randrange(1, 10**4), 10 ** rng.randrange(1, 9)]) for _ in range(1500)}
+    frame = spark.createDataFrame([("0" + s, n) for s, n in sizes.items()], "_source string, source_size long")
+    found = {r["_source"][1:]: r["target"] for r in mixing.targets(frame).collect()}
+    want = plain_targets(sizes)
+    assert set(found) == set(want) and all(abs(found[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
+def test_the_program_keeps_little_however_many_sizes():
+    import tracemalloc
+
+    sizes = [2 * k for k in range(1, 20_001)]
+    tracemalloc.start()
+    taken = mixing.fill(sizes, [1] * len(sizes), 1_000_001)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert abs(sum(s * t for s, t in zip(sizes, taken)) - 1_000_001) == 1
