@@ -1,8 +1,9 @@
 """Interleaved document sequences: ordered text and media references, resolved by digest.
 
 * :func:`sequences` parses HTML into an ordered array of ``text`` and ``media``
-  items.  A media item carries the payload's digest, its place and its caption
-  (the enclosing figure's caption, else the alternative text).
+  items.  A media item carries the payload's digest, its place and its caption: that
+  of the nearest enclosing figure that has one, else the alternative text.  Media
+  elements that point elsewhere are listed apart, with the place they stand at.
 * :func:`encode_media` stores payloads losslessly as 8-bit grey PNG images, 64
   samples a row, one row per distinct payload.
 * :func:`read_media` reads stored images back: payload, checks and a feature.
@@ -15,7 +16,10 @@ references are rows of a join by digest, which the engine may split.
 Edge cases
     * null text: empty; a payload is padded with zero bytes to a positive multiple
       of 64, so an empty text is 64 zero bytes;
-    * null or empty HTML: an empty sequence; unclosed tags are tolerated;
+    * null or empty HTML: an empty sequence;
+    * unclosed tags: an element ends with the one around it; a figure that is never
+      closed ends with the page, a caption that is never closed with its first block;
+    * a caption outside a figure, or in one without media, is text at its place;
     * repeated rows keep their own result rows; extra columns are ignored; empty
       tables give empty results.
 """
@@ -32,10 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.llm.common import fresh
+
 ROW = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _SCHEME = "media:"
+_BLOCKS = frozenset("article section main header footer aside nav div blockquote figure figcaption p ul ol li table tr td th h1 h2 h3 h4 h5 h6".split())
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
+OUTSIDE = "array<struct<position:int,src:string,caption:string>>"
 
 
 def to_png(payload: bytes) -> bytes:
@@ -79,6 +87,14 @@ def feature_of(payload: bytes) -> str:
     return f"{bits}-{total * 1000 // len(payload)}"
 
 
+class _Figure:
+    """An open figure: places of its media, which still lack a caption, and of its caption's blocks."""
+
+    def __init__(self) -> None:
+        self.media: list[int] = []
+        self.said: list[int] = []
+
+
 class _Sequence(HTMLParser):
     """Collects text runs and media references in document order."""
 
@@ -86,74 +102,122 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.caption: list[str] | None = None
-        self.figure: int | None = None
+        self.open: list[tuple[str, _Figure | None, int]] = []  # element, its figure, blocks said before
         self.silent = 0
 
+    def inner(self) -> tuple[str, _Figure | None]:
+        """The innermost open figure or caption, and its figure."""
+        return next(((tag, figure) for tag, figure, _ in reversed(self.open) if figure), ("", None))
+
+    def add(self, kind: str, text: str | None, digest: str | None, caption: str | None) -> None:
+        tag, figure = self.inner()
+        if figure and kind != "text":
+            figure.media.append(len(self.items))
+        elif figure and tag == "figcaption":
+            figure.said.append(len(self.items))
+        self.items.append({"kind": kind, "text": text, "digest": digest, "caption": caption})
+
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
+            self.add("text", text, None, None)
+
+    def leave(self) -> None:
+        """Close the innermost open element."""
+        self.flush()
+        tag, figure, _ = self.open.pop()
+        if tag != "figure" or not figure.media:
+            return
+        if figure.said:
+            caption = " ".join(self.items[at]["text"] for at in figure.said)
+            for at in figure.media:
+                self.items[at]["caption"] = caption
+            for at in figure.said:
+                self.items[at]["kind"] = ""
+        elif self.inner()[1]:
+            self.inner()[1].media += figure.media
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("script", "style"):
             self.silent += 1
-        elif tag == "figure":
-            self.flush()
-            self.figure = len(self.items)
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = []
         elif tag in ("img", "audio", "video", "source"):
             named = dict(attrs)
             source = named.get("src") or ""
-            if source.startswith(_SCHEME):
+            if source:
                 self.flush()
-                self.items.append({"position": len(self.items), "kind": "media", "text": None,
-                                   "digest": source.removeprefix(_SCHEME), "caption": named.get("alt") or None})
-        elif tag in ("p", "div", "br", "li", "h1", "h2", "h3", "tr", "article", "section"):
+                ours = source.startswith(_SCHEME)
+                self.add("media" if ours else "outside", None, source.removeprefix(_SCHEME) if ours else source, named.get("alt") or None)
+        elif tag in _BLOCKS:
+            self.flush()
+            if self.open and (self.open[-1][0] == "p" or self.open[-1][0] == tag == "li"):
+                self.leave()
+            figure = _Figure() if tag == "figure" else self.inner()[1] if tag == "figcaption" else None
+            self.open.append((tag, figure, len(figure.said) if figure else 0))
+        elif tag == "br":
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure or 0 :]:
-                if item["kind"] == "media" and said:
-                    item["caption"] = said
-        elif tag == "figure":
-            self.flush()
-            self.figure = None
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "tr", "article", "section"):
+        elif tag in _BLOCKS:
             self.flush()
+            if any(tag == t for t, *_ in (self.open[-1:] if tag == "p" else self.open)):
+                while self.open[-1][0] != tag:
+                    self.leave()
+                self.leave()
 
     def handle_data(self, data: str) -> None:
-        if self.silent:
-            return
-        (self.text if self.caption is None else self.caption).append(data)
+        if not self.silent:
+            self.text.append(data)
+
+    def finish(self) -> tuple[list[dict], list[dict]]:
+        """The items, numbered, and the media elements that point elsewhere."""
+        self.flush()
+        for tag, figure, before in self.open:
+            if tag == "figcaption" and figure:
+                del figure.said[before + 1 :]
+        while self.open:
+            self.leave()
+        items, outside = [], []
+        for item in self.items:
+            if item["kind"] == "outside":
+                outside.append({"position": len(items), "src": item["digest"], "caption": item["caption"]})
+            elif item["kind"]:
+                items.append({"position": len(items), **item})
+        return items, outside
+
+
+def parse_page(html: str | None) -> tuple[list[dict], list[dict]]:
+    """The ordered items of one page, and its media elements that point elsewhere."""
+    parser = _Sequence()
+    parser.feed(html or "")
+    parser.close()
+    return parser.finish()
 
 
 def parse_html(html: str | None) -> list[dict]:
     """The ordered items of one page."""
-    parser = _Sequence()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.items
+    return parse_page(html)[0]
 
 
 def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """``id_col, items`` for every row of ``pages``."""
-    narrow = pages.select(id_col, F.col(html_col).cast("string").alias("_html"))
-    schema = narrow.select(id_col, F.lit(None).cast(ITEMS).alias("items")).schema
+    """``id_col, items, outside`` for every row of ``pages``.
+
+    ``outside`` lists what points elsewhere: the position it stands before, its source and caption.
+    """
+    (html,) = fresh([id_col], "_html")
+    narrow = pages.select(id_col, F.col(html_col).cast("string").alias(html))
+    schema = narrow.select(id_col, F.lit(None).cast(ITEMS).alias("items"), F.lit(None).cast(OUTSIDE).alias("outside")).schema
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+    other = pa.list_(pa.struct([("position", pa.int32()), ("src", pa.string()), ("caption", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [parse_html(h.as_py()) for h in batch.column("_html")]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(parsed, kind)], [id_col, "items"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                parsed = [parse_page(h.as_py()) for h in part.column(html)]
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array([p for p, _ in parsed], kind), pa.array([o for _, o in parsed], other)], [id_col, "items", "outside"])
 
     return narrow.mapInArrow(run, schema)
 
@@ -198,7 +262,7 @@ def read_media(store: DataFrame) -> DataFrame:
 
 def references(parsed: DataFrame) -> DataFrame:
     """One row per media item of :func:`sequences`' result: its place, digest and caption."""
-    kept = [c for c in parsed.columns if c != "items"]
+    kept = [c for c in parsed.columns if c not in ("items", "outside")]
     items = parsed.select(*kept, F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("item"))
     return items.select(*kept, "item.position", "item.digest", "item.caption")
 
@@ -208,18 +272,38 @@ def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
     return refs.join(media, "digest", "left")
 
 
-def document_media(docs: DataFrame) -> DataFrame:
+def document_page(text: Column, digest: Column) -> Column:
+    """A page of a text: its first line, a figure of the payload, its other lines, a link elsewhere and the payload again."""
+    safe = text
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(char), F.lit(entity))
+    lines = F.split(safe, "\n", -1)
+    rest = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    return F.concat(
+        F.lit("<article><p>"), F.get(lines, F.lit(0)), F.lit(f'</p><figure><img src="{_SCHEME}'), digest, F.lit('" alt="text"><figcaption>Text of '),
+        F.octet_length(text).cast("string"), F.lit(" bytes</figcaption></figure>"), F.array_join(rest, ""),
+        F.lit(f'<p>Cover: <img src="https://example.org/cover.png" alt="cover"> and again</p><img src="{_SCHEME}'), digest, F.lit('" alt="again"></article>'))
+
+
+def placed_media(docs: DataFrame) -> DataFrame:
     """Every document's text as a stored image, referenced from a page and resolved by digest.
 
-    Each document becomes a page with one figure; the page is parsed, its reference
-    joined to what was read back from the store.
+    Each document becomes a page with its lines, a figure and another reference; the page
+    is parsed and the figure's reference joined to what was read back from the store.
+    ``position`` and ``caption`` are the figure's, ``n_items`` counts the page's items and
+    ``last_position`` is the other reference's.
     """
     narrow = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digest = F.sha2(payload_of(F.col("text")), 256)
-    pages = narrow.select(
-        F.struct("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).alias("page"),
-        F.concat(F.lit(f'<article><p>Document</p><figure><img src="{_SCHEME}'), digest, F.lit('" alt="text"><figcaption>Text of the document</figcaption></figure></article>')).alias("html"))
-    refs = references(sequences(pages, "page", "html")).select("page.doc_id", "page.n_bytes", "position", "caption", "digest")
+    pages = narrow.select(F.struct("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).alias("page"), document_page(F.col("text"), digest).alias("html"))
+    parsed = sequences(pages, "page", "html")
+    places = F.struct(F.col("page.doc_id"), F.col("page.n_bytes"), F.size("items").alias("n_items"), F.element_at("items", -1)["position"].alias("last_position"))
+    refs = references(parsed.select(places.alias("page"), "items")).where("position < page.last_position")
     store = encode_media(narrow.select(payload_of(F.col("text")).alias("payload")))
-    return resolve(refs, read_media(store)).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return resolve(refs.select("page.*", "position", "caption", "digest"), read_media(store)).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items", "last_position")
+
+
+def document_media(docs: DataFrame) -> DataFrame:
+    """:func:`placed_media` without the places on the page."""
+    return placed_media(docs).drop("position", "caption", "n_items", "last_position")

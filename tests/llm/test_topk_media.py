@@ -6,6 +6,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import media, topk
 
@@ -87,3 +88,65 @@ def test_a_third_of_the_rows_with_one_id_is_spread(spark):
     rows = [(7, [rng.gauss(0, 1) for _ in range(4)]) for _ in range(300)] + [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(100, 700)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     assert sorted(tuple(r) for r in topk.self_search(frame).collect()) == sorted(plain_top(rows, 50, 5))
+
+
+def plain_png(stored):
+    """Samples of a grey 8-bit image by the format's own rules."""
+    assert stored[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, chunks = 8, []
+    while at < len(stored):
+        size = int.from_bytes(stored[at : at + 4], "big")
+        kind, body = stored[at + 4 : at + 8], stored[at + 8 : at + 8 + size]
+        assert zlib.crc32(kind + body) == int.from_bytes(stored[at + 8 + size : at + 12 + size], "big")
+        chunks.append((kind, body))
+        at += 12 + size
+    assert [k for k, _ in chunks] == [b"IHDR", b"IDAT", b"IEND"]
+    width, height = int.from_bytes(chunks[0][1][:4], "big"), int.from_bytes(chunks[0][1][4:8], "big")
+    assert chunks[0][1][8:] == bytes([8, 0, 0, 0, 0])
+    raw = zlib.decompress(chunks[1][1])
+    assert len(raw) == height * (width + 1) and not any(raw[:: width + 1])
+    return b"".join(raw[k + 1 : k + 1 + width] for k in range(0, len(raw), width + 1))
+
+
+def plain_feature(payload):
+    columns = [sum(payload[k::64]) for k in range(64)]
+    bits = "".join("1" if c * 64 > sum(payload) else "0" for c in columns)
+    return f"{int(bits, 2):016x}-{sum(payload) * 1000 // len(payload)}"
+
+
+def test_media_against_the_format_itself(spark):
+    texts = {k: t for k, t in enumerate(["", None, "a", "x" * 64, "x" * 65, "\u20ac\u00e9 <b>&amp;</b>\nsecond line\n\n third", "x" * 64, "many\nlines\n" * 500])}
+    payloads = {}
+    for k, t in texts.items():
+        data = (t or "").encode()
+        payloads[k] = data + bytes(max(1, -(-len(data) // 64)) * 64 - len(data))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    store = media.encode_media(frame.select(media.payload_of(F.col("text")).alias("payload"))).collect()
+    held = {r["digest"]: bytes(r["media"]) for r in store}
+    assert len(store) == len(set(payloads.values())) and all(hashlib.sha256(plain_png(m)).hexdigest() == d for d, m in held.items())
+    for r in media.placed_media(frame).collect():
+        payload, text = payloads[r["doc_id"]], texts[r["doc_id"]] or ""
+        stored = held[hashlib.sha256(payload).hexdigest()]
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(stored), hashlib.sha256(stored).hexdigest(), plain_feature(payload))
+        lines = [bool(x.split()) for x in text.split("\n")]
+        assert (r["position"], r["caption"]) == (int(lines[0]), f"Text of {len(text.encode())} bytes")
+        assert (r["n_items"], r["last_position"]) == (sum(lines) + 4, sum(lines) + 3)
+
+
+@pytest.mark.parametrize(("html", "items", "outside"), [
+    ('<img src="media:a" alt=A><p>x</p><figcaption>stray</figcaption>', [("a", "A"), "x", "stray"], []),
+    ('<figure><img src="media:o"><figure><img src="media:i" alt=I><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>', [("o", "outer"), ("i", "inner")], []),
+    ('<figure><figure><img src="media:i" alt=I></figure><figcaption>outer <b>one</b></figcaption></figure><img src="media:z">', [("i", "outer one"), ("z", None)], []),
+    ('<figure><img src="media:a"><figcaption>cap<p>first</p></figure><p>rest</p>', [("a", "cap first"), "rest"], []),
+    ('<figure><img src="media:a"><figcaption>cap<p>rest</p><p>more</p>', [("a", "cap"), "rest", "more"], []),
+    ('<article><figure><img src="media:a"><figcaption>cap</article><p>rest', [("a", "cap"), "rest"], []),
+    ('<figure><figcaption>before</figcaption><p>in</p><img src="media:a"><img src="media:b" alt=B></figure>', ["in", ("a", "before"), ("b", "before")], []),
+    ('<p>t<figure><figcaption>no media</figcaption></figure></p>u', ["t", "no media", "u"], []),
+    ('<p>t</p><figure><img src="https://x/y.png" alt=Y><figcaption>far</figcaption></figure><video src=v.mp4></video><p>u<img src="media:a">', ["t", "u", ("a", None)], [(1, "https://x/y.png", "far"), (1, "v.mp4", None)]),
+    ("</figure></figcaption></p><figcaption>", [], []),
+])
+def test_positions_and_captions_of_any_page(html, items, outside):
+    found, far = media.parse_page(html)
+    assert [(i["digest"], i["caption"]) if i["kind"] == "media" else i["text"] for i in found] == items
+    assert [i["position"] for i in found] == list(range(len(items)))
+    assert [(o["position"], o["src"], o["caption"]) for o in far] == outside
