@@ -7,28 +7,38 @@ Sparse suffixes
     Of the ``LENGTH``-byte windows of a text, neighbours whose smallest ``GRAM``-byte
     hash is the same make one *stretch* (at most ``MOST`` windows).  Two equal
     windows always have the same smallest hash, so only suffixes at stretches need
-    sorting, about one in 17 of all.  A stretch's leading token is that hash, its
-    next token a hash of its bytes.
+    sorting, about one in 17 of all.  A stretch's leading token is that hash.
 
 Range partitioning
-    Splitters sampled from the leading tokens of a bounded sample of documents cut
-    the tokens' range into buckets of about ``BUCKET_BYTES`` of text; the sample
-    touches the balance alone.  What travels is packed tokens, not text.
+    Splitters sampled from the leading tokens of a sample of documents, spread over
+    the whole table by a hash of the id, cut the tokens' range into buckets of about
+    ``BUCKET_BYTES`` of text, as many as the data takes.  What travels is packed
+    tokens, not text.  A bucket sorts its suffixes by token; those whose token also
+    leads suffixes of another document are *open*.
 
 Local sort and compare
-    A bucket sorts its suffixes by multikey sort (ties of one token are refined by
-    the next; among equal ones the smallest id leads).  A stretch whose bytes also
-    lie in a smaller document is removed whole.  The first of each kind, if its
-    leading token has other kinds too, stays *open*: only its bytes are cut from the
-    text and sent to the bucket, where all its windows are sorted byte by byte, eight
-    at a time, and compared with their neighbours.  Equal leading tokens never
-    straddle a boundary, so no bucket needs its neighbour's rows.
+    Only the bytes of open stretches are cut from the text and sent to their bucket.
+    There, equal stretches are found by hash and then compared byte by byte with the
+    first; what is left of a token with several kinds of stretches is sorted as
+    single windows, by multikey sort on eight bytes at a time, and compared with its
+    neighbours.  Hashes only ever choose what is compared: nothing is removed that
+    was not compared in bytes.  Equal leading tokens share a bucket, so there is
+    nothing to compare across a boundary.
+
+Hot tokens
+    Equal stretches within a batch of texts are compared there, and the smallest id
+    alone sends them on.  A token that ``HOT`` documents of the sample have, such as
+    those of a licence line, has no bucket: its windows are dealt on their own, by a
+    hash of their bytes, after equal ones of a batch were compared.  So a string that
+    every document has costs a row per batch, and no task receives a token's or a
+    string's whole share of the corpus.  The sample touches the balance alone.
 
 Copies
     Copies of a whole text are found by their SHA-256 and removed whole; within a
     batch only the smallest id of a text sends its tokens.
 
-The text is shuffled once (cut and final assembly reuse the exchange).
+The text is shuffled once (cut and final assembly reuse the exchange), for joins that the
+engine may split where rows repeat.
 
 Edge cases
     * null text: empty; texts shorter than ``LENGTH`` keep everything;
@@ -50,21 +60,22 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import removed, written
 
 LENGTH = 50
 GRAM = 20
 MOST = 31
 BUCKET_BYTES = 32 << 20
-#: Documents from which the splitters are sampled.
-SAMPLE_DOCS = 400
+#: Documents of the sample, at least, and one in so many of a large table; a token that so many of them have is hot.
+SAMPLE_DOCS, SAMPLE_SHARE, HOT = 2_000, 100_000, 4
+#: Tokens taken from a segment of a sampled document, and tokens from which splitters are made.
+SAMPLE_TOKENS, SPLIT_TOKENS = 1_024, 25_600
 _SEGMENT = 1 << 20
 _EMIT = 16 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
 _OPEN = np.dtype([("start", "<u4"), ("windows", "<u4"), ("token", "<u8")])
-_NONE = np.uint64(2**64 - 1)
 
 
 def _powers(base: int, count: int) -> np.ndarray:
@@ -138,8 +149,8 @@ class Hasher:
         return np.array(rows)[part], offset, windows, token[start], content >> np.uint64(16)
 
 
-def _encoded(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray, token: np.ndarray, content: np.ndarray) -> bytes:
-    """Stretches of one bucket, in order of row, as one compressed string."""
+def _encoded(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray, token: np.ndarray, cut: bytes = b"") -> bytes:
+    """Stretches of one bucket, in order of row, and what was cut at them, as one compressed string."""
     new = np.concatenate([[True], row[1:] != row[:-1]])
     begin = np.flatnonzero(new)
     step = start.astype(np.int64).copy()
@@ -147,7 +158,7 @@ def _encoded(ids: np.ndarray, keys: np.ndarray, row: np.ndarray, start: np.ndarr
     narrow = lambda x, n: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
     head = np.array([len(begin), len(row)], "<u4").tobytes()
     body = [ids[row[begin]].astype("<i8").tobytes(), keys[row[begin]].astype("<i8").tobytes(), np.diff(np.append(begin, len(row))).astype("<u4").tobytes(),
-            step.astype("<u4").tobytes(), windows.astype(np.uint8).tobytes(), narrow(token & np.uint64((1 << 48) - 1), 6), narrow(content, 6)]
+            step.astype("<u4").tobytes(), windows.astype(np.uint8).tobytes(), narrow(token & np.uint64((1 << 48) - 1), 6), cut]
     return head + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
 
@@ -161,17 +172,23 @@ def _decoded(blob: bytes) -> tuple[np.ndarray, ...]:
         at += out.nbytes
         return out
 
-    def wide(count: int) -> np.ndarray:
-        out = np.zeros((count, 8), np.uint8)
-        out[:, :6] = take("u1", 6 * count).reshape(-1, 6)
-        return out.view("<u8").ravel()
-
     ids, keys, counts, step, windows = take("<i8", docs), take("<i8", docs), take("<u4", docs), take("<u4", n), take("u1", n)
-    token, content = wide(n), wide(n)
+    token = np.zeros((n, 8), np.uint8)
+    token[:, :6] = take("u1", 6 * n).reshape(-1, 6)
     total = np.cumsum(step.astype(np.int64))
     before = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
     start = total - np.repeat(total[before] - step[before], counts)
-    return ids, keys, counts, start, windows.astype(np.int64), token, content
+    return ids, keys, counts, start, windows.astype(np.int64), token.view("<u8").ravel(), np.frombuffer(data, np.uint8, offset=at)
+
+
+def _joined(blobs: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+    """All stretches of the strings: ids, keys, row, start, windows, token and the bytes cut."""
+    parts, docs = [], 0
+    for blob in blobs:
+        ids, keys, counts, start, windows, token, cut = _decoded(blob.as_py())
+        parts.append((ids, keys, np.repeat(np.arange(docs, docs + len(ids), dtype=np.int32), counts), start.astype(np.uint32), windows.astype(np.uint8), token, cut))
+        docs += len(ids)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
@@ -204,7 +221,74 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _token_batches(splitters: np.ndarray, length: int):
+def _copies(data: np.ndarray, place: np.ndarray, windows: np.ndarray, token: np.ndarray, content: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which stretches equal, in bytes, one of a smaller document; and which are their kind's first, or unlike it."""
+    order = np.lexsort((doc, content, windows, token))
+    kind = _runs(token[order], windows[order], content[order])
+    first = _first_of(kind, order)
+    whole, lead = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    lead[order[doc[order] == doc[first]]] = True
+    later = np.flatnonzero(doc[order] > doc[first])
+    width = np.arange(MOST + length - 1)
+    for at in range(0, len(later), 100_000):
+        part = later[at : at + 100_000]
+        a, b = order[part], first[part]
+        inside = width < (windows[a].astype(np.int64) + length - 1)[:, None]
+        last = len(data) - 1
+        same = (data[np.minimum(place[a][:, None] + width, last)] == data[np.minimum(place[b][:, None] + width, last)]) | ~inside
+        same = same.all(axis=1)
+        whole[a[same]] = True
+        lead[a[~same]] = True
+    return whole, lead
+
+
+def _matrix(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """The windows at some places as rows of big-endian words, in the order of their bytes."""
+    matrix = np.zeros((len(place), -(-length // 8) * 8), np.uint8)
+    matrix[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[place]
+    return matrix.view(">u8").astype(np.uint64)
+
+
+def _later(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows also start in a smaller document."""
+    columns = [*words.T, doc]
+    by = multikey_order(columns)
+    sorted_doc = doc[by]
+    found = np.zeros(len(doc), bool)
+    found[by] = sorted_doc > _first_of(_runs(*(c[by] for c in columns[:-1])), sorted_doc) if len(by) else False
+    return found
+
+
+def _spread(start: np.ndarray, place: np.ndarray, windows: np.ndarray, *owners: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Single windows of stretches: their starts, places and what belongs to their stretch."""
+    counts = windows.astype(np.int64)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(start.astype(np.int64), counts) + nth, np.repeat(place, counts) + nth, *(np.repeat(o, counts) for o in owners)
+
+
+def _by_row(row: np.ndarray, keep: np.ndarray) -> list[np.ndarray]:
+    """The kept places, a group for each row."""
+    order = np.argsort(row, kind="stable")
+    order = order[keep[order]]
+    return np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else []
+
+
+def _spans(start: np.ndarray, size: np.ndarray | int) -> bytes:
+    return np.stack([start.astype(np.int64), start.astype(np.int64) + size], axis=1).astype("<u4").tobytes()
+
+
+#: What travels to a group: a bucket's tokens, a part's hot windows (numbered on from the buckets), or spans (below zero).
+_SENT = "bucket int, doc_id long, key long, tokens binary, spans binary"
+_MARKS = "doc_id long, key long, bucket int, spans binary, opens binary"
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * 5
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "doc_id", "key", "tokens", "spans"])
+
+
+def _token_batches(splitters: np.ndarray, hot: np.ndarray, buckets: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(length)
         for batch in batches:
@@ -212,98 +296,114 @@ def _token_batches(splitters: np.ndarray, length: int):
             sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)) if len(column) else []
             while at < batch.num_rows:
                 stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _EMIT)))
-                yield _blobs(hasher, batch.slice(at, stop - at), splitters)
+                yield _sent(_batch_rows(hasher, batch.slice(at, stop - at), splitters, hot, buckets))
                 at = stop
 
     return run
 
 
-def _blobs(hasher: Hasher, batch: pa.RecordBatch, splitters: np.ndarray) -> pa.RecordBatch:
+def _batch_rows(hasher: Hasher, batch: pa.RecordBatch, splitters: np.ndarray, hot: np.ndarray, buckets: int) -> list[tuple]:
+    length = hasher.length
     ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
     least: dict[bytes, int] = {}
     texts = [t.as_buffer().to_pybytes() for t in batch.column("text")]
     for row, text in enumerate(texts):
         if text not in least or ids[row] < ids[least[text]]:
             least[text] = row
-    found = list(hasher.stretches([t if least[t] == row else b"" for row, t in enumerate(texts)]))
+    texts = [t if least[t] == row else b"" for row, t in enumerate(texts)]
+    found = list(hasher.stretches(texts))
     if not found:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "tokens"])
-    row, start, windows, token, content = (np.concatenate(x) for x in zip(*found))
+        return []
+    row, start, windows, token, content = (np.concatenate(x) for x in zip(*found, strict=True))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    base = np.cumsum([0, *map(len, texts)])
+    place = base[row] + start
+    # Stretches that a smaller document of the batch has too go no further.
+    order = np.argsort(token)
+    same = token[order][1:] == token[order][:-1]
+    shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    whole = np.zeros(len(row), bool)
+    whole[shared] = _copies(data, place[shared], windows[shared], token[shared], content[shared], ids[row[shared]], length)[0]
+    out = [(-1 - int(keys[row[p[0]]]) % buckets, int(ids[row[p[0]]]), int(keys[row[p[0]]]), None, _spans(start[p], windows[p] + (length - 1))) for p in _by_row(row, whole)]
+    frequent = ~whole & np.isin(token, hot)
     bucket = np.searchsorted(splitters, token, "right")
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    numbers, blobs = [], []
-    for part in np.split(order, cuts):
-        numbers.append(int(bucket[part[0]]))
-        blobs.append(_encoded(ids, keys, *(x[part] for x in (row, start, windows, token, content))))
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "tokens"])
-
+    sent = np.flatnonzero(~whole & ~frequent)
+    sent = sent[np.argsort(bucket[sent], kind="stable")]
+    for part in np.split(sent, np.flatnonzero(np.diff(bucket[sent])) + 1) if len(sent) else []:
+        out.append((int(bucket[part[0]]), None, None, _encoded(ids, keys, *(x[part] for x in (row, start, windows, token))), None))
+    for part in np.array_split(np.flatnonzero(frequent), -(-int(windows[frequent].sum()) // 400_000) or 1):
+        if len(part):
+            out += _hot_rows(data, ids, keys, *_spread(start[part], place[part], windows[part], row[part]), buckets, length)
+    return out
+
+
+def _hot_rows(data, ids, keys, start, place, row, buckets: int, length: int) -> list[tuple]:
+    """Windows dealt by a hash of their bytes; of equal ones the smallest document's."""
+    words = _matrix(data, place, length)
+    gone = _later(words, ids[row])
+    out = [(-1 - int(keys[row[p[0]]]) % buckets, int(ids[row[p[0]]]), int(keys[row[p[0]]]), None, _spans(start[p], length)) for p in _by_row(row, gone)]
+    mixed = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        mixed = (mixed ^ column) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+    number = (mixed % np.uint64(buckets)).astype(np.int64)
+    left = np.flatnonzero(~gone)
+    left = left[np.lexsort((start[left], row[left], number[left]))]
+    cut = np.lib.stride_tricks.sliding_window_view(data, length)
+    for part in np.split(left, np.flatnonzero(np.diff(number[left])) + 1) if len(left) else []:
+        ones = np.ones(len(part), np.int64)
+        out.append((buckets + int(number[part[0]]), None, None, _encoded(ids, keys, row[part], start[part], ones, mixed[part], cut[place[part]].tobytes()), None))
+    return out
+
+
+def _mark_group(buckets: int, length: int):
+    """A group's marks: open stretches of a bucket, spans of a part's hot windows, or spans as they came."""
 
-_MARKS = "doc_id long, key long, bucket int, spans binary, opens binary"
-
-
-def _mark_bucket(length: int):
     def run(group: pa.Table) -> pa.Table:
         number = group.column("bucket")[0].as_py()
-        parts, docs = [], 0
-        for blob in group.column("tokens"):
-            ids, keys, counts, start, windows, token, content = _decoded(blob.as_py())
-            parts.append((ids, keys, np.repeat(np.arange(docs, docs + len(ids), dtype=np.int32), counts), start.astype(np.uint32), windows.astype(np.uint8), token, content))
-            docs += len(ids)
-        ids, keys, row, start, windows, token, content = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        # Tokens that stand alone match nothing; the rest is sorted by the further keys.
-        order = np.argsort(token)
-        same = token[order][1:] == token[order][:-1]
-        shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        row, start, windows, token, content = (x[shared] for x in (row, start, windows, token, content))
-        order = multikey_order([token, content, ids[row]])
-        row, start, windows, token, content = (x[order] for x in (row, start, windows, token, content))
-        doc = ids[row]
-        if not len(doc):
-            return _marks(number, ids, keys, row, start, windows, token, np.zeros(0, bool), np.zeros(0, bool), length)
-        lead = _runs(token)
-        kind = _runs(token, content, windows)
-        first = _first_of(kind, doc)
-        whole = doc > first
-        # Open: first documents of a kind whose token leads kinds of other documents too.
-        low, high = np.full(lead[-1] + 1, np.iinfo(np.int64).max), np.full(lead[-1] + 1, np.iinfo(np.int64).min)
-        np.minimum.at(low, lead, first)
-        np.maximum.at(high, lead, first)
-        return _marks(number, ids, keys, row, start, windows, token, whole, ~whole & (low[lead] < high[lead]), length)
+        out: list[tuple] = []
+        if number < 0:
+            out = [(d.as_py(), k.as_py(), None, s.as_py(), None) for d, k, s in zip(*(group.column(c) for c in ("doc_id", "key", "spans")), strict=True)]
+        else:
+            ids, keys, row, start, windows, token, cut = _joined(group.column("tokens"))
+            doc = ids[row]
+            if number >= buckets:
+                gone = _later(_matrix(cut, np.arange(len(row), dtype=np.int64) * length, length), doc)
+                out = [(int(ids[row[p[0]]]), int(keys[row[p[0]]]), None, _spans(start[p], length), None) for p in _by_row(row, gone)]
+            else:
+                order = multikey_order([token, doc])
+                lead = _runs(token[order])
+                low, high = _first_of(lead, doc[order]), _first_of(lead[-1] - lead[::-1], doc[order][::-1])[::-1]
+                opened = np.zeros(len(row), bool)
+                opened[order] = low < high
+                opens = np.zeros(len(row), _OPEN)
+                opens["start"], opens["windows"], opens["token"] = start, windows, token
+                out = [(int(ids[row[p[0]]]), int(keys[row[p[0]]]), number, None, opens[p].tobytes()) for p in _by_row(row, opened)]
+        columns = list(zip(*out)) if out else [[]] * 5
+        kinds = {"doc_id": pa.int64(), "key": pa.int64(), "bucket": pa.int32(), "spans": pa.binary(), "opens": pa.binary()}
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
     return run
 
 
-def _marks(number: int, ids, keys, row, start, windows, token, whole, opened, length: int) -> pa.Table:
-    spans = np.stack([start, start + windows.astype(np.uint32) + np.uint32(length - 1)], axis=1).astype("<u4")
-    opens = np.zeros(len(row), _OPEN)
-    opens["start"], opens["windows"], opens["token"] = start, windows, token
-    out = {"doc_id": [], "key": [], "spans": [], "opens": []}
-    order = np.argsort(row, kind="stable")
-    order = order[(whole | opened)[order]]
-    for part in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else []:
-        out["doc_id"].append(int(ids[row[part[0]]]))
-        out["key"].append(int(keys[row[part[0]]]))
-        out["spans"].append(spans[part[whole[part]]].tobytes() or None)
-        out["opens"].append(opens[part[opened[part]]].tobytes() or None)
-    return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "key": pa.array(out["key"], pa.int64()), "bucket": pa.array([number] * len(out["key"]), pa.int32()),
-                     "spans": pa.array(out["spans"], pa.binary()), "opens": pa.array(out["opens"], pa.binary())})
-
-
 def _cut_batches(length: int):
-    """The bytes of each row's open stretches, one row for each bucket they belong to."""
+    """The bytes of each row's open stretches, one row for each bucket they belong to; a row that repeats in a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            met: set[tuple] = set()
             for doc, key, text, lists in zip(*(batch.column(c) for c in ("doc_id", "key", "text", "lists")), strict=True):
+                name = (doc.as_py(), key.as_py())
+                if name in met:
+                    continue
+                met.add(name)
                 data = text.as_buffer().to_pybytes()
                 for item in lists.as_py():
                     opens = np.frombuffer(item["opens"], _OPEN)
                     stops = opens["start"] + opens["windows"] + (length - 1)
                     cut = b"".join(data[a:b] for a, b in zip(opens["start"].tolist(), stops.tolist(), strict=True))
-                    out.append((item["bucket"], doc.as_py(), key.as_py(), item["opens"], cut))
+                    out.append((item["bucket"], *name, item["opens"], cut))
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "doc_id", "key", "opens", "cut"])
 
@@ -311,49 +411,50 @@ def _cut_batches(length: int):
 
 
 def _resolve_bucket(length: int):
+    powers = _powers(_BASE, MOST + length)
+
     def run(group: pa.Table) -> pa.Table:
         ids, keys = (group.column(c).to_numpy() for c in ("doc_id", "key"))
         opens = [np.frombuffer(o.as_buffer(), _OPEN) for o in group.column("opens")]
         row = np.repeat(np.arange(len(opens)), [len(o) for o in opens])
         opens = np.concatenate(opens)
-        sizes = opens["windows"].astype(np.int64) + length - 1
+        start, windows, token, doc = opens["start"].astype(np.int64), opens["windows"].astype(np.int64), opens["token"], ids[row]
+        sizes = windows + length - 1
         base = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(c.as_buffer() for c in group.column("cut")), np.uint8)
-        order = np.argsort(opens["token"], kind="stable")
-        # Equal tokens stay in one part; parts bound the memory of the byte matrix.
-        lead = opens["token"][order]
-        load = np.cumsum(opens["windows"][order].astype(np.int64)) // 200_000
-        cuts = np.unique(np.searchsorted(lead, lead[np.flatnonzero(np.diff(load)) + 1], "left"))
-        rows, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for part in np.split(order, cuts[cuts > 0]):
-            counts = opens["windows"][part].astype(np.int64)
-            nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            place = np.repeat(base[part], counts) + nth
-            width = -(-length // 8) * 8
-            matrix = np.zeros((len(place), width), np.uint8)
-            matrix[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[place]
-            words = matrix.view(">u8").astype(np.uint64)
-            owner = np.repeat(row[part], counts)
-            keysets = [np.repeat(opens["token"][part], counts), *words.T, ids[owner]]
-            by = multikey_order(keysets)
-            run_of = _runs(*(k[by] for k in keysets[:-1]))
-            doc = ids[owner][by]
-            taken = by[doc > _first_of(run_of, doc)]
-            rows.append(owner[taken])
-            starts.append((np.repeat(opens["start"][part].astype(np.int64), counts) + nth)[taken])
-        row, start = np.concatenate(rows), np.concatenate(starts)
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        out = {"doc_id": [], "key": [], "spans": []}
-        for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1) if len(row) else []:
-            out["doc_id"].append(int(ids[row[part[0]]]))
-            out["key"].append(int(keys[row[part[0]]]))
-            out["spans"].append(np.stack([start[part], start[part] + length], axis=1).astype("<u4").tobytes())
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "key": pa.array(out["key"], pa.int64()), "spans": pa.array(out["spans"], pa.binary())})
+        content = np.concatenate([_contents(data, base[a : a + 50_000], sizes[a : a + 50_000], powers) for a in range(0, len(base), 50_000)])
+        whole, lead = _copies(data, base, windows, token, content, doc, length)
+        gone_rows, gone_spans = [row[whole]], [np.stack([start[whole], (start + sizes)[whole]], axis=1)]
+        # Firsts of their kind are compared window by window if their token has other documents' kinds too.
+        left = np.flatnonzero(lead)
+        left = left[np.lexsort((doc[left], token[left]))]
+        run_of = _runs(token[left])
+        low, high = _first_of(run_of, doc[left]), _first_of(run_of[-1] - run_of[::-1], doc[left][::-1])[::-1]
+        left = left[low < high]
+        # Equal tokens stay in one part; parts bound the memory of the windows.
+        ends = np.flatnonzero(np.diff(token[left]) != 0) + 1
+        load = np.cumsum(windows[left]) // 200_000
+        cuts = ends[np.diff(load[ends - 1], prepend=0) > 0] if len(ends) else ends
+        for part in np.split(left, cuts):
+            begin, place, owner, lead_token = _spread(start[part], base[part], windows[part], row[part], token[part])
+            found = _later(np.column_stack([lead_token, _matrix(data, place, length)]), ids[owner])
+            gone_rows.append(owner[found])
+            gone_spans.append(np.stack([begin[found], begin[found] + length], axis=1))
+        row, spans = np.concatenate(gone_rows), np.concatenate(gone_spans)
+        out = [(int(ids[row[p[0]]]), int(keys[row[p[0]]]), spans[p].astype("<u4").tobytes()) for p in _by_row(row, np.ones(len(row), bool))]
+        columns = list(zip(*out)) if out else [[]] * 3
+        return pa.table({"doc_id": pa.array(columns[0], pa.int64()), "key": pa.array(columns[1], pa.int64()), "spans": pa.array(columns[2], pa.binary())})
 
     return run
 
 
+def _contents(data: np.ndarray, base: np.ndarray, sizes: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """A hash of each stretch, whose bytes lie one after the other."""
+    part = data[base[0] : base[-1] + sizes[-1]]
+    inner = np.arange(len(part)) - np.repeat(base - base[0], sizes)
+    return np.add.reduceat(_TABLE[part] * powers[inner], base - base[0])
+
+
 def _kept_batches(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,42 +477,56 @@ def _kept_batches(with_text: bool):
     return run
 
 
-def _splitters(rows: DataFrame, buckets: int, length: int) -> np.ndarray:
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(length)
+def _sampled(rows: DataFrame, info: DataFrame, length: int) -> DataFrame:
+    """``token`` of the distinct tokens of each sampled document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, met = Hasher(length), set()
         for batch in batches:
-            for text in batch.column("text"):
-                for *_, token, _ in hasher.stretches([text.as_buffer().to_pybytes()]):
-                    few = token[:: max(1, len(token) // 64)][:64]
-                    yield pa.RecordBatch.from_arrays([pa.array([few.tobytes()], pa.binary())], ["tokens"])
+            for doc, key, text in zip(*(batch.column(c) for c in ("doc_id", "key", "text")), strict=True):
+                if (doc.as_py(), key.as_py()) in met:
+                    continue
+                met.add((doc.as_py(), key.as_py()))
+                few = [token[:: -(-len(token) // SAMPLE_TOKENS)] for *_, token, _ in hasher.stretches([text.as_buffer().to_pybytes()])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*few, np.zeros(0, np.uint64)])).view(np.int64))], ["token"])
+
+    number = max(SAMPLE_DOCS, info.count() // SAMPLE_SHARE)
+    chosen = info.where("doc_id is not null").select("doc_id", "key").orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(number).distinct()
+    # A sample's ids and hashes, 16 bytes each: 16 MB for 10**11 documents.
+    return written(rows.join(F.broadcast(chosen), ["doc_id", "key"]).mapInArrow(run, "token long"), "sampled")
+
 
-    found = rows.limit(SAMPLE_DOCS).select("text").mapInArrow(sample, "tokens binary").collect()
-    tokens = np.sort(np.frombuffer(b"".join(r["tokens"] for r in found), np.uint64))
+def _splitters(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Ends of the buckets' ranges, between sampled tokens where there are more buckets than these."""
     if not len(tokens):
         return np.zeros(0, np.uint64)
-    return np.unique(tokens[np.linspace(0, len(tokens) - 1, buckets + 1).astype(int)[1:-1]])
+    tokens = np.sort(tokens)
+    places = np.linspace(0, len(tokens) - 1, buckets + 1)[1:-1]
+    return np.unique(np.interp(places, np.arange(len(tokens)), tokens.astype(np.float64)).astype(np.uint64))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
     info = written(every.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
     rows = every.where("doc_id is not null")
-    buckets = min(1 << 16, max(12, math.ceil(total / BUCKET_BYTES)))
-    tokens = rows.mapInArrow(_token_batches(_splitters(rows, buckets, length), length), "bucket int, tokens binary")
-    marks = written(tokens.groupBy("bucket").applyInArrow(_mark_bucket(length), _MARKS), "marks")
+    buckets = max(12, math.ceil(total / BUCKET_BYTES))
+    sampled = _sampled(rows, info, length)
+    unsigned = lambda found: np.array([r["token"] for r in found], np.int64).view(np.uint64)
+    hot = np.sort(unsigned(sampled.groupBy("token").count().where(F.col("count") >= HOT).select("token").collect()))
+    tokens = unsigned(sampled.sample(min(1.0, SPLIT_TOKENS / max(1, sampled.count())), 17).collect())
+    removed(sampled)
+    sent = rows.mapInArrow(_token_batches(_splitters(tokens[~np.isin(tokens, hot)], buckets), hot, buckets, length), _SENT)
+    marks = written(sent.groupBy("bucket").applyInArrow(_mark_group(buckets, length), _MARKS), "marks")
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = rows.repartition(parts, "doc_id", "key")
     opens = marks.where("opens is not null").groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "opens")).alias("lists"))
-    cut = texts.join(opens.hint("shuffle_hash"), ["doc_id", "key"]).mapInArrow(_cut_batches(length), "bucket int, doc_id long, key long, opens binary, cut binary")
+    cut = rows.join(opens.hint("merge"), ["doc_id", "key"]).mapInArrow(_cut_batches(length), "bucket int, doc_id long, key long, opens binary, cut binary")
     found = cut.groupBy("bucket").applyInArrow(_resolve_bucket(length), "doc_id long, key long, spans binary")
     spans = marks.where("spans is not null").select("doc_id", "key", "spans").unionByName(found)
     spans = spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("lists"))
-    touched = texts.join(spans.hint("shuffle_hash"), ["doc_id", "key"]).mapInArrow(
+    touched = rows.join(spans.hint("merge"), ["doc_id", "key"]).mapInArrow(
         _kept_batches(False), "doc_id long, key long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "key"])
 
     # Written, so that the join by a hot text has two plain sides and can be split.

@@ -89,3 +89,35 @@ def test_multikey_order():
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_a_passage_in_every_document(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(15)
+    passage = "Permission is granted to copy this notice, as long as it stays whole and comes first. "
+    rows = [(k, "".join(rng.choice("abcde ") for _ in range(rng.randrange(0, 90))) + passage + "".join(rng.choice("abcde ") for _ in range(rng.randrange(0, 200)))) for k in range(300)]
+    rows += [(k, rows[k - 300][1][: rng.randrange(40, 200)]) for k in range(300, 400)] + [(7, "the same id, another text " + passage)] * 3
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted((tuple(r) for r in substrings.remove_repeats(frame).collect()), key=str) == plain_by_row(rows, 50)
+
+
+def plain_by_row(rows, length):
+    """As plain(), where an id's rows differ: each row is judged on its own text."""
+    return sorted(plain(rows, length), key=str)
+
+
+def test_equal_hashes_are_not_enough():
+    texts = [b"a" * 60, b"a" * 59 + b"b", b"a" * 60, b"c" * 60]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    same = np.zeros(4, np.uint64)
+    whole, lead = substrings._copies(data, np.arange(4) * 60, np.full(4, 11), same, same, np.array([1, 2, 3, 4]), 50)
+    assert whole.tolist() == [False, False, True, False] and lead.tolist() == [True, True, False, True]
+
+
+def test_splitters_for_any_number_of_buckets():
+    tokens = np.random.default_rng(2).integers(0, 2**64, 500, dtype=np.uint64)
+    for buckets in (1, 12, 499, 100_000):
+        ends = substrings._splitters(tokens, buckets)
+        assert len(ends) <= buckets - 1 and np.all(ends[1:] > ends[:-1]) and len(ends) > 0.9 * (buckets - 1) - 1
