@@ -27,8 +27,8 @@ Local sort and compare
 
 Hot tokens
     Equal stretches within a batch of texts are compared there, and the smallest id
-    alone sends them on.  A token that ``HOT`` documents of the sample have, such as
-    those of a licence line, has no bucket: its windows are dealt on their own, by a
+    alone sends them on.  A token that more than ``HOT`` documents have, as the sample
+    tells, has no bucket: its windows are dealt on their own, by a
     hash of their bytes, after equal ones of a batch were compared.  So a string that
     every document has costs a row per batch, and no task receives a token's or a
     string's whole share of the corpus.  The sample touches the balance alone.
@@ -66,12 +66,18 @@ LENGTH = 50
 GRAM = 20
 MOST = 31
 BUCKET_BYTES = 32 << 20
-#: Documents of the sample, at least, and one in so many of a large table; a token that so many of them have is hot.
-SAMPLE_DOCS, SAMPLE_SHARE, HOT = 2_000, 100_000, 4
+#: Documents of the sample, at least, and one in so many of a large table.
+SAMPLE_DOCS, SAMPLE_SHARE = 2_000, 100_000
+#: A token is hot if, by the sample, more documents than this have it, and at least ``LEAST_HOT`` sampled ones do.
+HOT, LEAST_HOT = 500_000, 4
+#: Windows that a task compares at once.
+PART_WINDOWS = 500_000
 #: Tokens taken from a segment of a sampled document, and tokens from which splitters are made.
 SAMPLE_TOKENS, SPLIT_TOKENS = 1_024, 25_600
 _SEGMENT = 1 << 20
-_EMIT = 16 << 20
+_EMIT = 8 << 20
+#: Groups that a bucket's open stretches are dealt to, by token.
+_DEALT = 4
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8).digest(), "little") for b in range(256)], np.uint64)
@@ -221,41 +227,56 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-def _copies(data: np.ndarray, place: np.ndarray, windows: np.ndarray, token: np.ndarray, content: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _copies(data: np.ndarray, place: np.ndarray, windows: np.ndarray, content: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Which stretches equal, in bytes, one of a smaller document; and which are their kind's first, or unlike it."""
-    order = np.lexsort((doc, content, windows, token))
-    kind = _runs(token[order], windows[order], content[order])
-    first = _first_of(kind, order)
-    whole, lead = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    lead[order[doc[order] == doc[first]]] = True
+    whole, lead = np.zeros(len(place), bool), np.ones(len(place), bool)
+    order = np.argsort(content, kind="stable")
+    order = order[_tied(_runs(content[order]))]
+    order = order[np.lexsort((doc[order], content[order]))]
+    first = _first_of(_runs(content[order]), order) if len(order) else order
     later = np.flatnonzero(doc[order] > doc[first])
     width = np.arange(MOST + length - 1)
-    for at in range(0, len(later), 100_000):
-        part = later[at : at + 100_000]
+    for at in range(0, len(later), 20_000):
+        part = later[at : at + 20_000]
         a, b = order[part], first[part]
         inside = width < (windows[a].astype(np.int64) + length - 1)[:, None]
         last = len(data) - 1
         same = (data[np.minimum(place[a][:, None] + width, last)] == data[np.minimum(place[b][:, None] + width, last)]) | ~inside
-        same = same.all(axis=1)
+        same = same.all(axis=1) & (windows[a] == windows[b])
         whole[a[same]] = True
-        lead[a[~same]] = True
+    lead[whole] = False
     return whole, lead
 
 
-def _matrix(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """The windows at some places as rows of big-endian words, in the order of their bytes."""
-    matrix = np.zeros((len(place), -(-length // 8) * 8), np.uint8)
-    matrix[:, :length] = np.lib.stride_tricks.sliding_window_view(data, length)[place]
-    return matrix.view(">u8").astype(np.uint64)
-
-
-def _later(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which windows also start in a smaller document."""
-    columns = [*words.T, doc]
-    by = multikey_order(columns)
-    sorted_doc = doc[by]
-    found = np.zeros(len(doc), bool)
-    found[by] = sorted_doc > _first_of(_runs(*(c[by] for c in columns[:-1])), sorted_doc) if len(by) else False
+def _tied(run: np.ndarray) -> np.ndarray:
+    """Which members of consecutive runs are not alone."""
+    same = run[1:] == run[:-1]
+    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(run) else np.zeros(0, bool)
+
+
+def _later(data: np.ndarray, place: np.ndarray, lead: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Which windows also start in a smaller document.
+
+    A multikey sort: by the leading key, then by eight bytes at a time, and what is
+    alone leaves; so most windows are read no further than their first bytes.
+    """
+    found = np.zeros(len(place), bool)
+    at = np.argsort(lead, kind="stable")
+    run = _runs(lead[at])
+    for offset in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        tied = _tied(run)
+        at, run = at[tied], run[tied]
+        word = np.zeros(len(at), np.uint64)
+        for k in range(8):
+            word = word << np.uint64(8) | data[place[at] + offset + k]
+        inner = np.lexsort((word, run))
+        at, run = at[inner], _runs(run[inner], word[inner])
+    tied = _tied(run)
+    at, run = at[tied], run[tied]
+    if len(at):
+        inner = np.lexsort((doc[at], run))
+        at, run = at[inner], run[inner]
+        found[at] = doc[at] > _first_of(run, doc[at])
     return found
 
 
@@ -292,12 +313,8 @@ def _token_batches(splitters: np.ndarray, hot: np.ndarray, buckets: int, length:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(length)
         for batch in batches:
-            at, column = 0, batch.column("text")
-            sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)) if len(column) else []
-            while at < batch.num_rows:
-                stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _EMIT)))
-                yield _sent(_batch_rows(hasher, batch.slice(at, stop - at), splitters, hot, buckets))
-                at = stop
+            for part in _parts(batch):
+                yield _sent(_batch_rows(hasher, part, splitters, hot, buckets))
 
     return run
 
@@ -320,32 +337,36 @@ def _batch_rows(hasher: Hasher, batch: pa.RecordBatch, splitters: np.ndarray, ho
     place = base[row] + start
     # Stretches that a smaller document of the batch has too go no further.
     order = np.argsort(token)
-    same = token[order][1:] == token[order][:-1]
-    shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    shared = order[_tied(_runs(token[order]))]
     whole = np.zeros(len(row), bool)
-    whole[shared] = _copies(data, place[shared], windows[shared], token[shared], content[shared], ids[row[shared]], length)[0]
+    whole[shared] = _copies(data, place[shared], windows[shared], token[shared] ^ content[shared], ids[row[shared]], length)[0]
     out = [(-1 - int(keys[row[p[0]]]) % buckets, int(ids[row[p[0]]]), int(keys[row[p[0]]]), None, _spans(start[p], windows[p] + (length - 1))) for p in _by_row(row, whole)]
-    frequent = ~whole & np.isin(token, hot)
+    frequent = ~whole & (hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token if len(hot) else False)
     bucket = np.searchsorted(splitters, token, "right")
     sent = np.flatnonzero(~whole & ~frequent)
     sent = sent[np.argsort(bucket[sent], kind="stable")]
     for part in np.split(sent, np.flatnonzero(np.diff(bucket[sent])) + 1) if len(sent) else []:
         out.append((int(bucket[part[0]]), None, None, _encoded(ids, keys, *(x[part] for x in (row, start, windows, token))), None))
-    for part in np.array_split(np.flatnonzero(frequent), -(-int(windows[frequent].sum()) // 400_000) or 1):
+    for part in np.array_split(np.flatnonzero(frequent), -(-int(windows[frequent].sum()) // 100_000) or 1):
         if len(part):
             out += _hot_rows(data, ids, keys, *_spread(start[part], place[part], windows[part], row[part]), buckets, length)
     return out
 
 
+def _digests(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window's bytes."""
+    mixed = np.zeros(len(place), np.uint64)
+    for k in range(length):
+        mixed = (mixed ^ data[place + k]) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+    return mixed
+
+
 def _hot_rows(data, ids, keys, start, place, row, buckets: int, length: int) -> list[tuple]:
     """Windows dealt by a hash of their bytes; of equal ones the smallest document's."""
-    words = _matrix(data, place, length)
-    gone = _later(words, ids[row])
+    mixed = _digests(data, place, length)
+    gone = _later(data, place, mixed, ids[row], length)
     out = [(-1 - int(keys[row[p[0]]]) % buckets, int(ids[row[p[0]]]), int(keys[row[p[0]]]), None, _spans(start[p], length)) for p in _by_row(row, gone)]
-    mixed = np.zeros(len(words), np.uint64)
-    for column in words.T:
-        mixed = (mixed ^ column) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
     number = (mixed % np.uint64(buckets)).astype(np.int64)
     left = np.flatnonzero(~gone)
     left = left[np.lexsort((start[left], row[left], number[left]))]
@@ -368,7 +389,8 @@ def _mark_group(buckets: int, length: int):
             ids, keys, row, start, windows, token, cut = _joined(group.column("tokens"))
             doc = ids[row]
             if number >= buckets:
-                gone = _later(_matrix(cut, np.arange(len(row), dtype=np.int64) * length, length), doc)
+                place = np.arange(len(row), dtype=np.int64) * length
+                gone = _later(cut, place, _digests(cut, place, length), doc, length)
                 out = [(int(ids[row[p[0]]]), int(keys[row[p[0]]]), None, _spans(start[p], length), None) for p in _by_row(row, gone)]
             else:
                 order = multikey_order([token, doc])
@@ -386,44 +408,69 @@ def _mark_group(buckets: int, length: int):
     return run
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``_EMIT`` bytes of text; one text is never split."""
+    column, at = batch.column("text"), 0
+    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)) if len(column) else []
+    while at < batch.num_rows:
+        stop = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _EMIT)))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _cut_batches(length: int):
-    """The bytes of each row's open stretches, one row for each bucket they belong to; a row that repeats in a batch once."""
+    """The open stretches with their bytes, packed for each group of tokens; a row that repeats in a batch counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            met: set[tuple] = set()
-            for doc, key, text, lists in zip(*(batch.column(c) for c in ("doc_id", "key", "text", "lists")), strict=True):
-                name = (doc.as_py(), key.as_py())
-                if name in met:
-                    continue
-                met.add(name)
-                data = text.as_buffer().to_pybytes()
-                for item in lists.as_py():
-                    opens = np.frombuffer(item["opens"], _OPEN)
-                    stops = opens["start"] + opens["windows"] + (length - 1)
-                    cut = b"".join(data[a:b] for a, b in zip(opens["start"].tolist(), stops.tolist(), strict=True))
-                    out.append((item["bucket"], *name, item["opens"], cut))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "doc_id", "key", "opens", "cut"])
+            for part in _parts(batch):
+                rows = _cut_rows(part, length)
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["bucket", "tokens"])
 
     return run
 
 
+def _cut_rows(batch: pa.RecordBatch, length: int) -> list[tuple[int, bytes]]:
+    ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "key"))
+    met: set[tuple] = set()
+    opens, row, bucket, texts = [], [], [], []
+    for at, (text, lists) in enumerate(zip(batch.column("text"), batch.column("lists"), strict=True)):
+        name = (int(ids[at]), int(keys[at]))
+        texts.append(b"" if name in met else text.as_buffer().to_pybytes())
+        for item in [] if name in met else lists.as_py():
+            opens.append(np.frombuffer(item["opens"], _OPEN))
+            row.append(at)
+            bucket.append(item["bucket"])
+        met.add(name)
+    if not opens:
+        return []
+    counts = [len(o) for o in opens]
+    row, bucket, opens = np.repeat(row, counts), np.repeat(bucket, counts), np.concatenate(opens)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    place = np.cumsum([0, *map(len, texts)])[row] + opens["start"]
+    sizes = opens["windows"].astype(np.int64) + length - 1
+    group = bucket * _DEALT + (opens["token"] % np.uint64(_DEALT)).astype(np.int64)
+    order = np.lexsort((opens["start"], row, group))
+    out = []
+    for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        size = sizes[part]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        cut = data[np.repeat(place[part], size) + inner]
+        one = opens[part]
+        out.append((int(group[part[0]]), _encoded(ids, keys, row[part], one["start"], one["windows"], one["token"], cut.tobytes())))
+    return out
+
+
 def _resolve_bucket(length: int):
     powers = _powers(_BASE, MOST + length)
 
     def run(group: pa.Table) -> pa.Table:
-        ids, keys = (group.column(c).to_numpy() for c in ("doc_id", "key"))
-        opens = [np.frombuffer(o.as_buffer(), _OPEN) for o in group.column("opens")]
-        row = np.repeat(np.arange(len(opens)), [len(o) for o in opens])
-        opens = np.concatenate(opens)
-        start, windows, token, doc = opens["start"].astype(np.int64), opens["windows"].astype(np.int64), opens["token"], ids[row]
+        ids, keys, row, start, windows, token, data = _joined(group.column("tokens"))
+        start, windows, doc = start.astype(np.int64), windows.astype(np.int64), ids[row]
         sizes = windows + length - 1
         base = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(c.as_buffer() for c in group.column("cut")), np.uint8)
         content = np.concatenate([_contents(data, base[a : a + 50_000], sizes[a : a + 50_000], powers) for a in range(0, len(base), 50_000)])
-        whole, lead = _copies(data, base, windows, token, content, doc, length)
+        whole, lead = _copies(data, base, windows, token ^ content, doc, length)
         gone_rows, gone_spans = [row[whole]], [np.stack([start[whole], (start + sizes)[whole]], axis=1)]
         # Firsts of their kind are compared window by window if their token has other documents' kinds too.
         left = np.flatnonzero(lead)
@@ -431,15 +478,20 @@ def _resolve_bucket(length: int):
         run_of = _runs(token[left])
         low, high = _first_of(run_of, doc[left]), _first_of(run_of[-1] - run_of[::-1], doc[left][::-1])[::-1]
         left = left[low < high]
-        # Equal tokens stay in one part; parts bound the memory of the windows.
+        # Equal tokens stay in one part; parts bound the memory of the windows, and of a larger one the windows' first byte does.
         ends = np.flatnonzero(np.diff(token[left]) != 0) + 1
-        load = np.cumsum(windows[left]) // 200_000
+        load = np.cumsum(windows[left]) // PART_WINDOWS
         cuts = ends[np.diff(load[ends - 1], prepend=0) > 0] if len(ends) else ends
         for part in np.split(left, cuts):
-            begin, place, owner, lead_token = _spread(start[part], base[part], windows[part], row[part], token[part])
-            found = _later(np.column_stack([lead_token, _matrix(data, place, length)]), ids[owner])
-            gone_rows.append(owner[found])
-            gone_spans.append(np.stack([begin[found], begin[found] + length], axis=1))
+            slices = -(-int(windows[part].sum()) // (2 * PART_WINDOWS))
+            for nth in range(slices):
+                begin, place, owner, leading = _spread(start[part], base[part], windows[part], row[part], token[part])
+                if slices > 1:
+                    here = data[place] % slices == nth
+                    begin, place, owner, leading = (x[here] for x in (begin, place, owner, leading))
+                found = _later(data, place, leading, ids[owner], length)
+                gone_rows.append(owner[found])
+                gone_spans.append(np.stack([begin[found], begin[found] + length], axis=1))
         row, spans = np.concatenate(gone_rows), np.concatenate(gone_spans)
         out = [(int(ids[row[p[0]]]), int(keys[row[p[0]]]), spans[p].astype("<u4").tobytes()) for p in _by_row(row, np.ones(len(row), bool))]
         columns = list(zip(*out)) if out else [[]] * 3
@@ -477,7 +529,7 @@ def _kept_batches(with_text: bool):
     return run
 
 
-def _sampled(rows: DataFrame, info: DataFrame, length: int) -> DataFrame:
+def _sampled(rows: DataFrame, info: DataFrame, number: int, length: int) -> DataFrame:
     """``token`` of the distinct tokens of each sampled document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,7 +542,6 @@ def _sampled(rows: DataFrame, info: DataFrame, length: int) -> DataFrame:
                 few = [token[:: -(-len(token) // SAMPLE_TOKENS)] for *_, token, _ in hasher.stretches([text.as_buffer().to_pybytes()])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*few, np.zeros(0, np.uint64)])).view(np.int64))], ["token"])
 
-    number = max(SAMPLE_DOCS, info.count() // SAMPLE_SHARE)
     chosen = info.where("doc_id is not null").select("doc_id", "key").orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(number).distinct()
     # A sample's ids and hashes, 16 bytes each: 16 MB for 10**11 documents.
     return written(rows.join(F.broadcast(chosen), ["doc_id", "key"]).mapInArrow(run, "token long"), "sampled")
@@ -510,19 +561,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
     info = written(every.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
-    total = info.agg(F.sum("n_bytes")).first()[0] or 0
+    total, count = info.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     rows = every.where("doc_id is not null")
     buckets = max(12, math.ceil(total / BUCKET_BYTES))
-    sampled = _sampled(rows, info, length)
+    number = max(SAMPLE_DOCS, count // SAMPLE_SHARE)
+    sampled = _sampled(rows, info, number, length)
     unsigned = lambda found: np.array([r["token"] for r in found], np.int64).view(np.uint64)
-    hot = np.sort(unsigned(sampled.groupBy("token").count().where(F.col("count") >= HOT).select("token").collect()))
+    often = max(LEAST_HOT, math.ceil(HOT * min(number, count) / max(1, count)))
+    hot = np.sort(unsigned(sampled.groupBy("token").count().where(F.col("count") >= often).select("token").collect()))
     tokens = unsigned(sampled.sample(min(1.0, SPLIT_TOKENS / max(1, sampled.count())), 17).collect())
     removed(sampled)
     sent = rows.mapInArrow(_token_batches(_splitters(tokens[~np.isin(tokens, hot)], buckets), hot, buckets, length), _SENT)
     marks = written(sent.groupBy("bucket").applyInArrow(_mark_group(buckets, length), _MARKS), "marks")
 
     opens = marks.where("opens is not null").groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "opens")).alias("lists"))
-    cut = rows.join(opens.hint("merge"), ["doc_id", "key"]).mapInArrow(_cut_batches(length), "bucket int, doc_id long, key long, opens binary, cut binary")
+    cut = rows.join(opens.hint("merge"), ["doc_id", "key"]).mapInArrow(_cut_batches(length), "bucket int, tokens binary")
     found = cut.groupBy("bucket").applyInArrow(_resolve_bucket(length), "doc_id long, key long, spans binary")
     spans = marks.where("spans is not null").select("doc_id", "key", "spans").unionByName(found)
     spans = spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("lists"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import substrings
@@ -94,6 +95,7 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("hot", [1, 10**9])
 def test_a_passage_in_every_document(spark, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "LEAST_HOT", 1)
     rng = random.Random(15)
     passage = "Permission is granted to copy this notice, as long as it stays whole and comes first. "
     rows = [(k, "".join(rng.choice("abcde ") for _ in range(rng.randrange(0, 90))) + passage + "".join(rng.choice("abcde ") for _ in range(rng.randrange(0, 200)))) for k in range(300)]
@@ -112,7 +114,7 @@ def test_equal_hashes_are_not_enough():
     texts = [b"a" * 60, b"a" * 59 + b"b", b"a" * 60, b"c" * 60]
     data = np.frombuffer(b"".join(texts), np.uint8)
     same = np.zeros(4, np.uint64)
-    whole, lead = substrings._copies(data, np.arange(4) * 60, np.full(4, 11), same, same, np.array([1, 2, 3, 4]), 50)
+    whole, lead = substrings._copies(data, np.arange(4) * 60, np.full(4, 11), same, np.array([1, 2, 3, 4]), 50)
     assert whole.tolist() == [False, False, True, False] and lead.tolist() == [True, True, False, True]
 
 
@@ -121,3 +123,30 @@ def test_splitters_for_any_number_of_buckets():
     for buckets in (1, 12, 499, 100_000):
         ends = substrings._splitters(tokens, buckets)
         assert len(ends) <= buckets - 1 and np.all(ends[1:] > ends[:-1]) and len(ends) > 0.9 * (buckets - 1) - 1
+
+
+def test_windows_are_compared_in_parts(monkeypatch):
+    """The bucket's own function, with small parts, against all pairs."""
+    monkeypatch.setattr(substrings, "PART_WINDOWS", 40)
+    rng = random.Random(6)
+    shared = bytes(rng.choice(b"xyz ") for _ in range(90))
+    texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 30))) + shared[rng.randrange(0, 20) : 90 - rng.randrange(0, 20)] + bytes(rng.choice(b"abc") for _ in range(rng.randrange(0, 30))) for _ in range(40)]
+    row, start, windows, token, _ = (np.concatenate(x) for x in zip(*substrings.Hasher().stretches(texts)))
+    opens = np.zeros(len(row), substrings._OPEN)
+    opens["start"], opens["windows"], opens["token"] = start, windows, token & np.uint64((1 << 48) - 1)
+    lists = [[{"bucket": 0, "opens": opens[row == k].tobytes()}] if (row == k).any() else [] for k in range(len(texts))]
+    ids = list(range(len(texts)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids * 2, "key": ids * 2, "text": texts * 2, "lists": lists * 2})
+    groups = {}
+    for g, blob in substrings._cut_rows(batch, 50):
+        groups.setdefault(g, []).append(blob)
+    gone = {k: set() for k in range(len(texts))}
+    for r in [r for blobs in groups.values() for r in substrings._resolve_bucket(50)(pa.table({"tokens": blobs})).to_pylist()]:
+        for a, b in np.frombuffer(r["spans"], "<u4").reshape(-1, 2).tolist():
+            gone[r["doc_id"]] |= set(range(a, b))
+    for k, text in enumerate(texts):
+        want = set()
+        for a in range(len(text) - 49):
+            if any(text[a : a + 50] in other for other in texts[:k]):
+                want |= set(range(a, a + 50))
+        assert gone[k] == want
