@@ -22,12 +22,14 @@ def main(words: list[str]) -> int:
     parser.add_argument("--max-file-lines", type=int, default=health.FILE_LINES)
     parser.add_argument("--max-func-lines", type=int, default=health.FUNCTION_LINES)
     parser.add_argument("--max-complexity", type=int, default=health.COMPLEXITY)
+    parser.add_argument("--target-dir", default="", help="health: check this directory of the tree alone")
+    parser.add_argument("--check-tests", action="store_true", help="health: check the tests directory too")
     given = parser.parse_args(words)
     spark = SparkSession.builder.appName("ledgerloom").getOrCreate()
     if given.command == "health":
         files = inventory.tree_inventory(spark, given.path, content=True)
         limits = health.Limits(given.max_file_lines, given.max_func_lines, given.max_complexity)
-        rows = health.health(files, limits=limits).orderBy("path", "line").collect()
+        rows = health.health(health.targeted(files, given.target_dir, given.check_tests), limits=limits).orderBy("path", "line").collect()
         for row in rows:
             print(f"{row['path']}:{row['line'] or 1} {row['name'] or ''} {row['metric']} {row['value']} (limit {row['limit']})")
         return int(bool(rows))

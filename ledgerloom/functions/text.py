@@ -102,6 +102,29 @@ def upsert_block(existing: Column, body: Column, begin: str, end: str) -> Column
     return F.when((start > 0) & (stop > start), replaced).when(existing == "", block).otherwise(F.concat(existing, gap, block))
 
 
+def text_width(value: Column, widths: dict[str, float], other: float) -> Column:
+    """The width of a text from its characters'; ``other`` is that of characters not listed."""
+    known = F.create_map(*[F.lit(x) for pair in widths.items() for x in pair])
+    each = F.transform(F.split(value, ""), lambda c: F.coalesce(F.element_at(known, c), F.when(c == "", 0.0).otherwise(other)))
+    return F.aggregate(each, F.lit(0.0), lambda total, w: total + w)
+
+
+def wrapped(value: Column, room: float, widths: dict[str, float], other: float, most: int = 3) -> Column:
+    """The first ``most`` lines of a text set in a given room; a word that is too wide has a line of its own."""
+    words = F.transform(F.split(F.coalesce(value, F.lit("")), r"(?U)\s+", -1), lambda w: F.struct(w.alias("word"), text_width(w, widths, other).alias("width")))
+    gap = widths.get(" ", other)
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(0.0).alias("width"))
+
+    def add(done: Column, w: Column) -> Column:
+        wide = done["width"] + gap + w["width"]
+        return F.when(done["line"] == "", F.struct(done["lines"].alias("lines"), w["word"].alias("line"), w["width"].alias("width"))) \
+            .when(wide > room, F.struct(F.array_append(done["lines"], done["line"]).alias("lines"), w["word"].alias("line"), w["width"].alias("width"))) \
+            .otherwise(F.struct(done["lines"].alias("lines"), F.concat(done["line"], F.lit(" "), w["word"]).alias("line"), wide.alias("width")))
+
+    done = F.aggregate(words, start, add)
+    return F.slice(F.when(done["line"] == "", done["lines"]).otherwise(F.array_append(done["lines"], done["line"])), 1, most)
+
+
 def sha256_hex(content: Column) -> Column:
     return F.sha2(content, 256)
 

@@ -7,10 +7,13 @@ over a workflow's earlier steps.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.functions.text import clamp
+
 PROCESS_W, PROCESS_H = 230.0, 112.0
 
 
@@ -117,7 +120,7 @@ def fit(limits: DataFrame, width: float, height: float) -> DataFrame:
     w = F.greatest(F.lit(PROCESS_W), F.col("max_x") - F.col("min_x"))
     h = F.greatest(F.lit(PROCESS_H), F.col("max_y") - F.col("min_y"))
     room_w, room_h = max(1.0, width - 100), max(1.0, height - top - 70)
-    scale = F.least(F.lit(high), F.greatest(F.lit(low), F.least(F.lit(room_w) / w, F.lit(room_h) / h)))
+    scale = clamp(F.least(F.lit(room_w) / w, F.lit(room_h) / h), low, high)
     rows = limits.withColumn("scale", scale)
     return rows.select("workflow_id", "scale", ((F.lit(width) - w * F.col("scale")) / 2 - F.col("min_x") * F.col("scale")).alias("x"),
                        (F.lit(top) + (F.lit(room_h) - h * F.col("scale")) / 2 - F.col("min_y") * F.col("scale")).alias("y"))
@@ -148,6 +151,14 @@ def connectors(links: DataFrame, shapes: DataFrame, layout: Layout) -> DataFrame
     return rows.select(*links.columns, F.array(a, *corners, b).alias("points"))
 
 
+def arrow_head(points: Column, size: float = 8.0, spread: float = math.pi / 6) -> Column:
+    """The three corners of the arrow at the end of a line: its tip, and behind it to either side."""
+    tip, before = F.element_at(points, -1), F.element_at(points, -2)
+    angle = F.atan2(tip["y"] - before["y"], tip["x"] - before["x"])
+    behind = lambda a: F.struct((tip["x"] - size * F.cos(a)).alias("x"), (tip["y"] - size * F.sin(a)).alias("y"))
+    return F.array(F.struct(tip["x"].alias("x"), tip["y"].alias("y")), behind(angle - spread), behind(angle + spread))
+
+
 def canvas_point(px: Column, py: Column, x: Column, y: Column, scale: Column) -> Column:
     """A screen point in chart coordinates."""
     return F.struct(((px - x) / scale).alias("x"), ((py - y) / scale).alias("y"))

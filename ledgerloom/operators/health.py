@@ -1,4 +1,7 @@
-"""Code health of Python sources: file length, function length and complexity."""
+"""Code health of Python sources: file length, function length and complexity.
+
+One Arrow pass parses each text once and walks its tree once.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +9,14 @@ import ast
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # A file fails at so many lines, a function beyond so many and beyond so much complexity.
 FILE_LINES, FUNCTION_LINES, COMPLEXITY = 400, 50, 15
-_FORKS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.Assert)
+# What each kind of node adds to the complexity; a boolean operator adds one for each operand but the first.
+_COST = dict.fromkeys((ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.Assert), 1)
+_FINDING = "path string, line int, name string, metric string, value int, limit int"
 
 
 @dataclass(frozen=True)
@@ -20,15 +26,35 @@ class Limits:
     complexity: int = COMPLEXITY
 
 
-def complexity_of(node: ast.AST) -> int:
-    """Cyclomatic complexity, nested definitions included."""
-    total = 1
-    for part in ast.walk(node):
-        if isinstance(part, _FORKS):
-            total += 1
-        elif isinstance(part, ast.BoolOp):
-            total += len(part.values) - 1
-    return total
+@dataclass
+class Function:
+    """What was measured of one function; ``outer`` is the place of the function around it."""
+
+    line: int
+    name: str
+    lines: int
+    complexity: int
+    outer: int | None
+
+
+def functions_of(tree: ast.AST) -> list[Function]:
+    """All functions of a tree; a function's complexity includes the definitions in it."""
+    found: list[Function] = []
+    waiting: list[tuple[ast.AST, int | None]] = [(tree, None)]
+    while waiting:
+        node, around = waiting.pop()
+        kind = type(node)
+        if kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
+            found.append(Function(node.lineno, node.name, (node.end_lineno or node.lineno) - node.lineno + 1, 1, around))
+            around = len(found) - 1
+        elif around is not None:
+            found[around].complexity += len(node.values) - 1 if kind is ast.BoolOp else _COST.get(kind, 0)
+        waiting += [(child, around) for child in ast.iter_child_nodes(node)]
+    # Inner functions are found after the ones around them: from the last on, each hands its forks out.
+    for inner in reversed(found):
+        if inner.outer is not None:
+            found[inner.outer].complexity += inner.complexity - 1
+    return found
 
 
 def findings_of(text: str | None, limits: Limits) -> Iterator[tuple]:
@@ -36,32 +62,64 @@ def findings_of(text: str | None, limits: Limits) -> Iterator[tuple]:
     if text is None:
         yield None, None, "unreadable", None, None
         return
-    lines = len(text.splitlines(keepends=True)) if "\r" not in text else text.replace("\r\n", "\n").replace("\r", "\n").count("\n") + (not text.endswith(("\n", "\r")))
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError) as error:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
         yield getattr(error, "lineno", None), None, "syntax", None, None
         return
+    lines = text.count("\n") + (text != "" and not text.endswith("\n"))
     if lines >= limits.file_lines:
         yield None, None, "file_lines", lines, limits.file_lines
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            measured = {"function_lines": ((node.end_lineno or node.lineno) - node.lineno + 1, limits.function_lines), "complexity": (complexity_of(node), limits.complexity)}
-            for metric, (value, limit) in measured.items():
-                if value > limit:
-                    yield node.lineno, node.name, metric, value, limit
+    for found in functions_of(tree):
+        if found.lines > limits.function_lines:
+            yield found.line, found.name, "function_lines", found.lines, limits.function_lines
+        if found.complexity > limits.complexity:
+            yield found.line, found.name, "complexity", found.complexity, limits.complexity
 
 
 def health(files: DataFrame, content: str = "content", limits: Limits = Limits()) -> DataFrame:
     """``path, line, name, metric, value, limit`` of Python ``files (path, content)``."""
-    @F.udtf(returnType="line int, name string, metric string, value int, limit int")
-    class Findings:
-        def eval(self, text: str | None) -> Iterator[tuple]:
-            yield from findings_of(text, limits)
-
-    rows = files.where(F.endswith("path", F.lit(".py"))).select("path", F.col(content).cast("string").alias("_text"))
-    found = rows.lateralJoin(Findings(F.col("_text").outer()))
-    return found.select("path", "line", "name", "metric", "value", "limit")
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [(path, *found) for path, text in zip(part.column("path").to_pylist(), part.column("text").to_pylist(), strict=True) for found in findings_of(text, limits)]
+                columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "line", "name", "metric", "value", "limit"])
+
+    rows = files.where(F.endswith("path", F.lit(".py"))).select("path", F.col(content).cast("string").alias("text"))
+    return rows.mapInArrow(run, _FINDING)
+
+
+def complexities(files: DataFrame, content: str = "content") -> DataFrame:
+    """``path, line, name, lines, complexity`` of every function of Python ``files``; texts that do not parse have none."""
+
+    def measured(text: str | None) -> list[Function]:
+        try:
+            return functions_of(ast.parse(text or ""))
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return []
+
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, f.line, f.name, f.lines, f.complexity) for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True) for f in measured(text)]
+            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "line", "name", "lines", "complexity"])
+
+    rows = files.where(F.endswith("path", F.lit(".py"))).select("path", F.col(content).cast("string").alias("text"))
+    return rows.mapInArrow(run, "path string, line int, name string, lines int, complexity int")
+
+
+def targeted(files: DataFrame, folder: str, tests: bool = False, tests_folder: str = "tests") -> DataFrame:
+    """``files`` below a folder (below any, if it is empty), and those of the tests where these are asked for."""
+    inside = F.lit(True) if not folder.strip("/") else F.startswith("path", F.lit(folder.strip("/") + "/"))
+    of_tests = F.startswith("path", F.lit(tests_folder + "/"))
+    return files.where((inside & ~of_tests if not folder.strip("/") else inside) | (of_tests if tests else F.lit(False)))
 
 
 def totals(findings: DataFrame) -> DataFrame:

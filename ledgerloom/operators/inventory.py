@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.paths import STATE_DIR, allowed_path, is_text, language
@@ -19,7 +23,10 @@ def inventory(contents: DataFrame, path: Column, content: Column) -> DataFrame:
 def filtered_inventory(files: DataFrame, state_dir: str = STATE_DIR) -> DataFrame:
     """The inventory of listed ``files (path, content)``: one row per allowed path that holds text."""
     rows = files.withColumn("path", slashes(F.col("path"))).where(allowed_path(F.col("path"), state_dir)).where(is_text(F.col("content")))
-    return inventory(rows.dropDuplicates(["path"]), F.col("path"), F.col("content"))
+    listed = inventory(rows, F.col("path"), F.col("content"))
+    # Of a path's rows the one with the smallest digest; contents are hashed where they are read and never shuffled.
+    rest = [c for c in listed.columns if c != "path"]
+    return listed.groupBy("path").agg(F.min(F.struct("sha256", *[c for c in rest if c != "sha256"])).alias("one")).select("path", *[F.col(f"one.{c}") for c in rest])
 
 
 def tree_inventory(spark: SparkSession, root: str, mode: str = "auto", content: bool = False, state_dir: str = STATE_DIR) -> DataFrame:
@@ -32,15 +39,22 @@ def tree_inventory(spark: SparkSession, root: str, mode: str = "auto", content:
 def fingerprint(files: DataFrame) -> DataFrame:
     """One row ``source_hash``: SHA-256 over ``path NUL sha256 LF`` records in order of path.
 
-    The fold is global and ordered by definition; one task receives a path and a
-    digest per file, never contents.
+    The fold is global and ordered by definition; one task sorts a path and a digest
+    per file, never contents, and hashes them batch by batch as they come.
     """
-    record = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda f: F.concat(f["path"], F.lit("\x00"), f["sha256"], F.lit("\n")))
-    return files.select("path", "sha256").agg(F.sha2(F.array_join(record, ""), 256).alias("source_hash"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = hashlib.sha256()
+        for batch in batches:
+            total.update("".join(f"{path}\0{digest}\n" for path, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True)).encode("utf-8"))
+        yield pa.RecordBatch.from_pydict({"source_hash": [total.hexdigest()]})
+
+    ordered = files.select("path", "sha256").repartition(1).sortWithinPartitions("path", "sha256")
+    return ordered.mapInArrow(fold, "source_hash string").agg(F.coalesce(F.max("source_hash"), F.lit(hashlib.sha256().hexdigest())).alias("source_hash"))
 
 
 def snapshot(files: DataFrame) -> DataFrame:
-    """One row ``source_hash, files``."""
+    """One row ``source_hash, files``: the snapshot as one document, whose list of files is one value."""
     listed = files.agg(F.array_sort(F.collect_list(F.struct("path", "size", "sha256", "language"))).alias("files"))
     return fingerprint(files).crossJoin(listed)  # one row each
 

@@ -35,6 +35,15 @@ def relocate(evidence: DataFrame, files: DataFrame, content: str = "content") ->
     return evidence.join(texts, "file").withColumn("at", found).select(*evidence.columns, "at.start", "at.end", "at.relocated")
 
 
+def highlighted_lines(found: DataFrame, files: DataFrame, content: str = "content") -> DataFrame:
+    """``path, number, line`` of the lines within ``found (file, start, end)``; the others are never made rows."""
+    lines = files.select("path", split_lines(F.col(content)).alias("_lines")).join(found, F.col("path") == F.col("file"))
+    first = F.greatest(F.col("start"), F.lit(1)).cast("int")
+    part = F.slice("_lines", first, F.greatest(F.col("end") - first + 1, F.lit(0)).cast("int"))
+    rows = lines.select("path", first.alias("_first"), F.posexplode(part).alias("_at", "line"))
+    return rows.select("path", (F.col("_first") + F.col("_at")).cast("long").alias("number"), "line")
+
+
 def highlighted(number: Column, start: Column, end: Column) -> Column:
     return number.between(start, end)
 

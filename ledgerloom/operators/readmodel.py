@@ -114,6 +114,11 @@ def used_files(paths: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(paths.distinct(), "path", "left_semi").orderBy("path")
 
 
+def first_used_file(used: DataFrame) -> DataFrame:
+    """The first listed file, by which a viewer finds where sources are served; no row if none is listed."""
+    return used.agg(F.min("path").alias("path")).where("path is not null")
+
+
 def counts_by_status(views: DataFrame) -> DataFrame:
     """One row ``ready_count, partial_count, pending_count``."""
     names = {"ready_count": "generated", "partial_count": "partial", "pending_count": "pending"}

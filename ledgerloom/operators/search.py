@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.text import contains_lower
 
@@ -29,18 +29,28 @@ def perspective_rank(perspective: Column) -> Column:
     return F.when(perspective == "product", 0).when(perspective == "technical", 1)
 
 
+def placed_areas(areas: DataFrame, *ties: str) -> DataFrame:
+    """Areas with ``place``, from 1, by perspective, order and ties: the id in an index, the input place in a viewer.
+
+    An index's areas are few; they are numbered in one task.
+    """
+    return areas.withColumn("place", F.row_number().over(Window.orderBy(perspective_rank(F.col("perspective")), "order", *ties)).cast("long"))
+
+
 def ordered_areas(areas: DataFrame, *ties: str) -> DataFrame:
-    """Areas by perspective, order and ties: the id in an index, the input place in a viewer."""
-    return areas.orderBy(perspective_rank(F.col("perspective")), "order", *ties)
+    """Areas in order of their place."""
+    return placed_areas(areas, *ties).orderBy("place").drop("place")
 
 
 def sections(areas: DataFrame, shown: DataFrame) -> DataFrame:
-    """``area id, title, perspective, order, cards``: areas with any shown workflow, cards in order.
+    """``area id, title, perspective, order, place, cards``: areas with any shown workflow, cards in order.
 
-    ``areas (id, title, perspective, order)``, ``shown (at, id, area_id, title, status, summary)``.
+    ``areas (id, title, perspective, order)``, ``shown (at, id, area_id, title, status, summary)``.  Areas
+    that tie stay in order of ``at``, their place in the input, if they have it, else of their id.
     """
     cards = shown.groupBy("area_id").agg(F.array_sort(F.collect_list(F.struct("at", "id", "title", "status", "summary"))).alias("cards"))
-    return ordered_areas(areas.join(cards, areas.id == cards.area_id).drop("area_id"), "id")
+    placed = placed_areas(areas, "at" if "at" in areas.columns else "id")
+    return placed.join(cards, placed.id == cards.area_id).drop("area_id").orderBy("place")
 
 
 def summary(views: DataFrame, query: str, texts: Column | None = None) -> DataFrame:
