@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import paths, text
 from ledgerloom.operators import flow, health, inventory, locate, readmodel, rules, search, shape, validate
-from ledgerloom.plans import mapped
+from ledgerloom.plans import mapped, views as view_queries
 from ledgerloom.plans.mapped import table
+from ledgerloom.schemas import OPTION
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,7 +32,12 @@ def inventory_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def filtered_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory.filtered_inventory(mapped.files(spark, sf_dir)).select("path", "size", "language")
+    """Every path is listed twice, with either slash; texts with a NUL byte and excluded paths are listed too."""
+    files = mapped.files(spark, sf_dir).select("path", "content")
+    again = files.select(F.translate("path", "/", "\\").alias("path"), "content")
+    binary = files.select(F.concat(F.lit("bin/"), "path").alias("path"), F.concat(F.lit("\x00"), "content").alias("content"))
+    excluded = files.select(F.concat(F.lit("lib/node_modules/"), "path").alias("path"), "content")
+    return inventory.filtered_inventory(files.unionByName(again).unionByName(binary).unionByName(excluded)).select("path", "size", "language")
 
 
 @_query
@@ -80,8 +86,7 @@ def relocate_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def highlighted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = locate.relocate(_evidence(spark, sf_dir), mapped.files(spark, sf_dir))
-    rows = locate.source_lines(mapped.files(spark, sf_dir)).join(found, F.col("path") == F.col("file"))
-    return rows.where(locate.highlighted(F.col("number"), F.col("start"), F.col("end"))).groupBy("path").agg(F.count("*").alias("active"), F.min("number").alias("first_active"))
+    return locate.highlighted_lines(found, mapped.files(spark, sf_dir)).groupBy("path").agg(F.count("*").alias("active"), F.min("number").alias("first_active"))
 
 
 @_query
@@ -138,8 +143,7 @@ def catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def area_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.orderBy(search.perspective_rank(F.col("perspective")), "order", "id"))
-    return mapped.areas(spark, sf_dir).select("id", "perspective", place.cast("long").alias("place"))
+    return search.placed_areas(mapped.areas(spark, sf_dir), "id").select("id", "perspective", "place")
 
 
 @_query
@@ -163,9 +167,12 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def step_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").withColumn("fine", F.col("turn") + 1 == place)
-    return rows.groupBy("conv_id").agg(F.bool_and("fine").alias("numbered"), F.count("*").alias("step_count"))
+    """Conversations as workflows whose steps are sound but for their numbers."""
+    cited = F.array(F.struct(F.lit("a.py").alias("file"), F.lit("s").alias("symbol"), F.lit(1).alias("line"), F.lit(1).alias("code_start"), F.lit(1).alias("code_end")))
+    step = F.struct("turn", (F.col("turn") + 1).cast("int").alias("number"), F.lit("backend").alias("phase"), F.lit("t").alias("title"), F.lit("x").alias("text"),
+                    cited.alias("evidence"), F.lit(None).cast(f"array<{OPTION}>").alias("options"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return rows.select("conv_id", shape.valid_steps(F.col("steps")).alias("numbered"), F.size(readmodel.step_views(F.col("steps"))).cast("long").alias("step_count"))
 
 
 @_query
@@ -218,11 +225,16 @@ def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def completeness_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as steps: roles are phases, a fifth step brings a request."""
     phase = F.when(F.col("role") == "user", "user_action").when(F.col("role") == "assistant", "response").otherwise("backend")
-    file = F.concat(F.when(F.col("conv_id") % 2 == 0, "frontend/").otherwise("lib/"), F.col("role"))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.collect_set(phase).alias("phases"), F.collect_set(file).alias("files"))
-    rule = shape.complete(F.col("n"), F.array_union("phases", F.when(F.col("n") > 4, F.array(F.lit("request"))).otherwise(F.array().cast("array<string>"))), F.col("files"))
-    return rows.select("conv_id", rule.alias("complete"))
+    file = F.concat(F.when(F.col("conv_id") % 2 == 0, "frontend\\").otherwise("lib/"), F.col("role"))
+    cited = lambda name: F.array(F.struct(name.alias("file"), F.lit("s").alias("symbol"), F.lit(1).alias("line"), F.lit(1).alias("code_start"), F.lit(1).alias("code_end")))
+    none = F.lit(None).cast(f"array<{OPTION}>").alias("options")
+    step = F.struct(phase.alias("phase"), cited(file).alias("evidence"), none)
+    request = F.array(F.struct(F.lit("request").alias("phase"), cited(F.lit("lib/request")).alias("evidence"), none))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.collect_list(step).alias("steps"))
+    rows = rows.withColumn("steps", F.when(F.col("n") > 4, F.concat("steps", request)).otherwise(F.col("steps")))
+    return rows.select("conv_id", shape.complete(F.col("n"), shape.phases_of(F.col("steps")), shape.evidence_files(F.col("steps"))).alias("complete"))
 
 
 @_query
@@ -239,10 +251,17 @@ def joined_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def used_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = [table(spark, sf_dir, t).select(F.col(c).alias("doc_id")) for t, c in (("labels", "doc_id"), ("benchmark", "item_id"), ("conversations", "conv_id"))]
-    docs = mapped.files(spark, sf_dir)
-    names = docs.join(cited[0].unionByName(cited[1]).unionByName(cited[2]).distinct(), "doc_id", "left_semi").select("path")
-    return readmodel.used_files(names, _inventory(spark, sf_dir)).select("path", "size", "sha256")
+    """Views that cite a file each: of themselves, in a step, or in a branch of one."""
+    docs = mapped.files(spark, sf_dir).select("doc_id", F.array(F.struct(F.col("path").alias("file"))).alias("evidence"))
+    none = F.array().cast("array<struct<file:string>>")
+    steps = {
+        "labels": ("doc_id", F.col("evidence"), F.array(F.struct(none.alias("evidence"), F.array(F.struct(none.alias("evidence"))).alias("options")))),
+        "benchmark": ("item_id", none, F.array(F.struct(F.col("evidence"), F.array(F.struct(none.alias("evidence"))).alias("options")))),
+        "conversations": ("conv_id", none, F.array(F.struct(none.alias("evidence"), F.array(F.struct(F.col("evidence"))).alias("options")))),
+    }
+    views = [docs.join(table(spark, sf_dir, name).select(F.col(key).alias("doc_id")), "doc_id").select(own.alias("evidence"), inner.alias("steps")) for name, (key, own, inner) in steps.items()]
+    cited = readmodel.cited_files(views[0].unionByName(views[1]).unionByName(views[2]))
+    return readmodel.used_files(cited, _inventory(spark, sf_dir)).select("path", "size", "sha256")
 
 
 PATHS = ("src/main.py", "./node_modules/x.js", ".git/config", "a/.git/config", "pkg/__init__.py", "img/LOGO.PNG", "x.egg-info/y", "dir\\build\\z.py", "build", "", "..venv/q.py", ".gitignore", "a/b.tar.gz")
@@ -265,8 +284,11 @@ def stale_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def escaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
+    script = text.json_for_script(F.to_json(F.struct("url", "html")))
+    back = F.from_json(script, "url string, html string", {"allowBackslashEscapingAnyCharacter": "true"})
+    same = back["url"].eqNullSafe(F.col("url")) & back["html"].eqNullSafe(F.col("html"))
     return pages.select("page_id", text.escape_html(F.col("html")).alias("attribute"), F.sha2(text.escape_html(F.col("html"), quotes=False), 256).alias("element_sha256"),
-                        F.sha2(text.json_for_script(F.to_json(F.struct("url", "html"))), 256).isNotNull().alias("embeddable"))
+                        (same & ~F.contains(script, F.lit("</script>")) & ~F.contains(script, F.lit("<!--"))).alias("embeddable"))
 
 
 @_query
@@ -285,7 +307,8 @@ def managed_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def code_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (F.col("doc_id") % 450).cast("int")
-    body = F.concat(F.lit("def f(x):\n"), F.repeat(F.lit("    x += 1\n"), lines), F.lit("    return x\n"))
+    few = F.least(lines, F.lit(14))  # with so many branches a function is still simple enough
+    body = F.concat(F.lit("def f(x):\n"), F.repeat(F.lit("    x = 1 if x else 2\n"), few), F.repeat(F.lit("    x += 1\n"), lines - few), F.lit("    return x\n"))
     made = table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
     return health.health(made).select("path", F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("name", F.lit("")).alias("name"), "metric", "value", "limit")
 
@@ -305,3 +328,6 @@ def workflow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = rows.select(F.col("doc_id").alias("at"), name.alias("id"), F.lit("t").alias("title"))
     found = validate.workflow_failures(features, workflows, files, "h", tags)
     return found.select(F.col("at").alias("doc_id"), "message", F.col("workflow").isNotNull().alias("accepted"))
+
+
+QUERIES.update(view_queries.QUERIES)

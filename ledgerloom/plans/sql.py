@@ -2,100 +2,51 @@
 
 from __future__ import annotations
 
-_PATH = "source || '/' || lpad(doc_id::varchar, 8, '0') || ['.py', '.js', '.md', '.gz', '', '.YAML'][(doc_id % 6 + 1)::int]"
-_FILES = f"files as (select doc_id, {_PATH} as path, text as content from documents)"
-_LINES = "case when content = '' then 0 else len(regexp_split_to_array(content, '\\r\\n|\\r|\\n')) - (ends_with(content, chr(10)) or ends_with(content, chr(13)))::int end::bigint"
-_LANGUAGE = "['python', 'javascript', 'markdown', 'plain', 'plain', 'yaml'][(doc_id % 6 + 1)::int]"
-_INVENTORY = f"{_FILES}, inventory as (select doc_id, path, strlen(content)::bigint as size, sha256(content) as sha256, {_LANGUAGE} as language, {_LINES} as line_count from files)"
-_HASH = "sha256(string_agg(path || chr(0) || sha256 || chr(10), '' order by path))"
-_STEPS = """steps as (
-  select conv_id as workflow_id, turn::int as step, (turn + 1)::int as number, role as title,
-    case when role = 'system' then 2 when length(text) % 5 = 0 then 3 else 0 end as n from conversations
-)"""
-_EVIDENCE = f"""{_FILES}, cited as (
-  select path as file, content, string_split(content, chr(10)) as l, split_part(string_split(content, chr(10))[-1], ' ', 1) as symbol from files
-), located as (
-  select *, symbol = '' or contains(array_to_string(l[2:3], chr(10)), symbol) or coalesce(list_position(list_transform(l, lambda x: contains(x, symbol)), true), 0) = 0 as stays,
-    list_position(list_transform(l, lambda x: contains(x, symbol)), true) as hit from cited
-), placed as (
-  select file, symbol, case when stays then 2 else hit end::bigint as start, case when stays then 3 else hit end::bigint as "end", not stays as relocated, l from located
-)"""
-
-
-def _nodes(vertical: bool) -> str:
-    """Closed forms of the layout."""
-    process, decision = ("204.0", "452.0") if vertical else ("340.0", "651.0")
-    along = f"coalesce(sum(case when n > 0 then {decision} else {process} end) over (partition by workflow_id order by step rows between unbounded preceding and 1 preceding), 0.0)::double"
-    if vertical:
-        main = "case when n > 0 then -105.0 else -115.0 end::double as x, cur as y, case when n > 0 then 210.0 else 230.0 end::double as w"
-        option = "(-(230 * n + 42 * (n - 1)) / 2.0 + 272 * o)::double as x, (cur + 220)::double as y, 230.0::double as w"
-    else:
-        main = "cur as x, case when n > 0 then -63.0 else -56.0 end::double as y, case when n > 0 then 190.0 else 230.0 end::double as w"
-        option = "(cur + 296)::double as x, (-(112 * n + 34 * (n - 1)) / 2.0 + 146 * o)::double as y, 230.0::double as w"
-    return f"""{_STEPS}, placed as (select *, {along} as cur from steps), nodes as (
-  select workflow_id, step, -1 as option, case when n > 0 then 'decision' else 'process' end as kind, number::varchar as display_number, {main}, case when n > 0 then 126.0 else 112.0 end::double as h from placed
-  union all
-  select workflow_id, step, o::int, 'process', number || '.' || chr((97 + o)::int), {option}, 112.0::double from placed, (values (0), (1), (2)) t(o) where o < n
-)"""
-
-
-_EDGES = """edges as (
-  select workflow_id, step as from_step, -1 as from_option, step as to_step, o::int as to_option, 'option ' || (o + 1) as label, true as branch, false as merge
-  from steps, (values (0), (1), (2)) t(o) where o < n
-  union all
-  select workflow_id, step, o::int, nxt, -1, null, false, true
-  from (select *, lead(step) over (partition by workflow_id order by step) as nxt from steps), (values (0), (1), (2)) t(o) where o < n and nxt is not null
-  union all
-  select workflow_id, step, -1, nxt, -1, null, false, false
-  from (select *, lead(step) over (partition by workflow_id order by step) as nxt from steps) where n = 0 and nxt is not null
-)"""
-_BOUNDS = "bounds as (select workflow_id, min(x) as min_x, max(x + w) as max_x, min(y) as min_y, max(y + h) as max_y from nodes group by 1)"
-_FEATURES = "features as (select c_custkey as id, c_nationkey as area_id, c_name as title, case when c_custkey % 3 = 0 then 'pending' when c_custkey % 3 = 1 then 'generated' else 'partial' end as status, c_mktsegment as summary from customer)"
-_AREAS = "areas as (select n_nationkey as id, n_name as title, case when n_regionkey % 2 = 0 then 'technical' else 'product' end as perspective, n_nationkey % 5 as ord from nation)"
-_ESCAPED = "replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+from ledgerloom.plans.fragments import AREAS, BOUNDS, EDGES, ESCAPED, EVIDENCE, FEATURES, FILES, HASH, INVENTORY, STEPS, nodes
+from ledgerloom.plans.views_sql import VIEWS_SQL
 
 ORACLE_SQL: dict[str, str] = {
-    "inventory_documents": f"with {_INVENTORY} select path, size, sha256, language, line_count from inventory",
-    "filtered_inventory": f"with {_INVENTORY} select path, size, language from inventory where not ends_with(path, '.gz')",
-    "snapshot_fingerprint": f"with {_INVENTORY} select {_HASH} as source_hash from inventory",
-    "snapshot_files": f"with {_INVENTORY} select {_HASH} as source_hash, count(*) as files, min(path) as first_path from inventory",
-    "python_sources": f"with {_INVENTORY} select path, line_count from inventory where ends_with(path, '.py')",
-    "language_classes": f"with {_INVENTORY} select language, count(*) as files, sum(size)::bigint as bytes from inventory group by 1",
-    "line_counts": f"with {_INVENTORY} select doc_id, line_count from inventory",
-    "source_lines": f"with {_FILES}, l as (select path, string_split(content, chr(10)) as x from files) select path, unnest(range(1, len(x) + 1))::bigint as number, unnest(x) as line from l",
-    "relocate_symbol": f'with {_EVIDENCE} select file, symbol, start, "end", relocated from placed',
-    "highlighted_lines": f'with {_EVIDENCE}, x as (select file as path, unnest(range(1, len(l) + 1))::bigint as number, start, "end" as stop from placed) select path, count(*) as active, min(number) as first_active from x where number between start and stop group by 1',
-    "evidence_labels": f"""with {_FILES}, r as (select *, (1 + doc_id % 3) as a, (1 + doc_id % 4) as b from files)
+    "inventory_documents": f"with {INVENTORY} select path, size, sha256, language, line_count from inventory",
+    "filtered_inventory": f"with {INVENTORY} select path, size, language from inventory where not ends_with(path, '.gz')",
+    "snapshot_fingerprint": f"with {INVENTORY} select {HASH} as source_hash from inventory",
+    "snapshot_files": f"with {INVENTORY} select {HASH} as source_hash, count(*) as files, min(path) as first_path from inventory",
+    "python_sources": f"with {INVENTORY} select path, line_count from inventory where ends_with(path, '.py')",
+    "language_classes": f"with {INVENTORY} select language, count(*) as files, sum(size)::bigint as bytes from inventory group by 1",
+    "line_counts": f"with {INVENTORY} select doc_id, line_count from inventory",
+    "source_lines": f"with {FILES}, l as (select path, string_split(content, chr(10)) as x from files) select path, unnest(range(1, len(x) + 1))::bigint as number, unnest(x) as line from l",
+    "relocate_symbol": f'with {EVIDENCE} select file, symbol, start, "end", relocated from placed',
+    "highlighted_lines": f'with {EVIDENCE}, x as (select file as path, unnest(range(1, len(l) + 1))::bigint as number, start, "end" as stop from placed) select path, count(*) as active, min(number) as first_active from x where number between start and stop group by 1',
+    "evidence_labels": f"""with {FILES}, r as (select *, (1 + doc_id % 3) as a, (1 + doc_id % 4) as b from files)
         select doc_id, path || ':' || a || case when a <> b then '–' || b else '' end as label, 'vscode://file/srv/repo/' || path || ':' || a as link,
           a || ' ' || case when a = 1 then 'source reference' else 'source references' end as "references" from r""",
-    "evidence_range_violations": f"with {_INVENTORY} select path as file, doc_id % 3 + 1 as code_start, doc_id % 3 + 5 as code_end, line_count from inventory where doc_id % 3 + 5 > line_count",
-    "known_file_semi": f"with {_FILES} select doc_id, path from files semi join labels using (doc_id)",
-    "unknown_file_anti": f"with {_FILES} select doc_id, path from files anti join labels using (doc_id)",
-    "orphan_features": f"with {_FEATURES}, {_AREAS} select id, area_id, title from features where area_id not in (select id from areas where ord <> 3)",
-    "status_counts": f"with {_FEATURES} select count(*) filter (status = 'generated') as ready_count, count(*) filter (status = 'partial') as partial_count, count(*) filter (status = 'pending') as pending_count from features",
+    "evidence_range_violations": f"with {INVENTORY} select path as file, doc_id % 3 + 1 as code_start, doc_id % 3 + 5 as code_end, line_count from inventory where doc_id % 3 + 5 > line_count",
+    "known_file_semi": f"with {FILES} select doc_id, path from files semi join labels using (doc_id)",
+    "unknown_file_anti": f"with {FILES} select doc_id, path from files anti join labels using (doc_id)",
+    "orphan_features": f"with {FEATURES}, {AREAS} select id, area_id, title from features where area_id not in (select id from areas where ord <> 3)",
+    "status_counts": f"with {FEATURES} select count(*) filter (status = 'generated') as ready_count, count(*) filter (status = 'partial') as partial_count, count(*) filter (status = 'pending') as pending_count from features",
     "last_area_wins": 'select n_regionkey as id, max(n_nationkey) as "at", max_by(n_name, n_nationkey) as title from nation group by 1',
     "catalog_search": "select doc_id, source from documents where contains(lower(text), 'license') or contains(lower(lang), 'license') or contains(lower(source), 'license')",
-    "catalog_summary": f"with {_FEATURES} select count(*) filter (status = 'generated') as complete, count(*) as total, count(*) filter (contains(lower(title), 'build') or contains(lower(summary), 'build')) as shown from features",
-    "area_ordering": f"with {_AREAS} select id, perspective, row_number() over (order by case perspective when 'product' then 0 else 1 end, ord, id) as place from areas",
-    "catalog_sections": f"""with {_FEATURES}, {_AREAS} select a.id, a.title, perspective, count(*) as n_cards, string_agg(f.id::varchar, ',' order by f.id) as card_ids
+    "catalog_summary": f"with {FEATURES} select count(*) filter (status = 'generated') as complete, count(*) as total, count(*) filter (contains(lower(title), 'build') or contains(lower(summary), 'build')) as shown from features",
+    "area_ordering": f"with {AREAS} select id, perspective, row_number() over (order by case perspective when 'product' then 0 else 1 end, ord, id) as place from areas",
+    "catalog_sections": f"""with {FEATURES}, {AREAS} select a.id, a.title, perspective, count(*) as n_cards, string_agg(f.id::varchar, ',' order by f.id) as card_ids
         from areas a join features f on a.id = f.area_id where contains(lower(f.title), 'auto') or contains(lower(summary), 'auto') group by 1, 2, 3""",
     "first_and_selected": "select c_custkey as id, c_name as title from customer where c_custkey = (select min(c_custkey) from customer) union all select c_custkey, c_name from customer where c_custkey = 7",
     "duplicate_keys": "select * from (select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey) as copy from lineitem) where copy > 1",
     "step_numbering": "select conv_id, bool_and(fine) as numbered, count(*) as step_count from (select conv_id, turn + 1 = row_number() over (partition by conv_id order by turn) as fine from conversations) group by 1",
-    "flow_edges": f"with {_STEPS}, {_EDGES} select * from edges",
-    "vertical_layout": f"with {_nodes(True)} select * from nodes",
-    "horizontal_layout": f"with {_nodes(False)} select * from nodes",
-    "flow_bounds": f"with {_nodes(True)}, {_BOUNDS} select * from bounds",
-    "flow_fit": f"""with {_nodes(True)}, {_BOUNDS}, sized as (select *, greatest(230.0::double, max_x - min_x) as bw, greatest(112.0::double, max_y - min_y) as bh from bounds),
+    "flow_edges": f"with {STEPS}, {EDGES} select * from edges",
+    "vertical_layout": f"with {nodes(True)} select * from nodes",
+    "horizontal_layout": f"with {nodes(False)} select * from nodes",
+    "flow_bounds": f"with {nodes(True)}, {BOUNDS} select * from bounds",
+    "flow_fit": f"""with {nodes(True)}, {BOUNDS}, sized as (select *, greatest(230.0::double, max_x - min_x) as bw, greatest(112.0::double, max_y - min_y) as bh from bounds),
         scaled as (select *, least(1.15::double, greatest(0.3::double, least(1100.0::double / bw, 660.0::double / bh))) as scale from sized)
         select workflow_id, scale, (1200.0::double - bw * scale) / 2 - min_x * scale as x, 170.0::double + (660.0::double - bh * scale) / 2 - min_y * scale as y from scaled""",
-    "flow_first_view": f"with {_nodes(True)} select workflow_id, 0.5::double as scale, 600.0::double - (x + w / 2) * 0.5::double as x, 182.0::double - y * 0.5::double as y from nodes where step = 0 and option = -1",
-    "flow_connectors": f"""with {_nodes(True)}, {_EDGES}, ends as (
+    "flow_first_view": f"with {nodes(True)} select workflow_id, 0.5::double as scale, 600.0::double - (x + w / 2) * 0.5::double as x, 182.0::double - y * 0.5::double as y from nodes where step = 0 and option = -1",
+    "flow_connectors": f"""with {nodes(True)}, {EDGES}, ends as (
           select e.*, a.x + a.w / 2 as x0, a.y + a.h as y0, b.x + b.w / 2 as x3, b.y as y3 from edges e
           join nodes a on a.workflow_id = e.workflow_id and a.step = from_step and a.option = from_option
           join nodes b on b.workflow_id = e.workflow_id and b.step = to_step and b.option = to_option)
         select workflow_id, from_step, from_option, to_step, to_option, x0, y0, x0 as x1, (y0 + y3) / 2 as y1, x3 as x2, (y0 + y3) / 2 as y2, x3, y3 from ends""",
-    "hit_test": f"""with {_nodes(True)}, points as (
+    "hit_test": f"""with {nodes(True)}, points as (
           select conv_id * 100 + turn as point_id, conv_id as workflow_id, ((conv_id * 37 + turn * 13) % 400 - 200.0 - 40.0)::double / 0.5::double as px, (turn * 170.0 + conv_id % 90 + 20.0)::double / 0.5::double as py from conversations),
         met as (select point_id, p.workflow_id, step, option from points p join nodes n on p.workflow_id = n.workflow_id
           where case when kind = 'decision' then abs(px - (x + w / 2)) / (w / 2) + abs(py - (y + h / 2)) / (h / 2) <= 1 else px between x and x + w and py between y and y + h end)
@@ -104,24 +55,25 @@ ORACLE_SQL: dict[str, str] = {
         select conv_id, case when conv_id % 2 = 0 then n >= 4 and u and n > 4 and r else n >= 3 and b and r end as complete from c""",
     "first_failures": "select doc_id, case when lang <> 'en' then 'language ' || lang when n_chars < 400 then 'too short' when not contains(text, chr(10)) then 'one line' end as message from documents",
     "joined_errors": "select source, coalesce(string_agg('document ' || doc_id || ' is short', '; ' order by doc_id) filter (n_chars < 200), '') as errors from documents group by 1",
-    "used_files": f"with {_INVENTORY} select path, size, sha256 from inventory where doc_id in (select doc_id from labels union select item_id from benchmark union select conv_id from conversations)",
+    "used_files": f"with {INVENTORY} select path, size, sha256 from inventory where doc_id in (select doc_id from labels union select item_id from benchmark union select conv_id from conversations)",
     "path_filter": """with names as (select * from (values (0, 'src/main.py', true, '.py', 'python'), (1, './node_modules/x.js', false, '.js', 'javascript'), (2, '.git/config', true, '', 'plain'),
           (3, 'a/.git/config', false, '', 'plain'), (4, 'pkg/__init__.py', true, '.py', 'python'), (5, 'img/LOGO.PNG', false, '.png', 'plain'), (6, 'x.egg-info/y', false, '', 'plain'),
           (7, 'dir\\build\\z.py', false, '.py', 'python'), (8, 'build', true, '', 'plain'), (9, '', false, '', 'plain'), (10, '..venv/q.py', false, '.py', 'python'),
           (11, '.gitignore', true, '', 'plain'), (12, 'a/b.tar.gz', false, '.gz', 'plain')) t(k, path, allowed, suffix, language))
         select doc_id, path, allowed, suffix, language from documents join names on doc_id % 13 = k""",
-    "stale_flag": f"with {_INVENTORY}, now as (select {_HASH} as h from inventory) select doc_id, repeat(case when toxic = 1 then '0' else '1' end, 64) <> h as stale from labels, now",
-    "escaped_lines": f"""select page_id, replace(replace({_ESCAPED}, '"', '&quot;'), '''', '&#39;') as attribute, sha256({_ESCAPED}) as element_sha256, true as embeddable from pages""",
+    "stale_flag": f"with {INVENTORY}, now as (select {HASH} as h from inventory) select doc_id, repeat(case when toxic = 1 then '0' else '1' end, 64) <> h as stale from labels, now",
+    "escaped_lines": f"""select page_id, replace(replace({ESCAPED}, '"', '&quot;'), '''', '&#39;') as attribute, sha256({ESCAPED}) as element_sha256, true as embeddable from pages""",
     "phase_labels": "select event_id, upper(regexp_replace(event_type || '_of_user', '_', ' ')) as label from events",
     "managed_block": r"""with d as (select doc_id, case when text = '' then '' when ends_with(text, chr(10)) then text || chr(10) else text || chr(10) || chr(10) end as head from documents)
         select doc_id, sha256(head || '# BEGIN' || chr(10) || 'kept' || chr(10) || '# END' || chr(10)) as first_sha256, sha256(head || '# BEGIN' || chr(10) || 'changed' || chr(10) || '# END' || chr(10)) as again_sha256 from d""",
     "code_health": """with s as (select 'src/' || doc_id || '.py' as path, (doc_id % 450 + 2)::int as n from documents)
         select path, 1 as line, 'f' as name, 'function_lines' as metric, n as value, 50 as "limit" from s where n > 50
         union all select path, 0, '', 'file_lines', n, 400 from s where n >= 400""",
-    "workflow_gate": f"""with {_INVENTORY}, r as (select doc_id, path, line_count, 1 + doc_id % 12 as stop, 'f' || doc_id as name from inventory), m as (
+    "workflow_gate": f"""with {INVENTORY}, r as (select doc_id, path, line_count, 1 + doc_id % 12 as stop, 'f' || doc_id as name from inventory), m as (
           select doc_id, case when doc_id % 11 = 0 then 'workflow file is missing or invalid for ' || name
             when stop > line_count then 'evidence for s exceeds ' || path || ' (' || line_count || ' lines)'
             when doc_id % 7 = 0 then 'workflow ' || name || ' is incomplete or invalid'
             when doc_id % 5 = 0 then 'workflow ' || name || ' is not in canonical form' end as message from r)
         select doc_id, message, message is null as accepted from m""",
 }
+ORACLE_SQL.update(VIEWS_SQL)

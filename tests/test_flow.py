@@ -59,3 +59,24 @@ def test_health_findings(spark):
     found = {(r["path"], r["metric"], r["name"], r["value"]) for r in health.health(files).collect()}
     assert found == {("a.py", "function_lines", "f", 52), ("b.py", "complexity", "g", 27), ("c.py", "syntax", None, None), ("d.py", "file_lines", None, 400), ("z.py", "unreadable", None, None)}
     assert {r["metric"]: r["findings"] for r in health.totals(health.health(files)).collect()}["syntax"] == 1
+
+
+def test_arrow_heads_point_along_the_last_part(spark):
+    points = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (10.0, 0.0))])
+    head = spark.range(1).select(flow.arrow_head(points).alias("h")).first()["h"]
+    assert [(round(p["x"], 3), round(p["y"], 3)) for p in head] == [(10.0, 0.0), (3.072, 4.0), (3.072, -4.0)]
+
+
+def test_health_targets(spark):
+    files = spark.createDataFrame([("src/a.py",), ("tests/b.py",), ("c.py",), ("srcs/d.py",)], "path string")
+    paths = lambda *how: sorted(r["path"] for r in health.targeted(files, *how).collect())
+    assert paths("src") == ["src/a.py"] and paths("/src/", True) == ["src/a.py", "tests/b.py"]
+    assert paths("") == ["c.py", "src/a.py", "srcs/d.py"] and paths("", True) == ["c.py", "src/a.py", "srcs/d.py", "tests/b.py"]
+
+
+def test_deep_trees_and_odd_lines_do_not_end_the_job(spark):
+    deep = "x = " + "+".join(["a"] * 3000) + "\n"
+    brackets = "x = " + "(" * 500 + ")" * 500 + "\n"
+    feeds = "x = 1\x0c\n" * 399
+    files = spark.createDataFrame([("deep.py", deep), ("brackets.py", brackets), ("feeds.py", feeds), ("nul.py", "a\0b")], "path string, content string")
+    assert {(r["path"], r["metric"]) for r in health.health(files).collect()} == {("brackets.py", "syntax"), ("nul.py", "syntax")}

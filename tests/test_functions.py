@@ -62,3 +62,19 @@ def test_language_defaults_to_plain(spark):
 def test_text_predicate(spark):
     rows = spark.createDataFrame([(0, b"ok"), (1, b"a\x00"), (2, b"x" * 8192 + b"\x00"), (3, b"x" * 8191 + b"\x00"), (4, b"\xff\xfe"), (5, b"")], "i int, c binary")
     assert [r[0] for r in rows.orderBy("i").select(paths.is_text(F.col("c"))).collect()] == [True, False, True, False, False, True]
+
+
+def test_wrapped_lines(spark):
+    wrap = lambda most: lambda c: text.wrapped(c, 6.0, {"i": 0.5, " ": 1.0}, 1.0, most)
+    assert values(spark, wrap(3), ["", None, "ab cd ef", "ab cde  f", "toolongaword x", "iiii iiii i", " lead", "a b c d e f g h i j"]) == [
+        [], [], ["ab cd", "ef"], ["ab cde", "f"], ["toolongaword", "x"], ["iiii iiii", "i"], ["lead"], ["a b c", "d e f", "g h i j"]]
+    assert values(spark, wrap(2), ["aaaa bbbb cccc"]) == [["aaaa", "bbbb"]]
+
+
+def test_one_pattern_serves_columns_and_python(spark):
+    given = ["a\n/b.gz", "a/..gz", "a/.gz", "a/b.Gz", "a/b.gzx", "..", "//", "x/out/y", "x/out", "outer/y", "a/b.egg-info/c", "é/ü.PDF", ".catalog/a", "x/.catalog/a"]
+    import re
+
+    pattern = re.compile(paths.excluded_path())
+    assert values(spark, paths.allowed_path, given) == [pattern.search(p) is None for p in given]
+    assert [pattern.search(p) is None for p in given] == [False, True, True, False, True, False, False, False, True, True, False, False, True, False]

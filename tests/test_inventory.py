@@ -78,3 +78,32 @@ def test_inventory_of_a_table_dedups_paths(spark):
 def test_ignore_warnings(spark):
     rows = spark.createDataFrame([("# .agents\n/.agents/\n.cursor\n\nsrc\n",)], "content string")
     assert [tuple(r) for r in inventory.ignore_warnings(rows, (".agents", ".cursor")).collect()] == [(2, "/.agents/"), (3, ".cursor")]
+
+
+def test_a_repeated_path_is_one_row_whatever_the_order(spark):
+    rows = [("a.py", b"one\n"), ("a.py", b"two\nlines\n"), ("a\\b.py", b"x"), ("a/b.py", b"x")]
+    found = [sorted(map(tuple, inventory.filtered_inventory(spark.createDataFrame(given, "path string, content binary")).collect())) for given in (rows, rows[::-1])]
+    assert found[0] == found[1] and [r[0] for r in found[0]] == ["a.py", "a/b.py"]
+    assert found[0][0][2] == min(hashlib.sha256(c).hexdigest() for _, c in rows[:2])
+
+
+def test_documents_are_replaced_whole_and_looked_up_alone(spark, tmp_path):
+    from ledgerloom.sources import documents
+
+    root = tmp_path / "a [b] {c}"
+    index, flows = documents.read_catalog(spark, str(root))
+    assert index.count() == 0 and flows.count() == 0 and documents.read_workflow(spark, str(root), "one").count() == 0
+    for name, value in (("one", {"id": 1, "text": "é"}), ("two", [1, 2])):
+        documents.write_document(f"{root}/.catalog/workflows/{name}.yaml", value)
+    documents.write_document(f"{root}/.catalog/features.yaml", {"a": 1})
+    documents.write_document(f"{root}/.catalog/features.yaml", {"a": 2})
+    (root / ".catalog" / "workflows" / "three.yaml").write_text("a: [")
+    index, flows = documents.read_catalog(spark, str(root))
+    assert [r["json"] for r in index.collect()] == ['{"a": 2}']
+    assert {r["feature_id"]: (r["json"], r["error"] is None) for r in flows.collect()} == {"one": ('{"id": 1, "text": "é"}', True), "two": ("[1, 2]", True), "three": (None, False)}
+    assert [tuple(r) for r in documents.read_workflow(spark, str(root), "two").collect()] == [("two", "[1, 2]", None)]
+    page = f"{root}/page.html"
+    assert [documents.write_if_changed(page, t) for t in ("é", "é", "other")] == [True, False, True]
+    assert (root / "page.html").read_text() == "other" and sorted(os.listdir(root)) == [".catalog", "page.html"]
+    (root / ".catalog" / "features.yaml").write_text("a: 3")
+    assert documents.read_catalog(spark, str(root))[0].first()["json"] == '{"a": 3}'

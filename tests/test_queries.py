@@ -50,3 +50,14 @@ def test_the_rest_works_without_the_optional_subpackage(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'inventory_documents' in q and set(e.oracle_sql()) == set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("line", ["import not_there_at_all", "import ledgerloom.not_there", "from ledgerloom.llm import not_there"])
+def test_a_broken_import_inside_the_optional_subpackage_is_raised(tmp_path, line):
+    shutil.copytree(ROOT / "ledgerloom", tmp_path / "ledgerloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "ledgerloom" / "llm").mkdir()
+    (tmp_path / "ledgerloom" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "ledgerloom" / "llm" / "queries.py").write_text(line + "\nQUERIES = {}\nORACLE_SQL = {}\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode and "not_there" in done.stderr
