@@ -46,7 +46,7 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 GROUP_ROWS = 100_000
 #: Words that one worker keeps; when full, it keeps those it met first, which are mostly the common ones.
-CACHE_WORDS, CACHE_KEPT = 600_000, 200_000
+CACHE_WORDS, CACHE_KEPT = 600_000, 500_000
 _MARK, _MARK_ID = "<|endoftext|>", 49407
 
 
@@ -119,13 +119,15 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         words = words_of(text)
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if new:
+        found = list(map(self.words.get, words))
+        if None in found:
+            new = list(dict.fromkeys(w for w, ids in zip(words, found, strict=True) if ids is None))
             if len(self.words) + len(new) > CACHE_WORDS:
                 self.words = dict(islice(self.words.items(), CACHE_KEPT))
                 new = [w for w in dict.fromkeys(words) if w not in self.words]
             self._learn(new)
-        return b"".join(map(self.words.__getitem__, words))
+            found = map(self.words.__getitem__, words)
+        return b"".join(found)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",

@@ -217,3 +217,16 @@ def test_the_program_keeps_little_however_many_sizes():
     assert tracemalloc.get_traced_memory()[1] < 60 << 20
     tracemalloc.stop()
     assert abs(sum(s * t for s, t in zip(sizes, taken)) - 1_000_001) == 1
+
+
+def test_words_put_together_from_parts_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = random.Random(41)
+    pieces = ["'s", "'S", "'t", "'re", "'ve", "'m", "'ll", "'d", "''", "'", "don", "ING", "tion", "É", "é", "ß", "ÿ", "Ǆ", "ǅ", "ĸ", "ŉ", "ı", "º", "ª", "7", "42", "_", "-", "...", "<", "|", ">", "a", "Z", "ſ", "ǆ", "Ɏ", "ȷ", "×", "÷", "µ", "²", "Σ", "Å"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 8))) + rng.choice(["", " x", ".", ". y"]) for _ in range(30_000)]
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want, strict=True) if encoder.encode(t) != np.array(w.ids, "<u4").tobytes()]
+    assert not wrong, wrong[:5]
