@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import fresh, written
+from ledgerloom.llm.common import fresh, removed, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -274,4 +274,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
 
 def pack_documents(docs: DataFrame, tokenizer: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     """All rows of ``docs`` as packed pieces; ``tokenizer`` is a public vocabulary's name, or a path that all workers have."""
-    return pack(written(token_pieces(docs, str(tokenizer), capacity=capacity), "pieces"), capacity)
+    pieces = written(token_pieces(docs, str(tokenizer), capacity=capacity), "pieces")
+    packed = pack(pieces, capacity)
+    removed(pieces)  # the packing is written
+    return packed
