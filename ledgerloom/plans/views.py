@@ -168,7 +168,7 @@ def _options(count: Column, phase: Column) -> Column:
 
 
 @_query
-def options_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def branches_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workflows of every status with up to three branches; one branch, a branch without a phase and pending steps are refused."""
     status = F.when(F.col("doc_id") % 3 == 0, "generated").when(F.col("doc_id") % 3 == 1, "partial").otherwise("pending")
     phase = F.when(F.col("doc_id") % 5 != 0, "external")
@@ -246,7 +246,7 @@ def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query
-def opened_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = mapped.files(spark, sf_dir)
     path = files.where("doc_id = 7").select("path")
     return locate.open_source(files, path.first()[0]).select("path", F.sha2("content", 256).alias("content_sha256"))

@@ -55,7 +55,7 @@ VIEWS_SQL: dict[str, str] = {
             when 3 then 'evidence file is not in the inventory: missing.py' when 4 then 'evidence in ' || path || ' needs a symbol' when 5 then 'evidence for s has an invalid line range'
             else case when (case when doc_id % 8 = 6 then 99999 else 1 end) > line_count then 'evidence for s exceeds ' || path || ' (' || line_count || ' lines)' end end as message from inventory)
         select * from said where message is not null""",
-    "options_gate": f"""with {INVENTORY}, said as (
+    "branches_gate": f"""with {INVENTORY}, said as (
           select doc_id, case when line_count < 1 then 'evidence for s exceeds ' || path || ' (' || line_count || ' lines)'
             when doc_id % 3 = 2 then 'pending workflows cannot contain steps' when doc_id % 4 = 1 then 'step options need at least two branches'
             when doc_id % 5 = 0 and doc_id % 4 > 1 then 'workflow f' || doc_id || ' is not in canonical form' end as message from inventory)
@@ -77,7 +77,7 @@ VIEWS_SQL: dict[str, str] = {
     "first_source_file": f"with {_VIEWS} select min(path) as path from views where good",
     "view_counts": f"""with {_VIEWS} select 0::bigint as ready_count, count(*) filter (good) as partial_count, count(*) filter (not good) as pending_count, 0::bigint as complete,
           count(*) as total, count(*) filter (branched) as shown from views""",
-    "opened_source": f"with {INVENTORY} select path, sha256 as content_sha256 from inventory where doc_id = 7",
+    "source_text": f"with {INVENTORY} select path, sha256 as content_sha256 from inventory where doc_id = 7",
     "section_places": f"""with {FEATURES}, placed as (
           select n_nationkey as id, case when n_regionkey % 2 = 0 then 'technical' else 'product' end as perspective,
             row_number() over (order by case when n_regionkey % 2 = 0 then 1 else 0 end, n_nationkey % 5 % 2, n_nationkey desc) as place from nation)
