@@ -309,7 +309,9 @@ def code_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (F.col("doc_id") % 450).cast("int")
     few = F.least(lines, F.lit(14))  # with so many branches a function is still simple enough
     body = F.concat(F.lit("def f(x):\n"), F.repeat(F.lit("    x = 1 if x else 2\n"), few), F.repeat(F.lit("    x += 1\n"), lines - few), F.lit("    return x\n"))
-    made = table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
+    # The ids are dealt out before the sources are made from them, so that all tasks parse.
+    ids = table(spark, sf_dir, "documents").select("doc_id").repartition(spark.sparkContext.defaultParallelism)
+    made = ids.select(F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
     return health.health(made).select("path", F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("name", F.lit("")).alias("name"), "metric", "value", "limit")
 
 
