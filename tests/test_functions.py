@@ -67,7 +67,7 @@ def test_text_predicate(spark):
 def test_wrapped_lines(spark):
     wrap = lambda most: lambda c: text.wrapped(c, 6.0, {"i": 0.5, " ": 1.0}, 1.0, most)
     assert values(spark, wrap(3), ["", None, "ab cd ef", "ab cde  f", "toolongaword x", "iiii iiii i", " lead", "a b c d e f g h i j"]) == [
-        [], [], ["ab cd", "ef"], ["ab cde", "f"], ["toolongaword", "x"], ["iiii iiii", "i"], ["lead"], ["a b c", "d e f", "g h i j"]]
+        [], [], ["ab cd", "ef"], ["ab cde", "f"], ["toolongaword", "x"], ["iiii iiii", "i"], ["lead"], ["a b c", "d e f", "g h i"]]
     assert values(spark, wrap(2), ["aaaa bbbb cccc"]) == [["aaaa", "bbbb"]]
 
 
