@@ -3,9 +3,10 @@
 Tokens
     A document is its tokenizer ids, then one end id.  Only documents longer than
     the capacity are cut, into full pieces and a rest.  Words are encoded once per
-    worker and kept in a bounded cache; the tokenizer itself drops white space, so
-    the ids of a text are those of its words in order.  Its white space is that of
-    ``str.split`` but for U+001C to U+001F, which are text to it.
+    worker, Latin ones by the vocabulary's model alone, and kept in a bounded cache;
+    the tokenizer itself drops white space, so the ids of a text are those of its
+    words in order.  Its white space is that of ``str.split`` but for U+001C to
+    U+001F, which are text to it.
 
 Packing
     Pieces are dealt into groups of about ``GROUP_ROWS``; each group is packed by
@@ -32,6 +33,7 @@ import math
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -71,6 +73,18 @@ _STOP = re.compile(rf"[.,](?<=[{_plain_letters()}][.,])(?=\s|\Z)")
 #: ``str.split`` drops these, the tokenizer does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WORDS = re.compile(rf"[\S{_SEPARATORS}]+")
+#: Of these letters NFC, lower-casing and byte-level symbols are the same a letter at a time as in any context.
+_LATIN = [chr(point) for point in range(0x250) if re.match(f"[{_plain_letters()}]", chr(point))]
+_LATIN_WORD = re.compile(f"[{re.escape(''.join(_LATIN))}]+").fullmatch
+
+
+def _byte_symbols() -> dict[int, int]:
+    """Byte-level tokenizers' symbol of each byte: printable ones stand for themselves, the others follow from U+0100."""
+    others = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+_SYMBOLS = _byte_symbols()
 
 
 def words_of(text: str) -> list[str]:
@@ -88,7 +102,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        # Whether this vocabulary takes a Latin word as one lower-case byte-level piece.
+        probes = [*_LATIN, *("a" + c + "b" for c in _LATIN)]
+        self.direct = all(self._whole(w) == self._piece(w) for w in probes)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -101,7 +119,25 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _piece(self, word: str) -> bytes:
+        """The ids of a Latin word by the model alone, without what the tokenizer does around it."""
+        word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_SYMBOLS)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _learn(self, words: list[str]) -> None:
+        if self.direct:
+            others = []
+            for word in words:
+                if _LATIN_WORD(word):
+                    self.words[word] = self._piece(word)
+                else:
+                    others.append(word)
+            words = others
         plain = [w for w in words if "<|" not in w]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
@@ -115,7 +151,7 @@ class Encoder:
                 start = end + 1
         for word in words:
             if "<|" in word:
-                self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+                self.words[word] = self._whole(word)
 
     def encode(self, text: str) -> bytes:
         words = words_of(text)

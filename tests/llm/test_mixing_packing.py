@@ -230,3 +230,18 @@ def test_words_put_together_from_parts_have_the_tokenizers_ids():
     want = tokenizer.encode_batch(texts, add_special_tokens=False)
     wrong = [t for t, w in zip(texts, want, strict=True) if encoder.encode(t) != np.array(w.ids, "<u4").tobytes()]
     assert not wrong, wrong[:5]
+
+
+def test_latin_words_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer, encoder, whole = Tokenizer.from_file(path), packing.Encoder(path), packing.Encoder(path)
+    assert encoder.direct
+    whole.direct = False
+    rng = random.Random(43)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts = ["".join(rng.choice(letters if k % 2 else "etaoinshrdluETAÉéñ") for _ in range(rng.randrange(1, 30))) for k in range(20_000)]
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, w in zip(texts, want, strict=True) if not encoder.encode(t) == whole.encode(t) == np.array(w.ids, "<u4").tobytes()]
+    assert not wrong, wrong[:5]
