@@ -35,6 +35,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from itertools import islice
 
 import numpy as np
@@ -52,6 +53,7 @@ CACHE_WORDS, CACHE_KEPT = 800_000, 650_000
 _MARK, _MARK_ID = "<|endoftext|>", 49407
 
 
+@cache
 def _plain_letters() -> str:
     """The letters, as the inside of a regex class, that NFC keeps and lower-casing makes one letter of."""
     ranges: list[list[int]] = []
@@ -67,15 +69,22 @@ def _plain_letters() -> str:
     return "".join(f"\\u{first:04x}-\\u{last:04x}" for first, last in ranges)
 
 
-#: A stop after a letter is a token of its own, so it may be split from the word; but NFC and lower-casing
-#: make a letter and a mark of some letters, and that mark and the stop are one token.
-_STOP = re.compile(rf"[.,](?<=[{_plain_letters()}][.,])(?=\s|\Z)")
+@cache
+def _stop() -> re.Pattern[str]:
+    """A stop after a letter is a token of its own, so it may be split from the word; but NFC and lower-casing
+    make a letter and a mark of some letters, and that mark and the stop are one token."""
+    return re.compile(rf"[.,](?<=[{_plain_letters()}][.,])(?=\s|\Z)")
+
+
+@cache
+def _latin() -> str:
+    """Of these letters NFC, lower-casing and byte-level symbols are the same a letter at a time as in any context."""
+    return "".join(re.findall(f"[{_plain_letters()}]", "".join(map(chr, range(0x250)))))
+
+
 #: ``str.split`` drops these, the tokenizer does not.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WORDS = re.compile(rf"[\S{_SEPARATORS}]+")
-#: Of these letters NFC, lower-casing and byte-level symbols are the same a letter at a time as in any context.
-_LATIN = [chr(point) for point in range(0x250) if re.match(f"[{_plain_letters()}]", chr(point))]
-_LATIN_WORD = re.compile(f"[{re.escape(''.join(_LATIN))}]+").fullmatch
 
 
 def _byte_symbols() -> dict[int, int]:
@@ -89,7 +98,7 @@ _SYMBOLS = _byte_symbols()
 
 def words_of(text: str) -> list[str]:
     """The parts of a text that can be encoded on their own."""
-    text = _STOP.sub(r" \g<0>", text)
+    text = _stop().sub(r" \g<0>", text)
     return _WORDS.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
 
 
@@ -105,7 +114,8 @@ class Encoder:
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         # Whether this vocabulary takes a Latin word as one lower-case byte-level piece.
-        probes = [*_LATIN, *("a" + c + "b" for c in _LATIN)]
+        probes = [*_latin(), *("a" + c + "b" for c in _latin())]
+        self.latin = re.compile(f"[{re.escape(_latin())}]+").fullmatch
         self.direct = all(self._whole(w) == self._piece(w) for w in probes)
 
     @classmethod
@@ -133,7 +143,7 @@ class Encoder:
         if self.direct:
             others = []
             for word in words:
-                if _LATIN_WORD(word):
+                if self.latin(word):
                     self.words[word] = self._piece(word)
                 else:
                     others.append(word)

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -245,3 +248,8 @@ def test_latin_words_have_the_tokenizers_ids():
     want = tokenizer.encode_batch(texts, add_special_tokens=False)
     wrong = [t for t, w in zip(texts, want, strict=True) if not encoder.encode(t) == whole.encode(t) == np.array(w.ids, "<u4").tobytes()]
     assert not wrong, wrong[:5]
+
+
+def test_importing_builds_no_tables():
+    code = "from ledgerloom.llm import packing as p; assert not p._plain_letters.cache_info().currsize; assert p.words_of('a. b') == ['a', '.', 'b']"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], check=True, timeout=60)
