@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat, lines, media, mixing, packing, simhash, sql, substrings, topk, toxicity, urls
+from ledgerloom.llm import audit, chat, lines, media, mixing, packing, simhash, sql, substrings, topk, toxicity, urls
 from ledgerloom.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": sql.OP3,
@@ -81,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": sql.OP5,
     "op5_line_dedup_whole": sql.OP5_WHOLE,
     "op6_exact_top_k": sql.OP6,
+    "op12_filter_audit": sql.OP12,
 }

@@ -168,3 +168,51 @@ select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_remo
   (select count(*) from runs r where r.doc_id = d.doc_id) as n_runs, coalesce(kept_sha256, sha256('')) as kept_sha256
 from documents d left join per_doc using (doc_id)
 """
+
+OP12 = r"""
+with texts as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents
+), split as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, doc_id > min(doc_id) over (partition by text) as late from texts
+), said as (
+  select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id
+), flagged as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, {
+    'A': len(words) < 200,
+    'B': 100 * len(list_distinct(words)) < 50 * len(words),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(late, false)} as fails
+  from split left join said using (doc_id)
+), letters as (
+  select unnest(['A', 'B', 'C', 'D', 'E']) as letter
+), orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5
+), steps as (
+  select filter_order, step::int as step, filter_order[step] as letter, left(filter_order, step - 1) as earlier
+  from orders, range(1, 6) as r(step)
+), long as (
+  select row_number() over () as doc, * from flagged
+), each as (
+  select doc, part, good, toxic, letter, case letter when 'A' then fails.A when 'B' then fails.B when 'C' then fails.C when 'D' then fails.D else fails.E end as bad
+  from long, letters
+), failed as (
+  select doc, string_agg(letter, '') filter (bad) as bad from each group by doc
+), patterns as (
+  select part, coalesce(bad, '') as bad, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+  from long join failed using (doc) group by all
+), placed as (
+  select *, contains(bad, letter) as fails, len(translate(earlier, bad, '')) < len(earlier) as before from patterns, steps
+), counted as (
+  select part, filter_order, step, letter,
+    sum(n) filter (not fails and not before) as kept, sum(n) filter (fails and not before) as removed, sum(n) filter (fails and before) as redundant,
+    sum(n) filter (bad = letter) as unique_fails, sum(good) filter (fails and not before) as good_lost, sum(toxic) filter (fails and not before) as toxic_lost
+  from placed group by all
+)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  coalesce(sum(removed) over (partition by part, letter), 0)::bigint as shapley
+from counted
+"""
