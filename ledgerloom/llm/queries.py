@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import audit, chat, lines, media, mixing, packing, simhash, sql, substrings, topk, toxicity, urls
+from ledgerloom.llm import audit, chat, lines, media, merkle, mixing, packing, simhash, sql, substrings, topk, toxicity, urls
 from ledgerloom.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_filter_audit": op12_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": sql.OP3,
@@ -87,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup_whole": sql.OP5_WHOLE,
     "op6_exact_top_k": sql.OP6,
     "op12_filter_audit": sql.OP12,
+    "op13_merkle_manifest": sql.OP13,
 }

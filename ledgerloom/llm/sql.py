@@ -216,3 +216,52 @@ select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(rem
   coalesce(sum(removed) over (partition by part, letter), 0)::bigint as shapley
 from counted
 """
+
+OP13 = r"""
+with recursive bytes as (
+  select distinct doc_id, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint) as bytes from documents where doc_id is not null
+), checks as (
+  select doc_id, xor(list_reduce(bytes, lambda crc, byte:
+    list_reduce(range(8), lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, xor(crc, byte)), 4294967295), 4294967295) as crc32
+  from bytes
+), fields as (
+  select doc_id, lang, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head, text,
+    case when crc32 % 3 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as touched
+  from documents left join checks using (doc_id)
+), leaves as (
+  select doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf, sha256(head || coalesce(strlen(touched) || ':' || touched, '-')) as changed
+  from fields
+), ordered as (
+  select row_number() over () as doc, *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as n
+  from leaves
+), nodes as (
+  select 0 as level, lang, place, n, leaf as h from ordered
+  union all
+  select level + 1, lang, place // 8, (n + 7) // 8, sha256(string_agg(h, '' order by place)) from nodes where n > 1 group by level, lang, place // 8, n
+), runs as (
+  select level + 1 as level, lang, place // 8 as place, string_agg(h, '' order by place) as run from nodes where n > 1 group by level, lang, place // 8
+), langs as (
+  select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as place, count(*) over () as n from nodes where n = 1
+), tops as (
+  select 0 as level, place, n, subroot as h from langs
+  union all
+  select level + 1, place // 8, (n + 7) // 8, sha256(string_agg(h, '' order by place)) from tops where n > 1 group by level, place // 8, n
+), top_runs as (
+  select level + 1 as level, place // 8 as place, string_agg(h, '' order by place) as run from tops where n > 1 group by level, place // 8
+), climb as (
+  select 0 as level, doc, lang, place, n, changed as cur, '' as sib from ordered
+  union all
+  select c.level + 1, doc, c.lang, r.place, (n + 7) // 8, sha256(left(run, 64 * (c.place % 8)::int) || cur || substr(run, 64 * (c.place % 8 + 1)::int + 1)),
+    sib || left(run, 64 * (c.place % 8)::int) || substr(run, 64 * (c.place % 8 + 1)::int + 1)
+  from climb c join runs r on r.level = c.level + 1 and r.lang is not distinct from c.lang and r.place = c.place // 8
+), climb_tops as (
+  select 0 as level, doc, l.place, l.n, subroot, cur, sib from climb c join langs l on l.lang is not distinct from c.lang where c.n = 1
+  union all
+  select c.level + 1, doc, r.place, (n + 7) // 8, subroot, sha256(left(run, 64 * (c.place % 8)::int) || cur || substr(run, 64 * (c.place % 8 + 1)::int + 1)),
+    sib || left(run, 64 * (c.place % 8)::int) || substr(run, 64 * (c.place % 8 + 1)::int + 1)
+  from climb_tops c join top_runs r on r.level = c.level + 1 and r.place = c.place // 8
+)
+select doc_id, leaf, subroot, h as root, sha256(sib) as proof_sha256, cur as folded_root, cur = h as verified
+from climb_tops c join ordered using (doc), (select h from tops where n = 1) where c.n = 1
+"""
