@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import audit, chat, lines, media, merkle, mixing, packing, simhash, sql, substrings, topk, toxicity, urls
+from ledgerloom.llm import audit, chat, jaccard, lines, media, merkle, mixing, packing, simhash, sql, substrings, topk, toxicity, urls
 from ledgerloom.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -91,6 +96,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": sql.OP5,
     "op5_line_dedup_whole": sql.OP5_WHOLE,
     "op6_exact_top_k": sql.OP6,
+    "op11_jaccard_join": sql.OP11,
     "op12_filter_audit": sql.OP12,
     "op13_merkle_manifest": sql.OP13,
 }

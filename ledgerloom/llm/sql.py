@@ -265,3 +265,32 @@ with recursive bytes as (
 select doc_id, leaf, subroot, h as root, sha256(sib) as proof_sha256, cur as folded_root, cur = h as verified
 from climb_tops c join ordered using (doc), (select h from tops where n = 1) where c.n = 1
 """
+
+OP11 = r"""
+with recursive words as (
+  select row_number() over () as doc, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), sets as (
+  select doc, doc_id, list_distinct(case when len(w) between 1 and 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as shingles
+  from words
+), entries as (
+  select doc, len(shingles) as n, unnest(shingles) as shingle from sets
+), pairs as (
+  select a.doc as a, b.doc as b from entries a join entries b on a.shingle = b.shingle and a.doc < b.doc and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  group by a.doc, b.doc, a.n, b.n having 185 * count(*) >= 85 * (a.n + b.n)
+), links as (
+  select a, b from pairs union all select b, a from pairs
+), reached as (
+  select doc, doc as other from sets
+  union
+  select r.doc, l.b from reached r join links l on l.a = r.other
+), least as (
+  select r.doc, min(s.doc_id) as component_id from reached r join sets s on s.doc = r.other group by r.doc
+), counts as (
+  select a as doc, count(*) as n_links from links group by a
+)
+select doc_id, len(shingles)::bigint as n_shingles, component_id, coalesce(n_links, 0)::bigint as n_links
+from sets join least using (doc) left join counts using (doc)
+"""
