@@ -6,11 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.paths import STATE_DIR, allowed_path, is_text, language
 from ledgerloom.functions.text import line_count, sha256_hex, slashes
 from ledgerloom.sources import tree
+from ledgerloom.sources.shared import stored
 
 
 def inventory(contents: DataFrame, path: Column, content: Column) -> DataFrame:
@@ -30,26 +32,58 @@ def filtered_inventory(files: DataFrame, state_dir: str = STATE_DIR) -> DataFram
 
 
 def tree_inventory(spark: SparkSession, root: str, mode: str = "auto", content: bool = False, state_dir: str = STATE_DIR) -> DataFrame:
-    """The inventory of a source tree, read by the ``tree`` source."""
+    """The inventory of a source tree, read by the ``tree`` source; filters on path and language keep files from being opened."""
     tree.register(spark)
-    files = spark.read.format("tree").option("mode", mode).option("content", str(content).lower()).option("state_dir", state_dir).load(root)
-    return files.withColumn("language", language(F.col("path"))).select("path", "size", "sha256", "language", "line_count", *(["content"] if content else []))
+    columns = ["path", "size", "sha256", "language", "line_count", *(["content"] if content else [])]
+    asked = spark.read.format("tree").option("mode", mode).option("state_dir", state_dir).option("tasks", str(2 * spark.sparkContext.defaultParallelism))
+    return asked.schema(", ".join(f"{c} {tree.COLUMNS[c]}" for c in columns)).load(root)
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Files ``(path, content)``, or documents ``(path, json)`` as YAML, written below the root by the executors."""
+    tree.register(files.sparkSession)
+    files.write.format("tree").mode("append").save(root)
+
+
+#: Bytes of records in one row of a sorted run.
+_RUN = 8192
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of a sorted range, some thousand bytes a row."""
+    part, at, held = TaskContext.get().partitionId(), 0, bytearray()
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": pa.array([at], pa.int64()), "records": pa.array([bytes(held)], pa.binary())})
+
+    for batch in batches:
+        for path, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held += f"{path}\0{digest}\n".encode()
+            if len(held) >= _RUN:
+                yield row()
+                at, held = at + 1, bytearray()
+    if held:
+        yield row()
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
     """One row ``source_hash``: SHA-256 over ``path NUL sha256 LF`` records in order of path.
 
-    The fold is global and ordered by definition; one task sorts a path and a digest
-    per file, never contents, and hashes them batch by batch as they come.
+    The paths are sorted in ranges, each by a task of its own, and written as runs of records.  The
+    fold is one task by definition; it takes the runs in order, a row for some
+    hundred files, and hashes them as they come.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = hashlib.sha256()
         for batch in batches:
-            total.update("".join(f"{path}\0{digest}\n" for path, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True)).encode("utf-8"))
+            for records in batch.column("records"):
+                total.update(records.as_buffer())
         yield pa.RecordBatch.from_pydict({"source_hash": [total.hexdigest()]})
 
-    ordered = files.select("path", "sha256").repartition(1).sortWithinPartitions("path", "sha256")
+    ranges = files.select("path", "sha256").repartitionByRange("path", "sha256").sortWithinPartitions("path", "sha256")
+    runs = stored(ranges.mapInArrow(_runs, "part int, at long, records binary"), "runs")
+    ordered = runs.repartition(1).sortWithinPartitions("part", "at").select("records")
     return ordered.mapInArrow(fold, "source_hash string").agg(F.coalesce(F.max("source_hash"), F.lit(hashlib.sha256().hexdigest())).alias("source_hash"))
 
 
@@ -59,6 +93,11 @@ def snapshot(files: DataFrame) -> DataFrame:
     return fingerprint(files).crossJoin(listed)  # one row each
 
 
+def snapshot_rows(files: DataFrame) -> DataFrame:
+    """The snapshot as rows ``source_hash, path, size, sha256, language``, however many files it has."""
+    return files.select("path", "size", "sha256", "language").crossJoin(F.broadcast(fingerprint(files))).select("source_hash", "path", "size", "sha256", "language")  # one row
+
+
 def by_path(files: DataFrame) -> DataFrame:
     return files.orderBy("path")
 

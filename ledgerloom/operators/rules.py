@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.operators.ranges import placed
+
 
 def first_failure(*rules: tuple[Column, Column | str]) -> Column:
     """The message of the first rule whose condition holds, else null.
@@ -24,6 +26,20 @@ def joined(failures: DataFrame, order: str, message: str = "message", by: tuple[
     return failures.groupBy(*by).agg(F.array_join(F.transform(pairs, lambda p: p[message]), "; ").alias("errors"))
 
 
+def joined_chunks(failures: DataFrame, order: str, message: str = "message", by: tuple[str, ...] = (), rows: int = 1000) -> DataFrame:
+    """The joined text as rows ``by, chunk, offset, text``: concatenated in order they are all messages with ``; `` between.
+
+    A chunk holds ``rows`` messages, the last one fewer, and all but a group's first begin with ``; ``;
+    ``offset`` is how many characters are before it.  A group without messages has no row.
+    Messages are placed in ranges, so no task and no value holds them all.
+    """
+    found = placed(failures.where(F.col(message).isNotNull()).select(*by, F.col(order).alias("_order"), F.col(message).alias("_message")), [F.col("_order").asc(), F.col("_message").asc()], "_place", by)
+    chunk = F.expr(f"(_place - 1) div {rows}").alias("chunk")
+    texts = found.groupBy(*by, chunk).agg(F.array_sort(F.collect_list(F.struct("_place", "_message"))).alias("parts"))
+    texts = texts.select(*by, "chunk", F.concat(F.when(F.col("chunk") > 0, F.lit("; ")).otherwise(F.lit("")), F.array_join(F.transform("parts", lambda p: p["_message"]), "; ")).alias("text"))
+    return placed(texts, [F.col("chunk").asc()], "_nth", by, F.length("text"), "offset").select(*by, "chunk", "offset", "text")
+
+
 def repeated(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows that are not the first of their key; the window holds one key's rows."""
     from pyspark.sql import Window

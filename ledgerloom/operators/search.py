@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.text import contains_lower
+from ledgerloom.operators.ranges import placed
 
 
 def matches(texts: Column, query: str) -> Column:
@@ -30,11 +31,8 @@ def perspective_rank(perspective: Column) -> Column:
 
 
 def placed_areas(areas: DataFrame, *ties: str) -> DataFrame:
-    """Areas with ``place``, from 1, by perspective, order and ties: the id in an index, the input place in a viewer.
-
-    An index's areas are few; they are numbered in one task.
-    """
-    return areas.withColumn("place", F.row_number().over(Window.orderBy(perspective_rank(F.col("perspective")), "order", *ties)).cast("long"))
+    """Areas with ``place``, from 1, by perspective, order and ties: the id in an index, the input place in a viewer."""
+    return placed(areas, [perspective_rank(F.col("perspective")).asc(), F.col("order").asc(), *[F.col(c).asc() for c in ties]])
 
 
 def ordered_areas(areas: DataFrame, *ties: str) -> DataFrame:
@@ -49,8 +47,8 @@ def sections(areas: DataFrame, shown: DataFrame) -> DataFrame:
     that tie stay in order of ``at``, their place in the input, if they have it, else of their id.
     """
     cards = shown.groupBy("area_id").agg(F.array_sort(F.collect_list(F.struct("at", "id", "title", "status", "summary"))).alias("cards"))
-    placed = placed_areas(areas, "at" if "at" in areas.columns else "id")
-    return placed.join(cards, placed.id == cards.area_id).drop("area_id").orderBy("place")
+    numbered = placed_areas(areas, "at" if "at" in areas.columns else "id")
+    return numbered.join(cards, numbered.id == cards.area_id).drop("area_id").orderBy("place")
 
 
 def summary(views: DataFrame, query: str, texts: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import paths, text
 from ledgerloom.operators import flow, health, inventory, locate, readmodel, rules, search, shape, validate
-from ledgerloom.plans import mapped, views as view_queries
+from ledgerloom.plans import jobs, mapped, views as view_queries
 from ledgerloom.plans.mapped import table
 from ledgerloom.schemas import OPTION
 
@@ -47,8 +47,8 @@ def snapshot_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = inventory.snapshot(_inventory(spark, sf_dir))
-    return one.select("source_hash", F.size("files").cast("long").alias("files"), F.col("files")[0]["path"].alias("first_path"))
+    rows = inventory.snapshot_rows(_inventory(spark, sf_dir))
+    return rows.groupBy("source_hash").agg(F.count("*").alias("files"), F.min("path").alias("first_path"))
 
 
 @_query
@@ -333,3 +333,4 @@ def workflow_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES.update(view_queries.QUERIES)
+QUERIES.update(jobs.QUERIES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.plans.fragments import AREAS, BOUNDS, EDGES, ESCAPED, EVIDENCE, FEATURES, FILES, HASH, INVENTORY, STEPS, nodes
+from ledgerloom.plans.jobs_sql import JOBS_SQL
 from ledgerloom.plans.views_sql import VIEWS_SQL
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,3 +78,4 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, message, message is null as accepted from m""",
 }
 ORACLE_SQL.update(VIEWS_SQL)
+ORACLE_SQL.update(JOBS_SQL)
