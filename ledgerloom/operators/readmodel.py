@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.operators.shape import valid_workflow
+from ledgerloom.operators.validate import index_head, index_rows
 from ledgerloom.schemas import AREA, EVIDENCE, FEATURE, INDEX, WORKFLOW, Tags
 
 PLACEHOLDER = "Workflow file is missing or invalid."
@@ -22,7 +23,8 @@ def _or(*values: Column | str) -> Column:
 
 
 def manifest_state(index: DataFrame, source_hash: str = "", tags: Tags = Tags()) -> DataFrame:
-    """One row ``state, source_hash`` of an index document ``(json, error)`` that may be missing."""
+    """One row ``state, source_hash`` of an index, a document ``(json, error)`` or its rows, that may be missing."""
+    index = index_head(index)
     listed = lambda name: F.startswith(F.coalesce(F.get_json_object("json", f"$.{name}"), F.lit("")), F.lit("["))
     typed = F.from_json("json", INDEX)
     state = F.when(F.col("error").isNotNull(), F.concat(F.lit("invalid_features: "), F.col("error"))) \
@@ -90,12 +92,12 @@ def workflow_views(features: DataFrame, areas: DataFrame, workflows: DataFrame,
 
 
 def index_tables(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Areas and features that an index document lists; members that are no objects are left out."""
-    typed = index.select(F.from_json("json", INDEX).alias("i"))
+    """Areas and features that an index, a document or its rows, lists; members that are no objects are left out."""
+    rows = index_rows(index)
 
     def members(name: str, kind: str) -> DataFrame:
-        rows = typed.select(F.posexplode(f"i.{name}").alias("at", "raw")).where(F.startswith("raw", F.lit("{")))
-        return rows.select("at", F.from_json("raw", kind).alias("x")).select("at", "x.*")
+        own = rows.where((F.col("part") == name) & F.startswith("raw", F.lit("{")))
+        return own.select(F.col("at").cast("int").alias("at"), F.from_json("raw", kind).alias("x")).select("at", "x.*")
 
     return members("areas", AREA), members("features", FEATURE)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.text import normalize_path, slashes, strip
-from ledgerloom.operators.rules import earliest, first_failure, joined, same_json
+from ledgerloom.operators.rules import earliest, first_failure, joined, joined_chunks, same_json
 from ledgerloom.operators.shape import valid_workflow
 from ledgerloom.schemas import AREA, AUDIENCES, FEATURE, ID_PATTERN, INDEX, OPTION, PERSPECTIVES, STATUSES, WORKFLOW, Tags
 
@@ -36,13 +36,35 @@ def _not(value: Column) -> Column:
     return ~F.coalesce(value, F.lit(False))
 
 
+def index_rows(index: DataFrame) -> DataFrame:
+    """An index document ``(json, error)`` as the rows ``part, at, raw, error`` that the ``members`` source yields."""
+    if "part" in index.columns:
+        return index
+    given = index if "error" in index.columns else index.withColumn("error", F.lit(None).cast("string"))
+    typed = given.withColumn("index", F.from_json("json", INDEX))
+    zero, none = F.lit(0).cast("long").alias("at"), F.lit(None).cast("string").alias("error")
+    members = [typed.select(F.lit(name).alias("part"), F.posexplode(f"index.{name}").alias("at", "raw")).select("part", F.col("at").cast("long").alias("at"), "raw", none) for name in ("areas", "features")]
+    heads = typed.where("json is not null").select(F.lit("head").alias("part"), zero, F.col("json").alias("raw"), none)
+    errors = typed.where("error is not null").select(F.lit("error").alias("part"), zero, F.lit(None).cast("string").alias("raw"), "error")
+    return heads.unionByName(errors).unionByName(members[0]).unionByName(members[1])
+
+
+def index_head(index: DataFrame) -> DataFrame:
+    """At most one row ``json, error``: the document without its members, or why it cannot be read."""
+    if "part" not in index.columns:
+        return index
+    # A document has one head; of the splits' errors one is told.
+    ends = index.where(F.col("part").isin("head", "error")).agg(F.max("raw").alias("json"), F.min("error").alias("error"))
+    return ends.where("json is not null or error is not null").select(F.when(F.col("error").isNull(), F.col("json")).alias("json"), "error")
+
+
 def index_members(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Areas and features of the index, typed, with their ordinal and raw text."""
-    typed = index.select(F.from_json("json", INDEX).alias("index"))
+    """Areas and features of the index, a document or its rows; typed, with their ordinal and raw text."""
+    rows = index_rows(index)
 
     def members(name: str, kind: str) -> DataFrame:
-        rows = typed.select(F.posexplode(f"index.{name}").alias("at", "raw"))
-        return rows.select("at", "raw", F.from_json("raw", kind).alias("x")).select("at", "raw", "x.*")
+        own = rows.where(F.col("part") == name).select(F.col("at").cast("int").alias("at"), "raw")
+        return own.select("at", "raw", F.from_json("raw", kind).alias("x")).select("at", "raw", "x.*")
 
     return members("areas", AREA), members("features", FEATURE)
 
@@ -85,17 +107,21 @@ def orphan_features(features: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def index_failure(index: DataFrame, source_hash: str, tags: Tags = Tags()) -> DataFrame:
-    """One row ``error``: the index's first problem, null if there is none."""
-    typed = index.select(F.from_json("json", INDEX).alias("i"))
-    listed = lambda name: F.coalesce(F.size(f"i.{name}"), F.lit(0)) > 0
+    """One row ``error``: the index's first problem, null if there is none; the index is a document or its rows."""
+    rows = index_rows(index)
+    typed = index_head(rows).where("json is not null").select(F.from_json("json", INDEX).alias("i"))
+    # Whether a list has members: one row for each list that has, however many they are.
+    listed = rows.where(F.col("part").isin("areas", "features")).select("part").distinct()
+    typed = typed.crossJoin(F.broadcast(listed.agg(F.collect_set("part").alias("listed"))))  # one row, two values at most
+    has = lambda name: F.array_contains("listed", name)
     heads = typed.select(first_failure(
         (_differs(F.col("i.schema"), tags.index_schema), f"features schema must be {tags.index_schema}"),
         (_differs(F.col("i.source_hash"), source_hash), "features source_hash does not match the current snapshot"),
         (_differs(F.col("i.generator"), tags.index_generator), f"features generator must be {tags.index_generator}"),
-        (~listed("areas"), "the index must contain at least one feature area"),
+        (~has("areas"), "the index must contain at least one feature area"),
     ).alias("message"), F.lit(0).alias("part"), F.lit(0).alias("at"))
-    empty = typed.select(F.when(~listed("features"), F.lit("features must contain at least one feature")).alias("message"), F.lit(2).alias("part"), F.lit(0).alias("at"))
-    areas, features = index_members(index)
+    empty = typed.select(F.when(~has("features"), F.lit("features must contain at least one feature")).alias("message"), F.lit(2).alias("part"), F.lit(0).alias("at"))
+    areas, features = index_members(rows)
     every = heads.unionByName(empty) \
         .unionByName(area_failures(areas).withColumn("part", F.lit(1))) \
         .unionByName(feature_failures(features, areas, tags).withColumn("part", F.lit(3)))
@@ -204,17 +230,33 @@ def workflow_failures(features: DataFrame, workflows: DataFrame, files: DataFram
 def validate(index: DataFrame, workflows: DataFrame, files: DataFrame, source_hash: str, tags: Tags = Tags()) -> tuple[DataFrame, DataFrame]:
     """``(report, accepted)``: one row ``error`` (empty if all is accepted), and one row per feature.
 
-    A broken index hides its workflows' problems.
+    A broken index hides its workflows' problems.  The error is one value: for catalogs with very many
+    problems see :func:`error_chunks`.
     """
     _, features = index_members(index)
     each = workflow_failures(features, workflows, files, source_hash, tags)
     found = index_failure(index, source_hash, tags).select(F.col("error").alias("index_error"))
     rest = joined(each, "at").select("errors")
-    missing = index.agg(F.when(F.count("json") == 0, F.lit("features catalog is missing or invalid")).alias("none"))
-    report = found.crossJoin(rest).crossJoin(missing).select(F.coalesce("none", "index_error", "errors").alias("error"))  # one row each
+    report = found.crossJoin(rest).crossJoin(_missing(index)).select(F.coalesce("none", "index_error", "errors").alias("error"))  # one row each
     return report, each
 
 
+def _missing(index: DataFrame) -> DataFrame:
+    """One row ``none``: the message if there is no index, or none that can be read."""
+    return index_head(index).agg(F.when(F.count("json") == 0, F.lit("features catalog is missing or invalid")).alias("none"))
+
+
+def error_chunks(index: DataFrame, workflows: DataFrame, files: DataFrame, source_hash: str, tags: Tags = Tags(), rows: int = 1000) -> DataFrame:
+    """The error of :func:`validate` as rows ``chunk, offset, text``, in order its whole text; no row if all is accepted."""
+    _, features = index_members(index)
+    each = workflow_failures(features, workflows, files, source_hash, tags).select(F.col("at").cast("long").alias("at"), "message")
+    whole = index_failure(index, source_hash, tags).crossJoin(_missing(index)).select(F.coalesce("none", "error").alias("whole"))  # one row each
+    # What is wrong with the index stands alone: it comes instead of all others.
+    said = each.crossJoin(F.broadcast(whole)).where("whole is null").select("at", "message")
+    said = said.unionByName(whole.where("whole is not null").select(F.lit(-1).cast("long").alias("at"), F.col("whole").alias("message")))
+    return joined_chunks(said, "at", rows=rows)
+
+
 def status_counts(report: DataFrame, accepted: DataFrame) -> DataFrame:
     """One row of counts by status; all zero, and ``needs_work``, if anything was refused."""
     counts = accepted.agg(F.count("*").alias("features"), *[F.count_if(F.col("workflow.status") == s).alias(s) for s in STATUSES])

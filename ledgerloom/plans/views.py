@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import flow, health, inventory, locate, readmodel, search, validate
+from ledgerloom.operators import flow, health, inventory, locate, ranges, readmodel, search, validate
 from ledgerloom.plans import mapped
 from ledgerloom.plans.mapped import table
 from ledgerloom.schemas import OPTION, Tags
 from ledgerloom.sources.documents import parse_documents
+from ledgerloom.sources.members import SCHEMA, read_members, write_members
+from ledgerloom.sources.shared import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,8 +68,16 @@ def targeted_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the index and its rules
 
 
-def _index(spark: SparkSession, sf_dir: str, faulty_areas: bool = False, faulty_features: bool = False, schema: str = TAGS.index_schema) -> DataFrame:
-    """One index document: nations are its areas, customers its features; some of either break a rule."""
+def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations and customers with ``at``, their place from 0 in order of their keys."""
+    kinds = (("nation", "n_nationkey"), ("customer", "c_custkey"))
+    nations, customers = (ranges.placed(table(spark, sf_dir, name), [F.col(key).asc()], "at").withColumn("at", F.col("at") - 1) for name, key in kinds)
+    return nations, customers
+
+
+def _index(members: tuple[DataFrame, DataFrame], faulty_areas: bool = False, faulty_features: bool = False, schema: str = TAGS.index_schema) -> DataFrame:
+    """The rows of one index document: nations are its areas, customers its features; some of either break a rule."""
+    nations, customers = members
     k = F.col("n_nationkey")
     fault = lambda at, wrong, right: F.when(F.lit(faulty_areas) & (k == at), wrong).otherwise(right)
     side = F.when(k % 2 == 0, "product").otherwise("technical")
@@ -74,7 +85,6 @@ def _index(spark: SparkSession, sf_dir: str, faulty_areas: bool = False, faulty_
         fault(3, F.lit("Bad Id"), fault(5, F.lit("area_4"), _named("area_", "n_nationkey"))).alias("id"), F.col("n_name").alias("title"),
         fault(13, F.lit("  "), F.lit("About it.")).alias("summary"), fault(7, F.lit("sideways"), fault(11, F.lit("product"), side)).alias("perspective"),
         fault(9, F.lit(-1), fault(11, F.lit(10), k.cast("int"))).alias("order"))
-    areas = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(F.struct(k.alias("at"), area.alias("x")))).alias("areas"))
     c = F.col("c_custkey") % 10
     wrong = lambda rest, bad, good: F.when(F.lit(faulty_features) & (c == rest), bad).otherwise(good)
     name = _named("f", "c_custkey")
@@ -83,39 +93,57 @@ def _index(spark: SparkSession, sf_dir: str, faulty_areas: bool = False, faulty_
         wrong(0, _named("F", "c_custkey"), name).alias("id"), wrong(1, F.lit("nowhere"), _named("area_", "c_nationkey")).alias("area_id"),
         wrong(3, F.concat(F.lit(" "), F.col("c_name")), F.col("c_name")).alias("title"), wrong(2, F.lit("nobody"), audience).alias("audience"),
         F.col("c_mktsegment").alias("summary"), wrong(4, F.lit("elsewhere.yaml"), F.concat(F.lit(f"{TAGS.state_dir}/workflows/"), name, F.lit(".yaml"))).alias("workflow_path"))
-    features = table(spark, sf_dir, "customer").agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("at"), feature.alias("x")))).alias("features"))
-    document = F.struct(F.lit(schema).alias("schema"), F.lit("h").alias("source_hash"), F.lit(TAGS.index_generator).alias("generator"),
-                        F.col("areas.x").alias("areas"), F.col("features.x").alias("features"))
-    return areas.crossJoin(features).select(F.to_json(document).alias("json"), F.lit(None).cast("string").alias("error"))  # one row each
+    listed = nations.select(F.lit("areas").alias("part"), "at", F.to_json(area).alias("raw")).unionByName(customers.select(F.lit("features").alias("part"), "at", F.to_json(feature).alias("raw")))
+    return _head(nations.sparkSession, schema).unionByName(listed.withColumn("error", F.lit(None).cast("string")))
+
+
+def _head(spark: SparkSession, schema: str = TAGS.index_schema) -> DataFrame:
+    """The head of an index document whose members are rows of their own."""
+    head = json.dumps({"schema": schema, "source_hash": "h", "generator": TAGS.index_generator, "areas": [], "features": []})
+    return spark.createDataFrame([("head", 0, head, None)], SCHEMA)
 
 
 @_query
 def area_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas, _ = validate.index_members(_index(spark, sf_dir, faulty_areas=True))
+    areas, _ = validate.index_members(_index(_numbered(spark, sf_dir), faulty_areas=True))
     return validate.area_failures(areas)
 
 
 @_query
 def feature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas, features = validate.index_members(_index(spark, sf_dir, faulty_features=True))
+    """The index is written as one document and read in splits."""
+    path = f"{fresh_path(spark, 'index')}.yaml"
+    write_members(_index(_numbered(spark, sf_dir), faulty_features=True), path)
+    areas, features = validate.index_members(read_members(spark, path, split=1 << 16))
     return validate.feature_failures(features, areas, TAGS)
 
 
+@_query
+def index_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of an index that was written as one document, read in splits."""
+    path = f"{fresh_path(spark, 'index')}.yaml"
+    write_members(_index(_numbered(spark, sf_dir)), path)
+    found = read_members(spark, path, split=1 << 16)
+    return found.select("part", "at", *[F.get_json_object("raw", f"$.{c}").alias(c) for c in ("id", "title", "summary", "schema")], "error")
+
+
 @_query
 def index_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first problem of several indexes."""
+    members = _numbered(spark, sf_dir)
     given = {"fine": ({}, "h"), "areas": ({"faulty_areas": True}, "h"), "features": ({"faulty_features": True}, "h"),
              "hash": ({"faulty_areas": True}, "other"), "schema": ({"schema": "older@1", "faulty_features": True}, "other")}
-    found = [validate.index_failure(_index(spark, sf_dir, **how), now, TAGS).select(F.lit(name).alias("variant"), "error") for name, (how, now) in given.items()]
+    found = [validate.index_failure(_index(members, **how), now, TAGS).select(F.lit(name).alias("variant"), "error") for name, (how, now) in given.items()]
     return reduce(DataFrame.unionByName, found)
 
 
 @_query
 def manifest_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fine = _index(spark, sf_dir)
-    bad = spark.range(1).select(F.lit(None).cast("string").alias("json"), F.lit("broken").alias("error"))
-    no_list = fine.select(F.replace("json", F.lit('"features":['), F.lit('"others":[')).alias("json"), "error")
-    given = {"ready": (fine, "h"), "stale": (fine, "now"), "unknown now": (fine, ""), "missing": (fine.limit(0), "h"), "older": (_index(spark, sf_dir, schema="older@1"), "h"), "unreadable": (bad, "h"), "no list": (no_list, "h")}
+    members = _numbered(spark, sf_dir)
+    fine, older = _index(members), _index(members, schema="older@1")
+    bad = fine.where("part = 'head'").select(F.lit("error").alias("part"), "at", F.lit(None).cast("string").alias("raw"), F.lit("broken").alias("error"))
+    no_list = fine.where("part <> 'features'").withColumn("raw", F.when(F.col("part") == "head", F.replace("raw", F.lit('"features":'), F.lit('"others":'))).otherwise(F.col("raw")))
+    given = {"ready": (fine, "h"), "stale": (fine, "now"), "unknown now": (fine, ""), "missing": (fine.where("part = 'none'"), "h"), "older": (older, "h"), "unreadable": (fine.unionByName(bad), "h"), "no list": (no_list, "h")}
     found = [readmodel.manifest_state(index, now, TAGS).select(F.lit(name).alias("variant"), "state") for name, (index, now) in given.items()]
     return reduce(DataFrame.unionByName, found)
 
@@ -173,9 +201,9 @@ def branches_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("doc_id") % 3 == 0, "generated").when(F.col("doc_id") % 3 == 1, "partial").otherwise("pending")
     phase = F.when(F.col("doc_id") % 5 != 0, "external")
     rows = mapped.files(spark, sf_dir)
-    json = _workflow(_options((F.col("doc_id") % 4).cast("int"), phase), status, F.when(F.col("doc_id") % 3 == 0, "").otherwise("tests"))
+    document = _workflow(_options((F.col("doc_id") % 4).cast("int"), phase), status, F.when(F.col("doc_id") % 3 == 0, "").otherwise("tests"))
     features = rows.select(F.col("doc_id").alias("at"), _named("f", "doc_id").alias("id"), F.lit("t").alias("title"))
-    found = validate.workflow_failures(features, rows.select(_named("f", "doc_id").alias("feature_id"), json.alias("json")), _inventory(spark, sf_dir), "h", TAGS)
+    found = validate.workflow_failures(features, rows.select(_named("f", "doc_id").alias("feature_id"), document.alias("json")), _inventory(spark, sf_dir), "h", TAGS)
     return found.select(F.col("at").alias("doc_id"), "message", F.get("workflow.steps", F.lit(1))["options"]["title"].alias("titles")).withColumn("titles", F.array_join("titles", ","))
 
 
@@ -184,18 +212,34 @@ def gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by status where all is accepted, and where something is refused."""
     rows = mapped.files(spark, sf_dir).where("content <> ''")
     status = F.when(F.col("doc_id") % 2 == 0, "generated").otherwise("partial")
-    json = _workflow(_options(F.lit(0), F.lit("backend")), status, F.when(F.col("doc_id") % 2 == 0, "").otherwise("tests"))
+    document = _workflow(_options(F.lit(0), F.lit("backend")), status, F.when(F.col("doc_id") % 2 == 0, "").otherwise("tests"))
     features = rows.select(F.col("doc_id").alias("at"), _named("f", "doc_id").alias("id"), F.lit("t").alias("title"))
-    flows = rows.select(_named("f", "doc_id").alias("feature_id"), json.alias("json"))
-    index, files = _index(spark, sf_dir), _inventory(spark, sf_dir)
+    flows = rows.select(_named("f", "doc_id").alias("feature_id"), document.alias("json"))
+    members, files = _numbered(spark, sf_dir), _inventory(spark, sf_dir)
     each = validate.workflow_failures(features, flows, files, "h", TAGS)
     out = []
-    for name, given in (("accepted", index), ("refused", _index(spark, sf_dir, faulty_areas=True))):
+    for name, given in (("accepted", _index(members)), ("refused", _index(members, faulty_areas=True))):
         error = validate.index_failure(given, "h", TAGS)
         out.append(validate.status_counts(error, each).select(F.lit(name).alias("variant"), "*"))
     return out[0].unionByName(out[1])
 
 
+@_query
+def catalog_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined errors of a catalog with a feature per document; some workflows are missing, some of an older snapshot, some wrong."""
+    rows = ranges.placed(mapped.files(spark, sf_dir), [F.col("doc_id").asc()], "at").withColumn("at", F.col("at") - 1)
+    name, nothing = _named("f", "doc_id"), F.lit(None).cast("string").alias("error")
+    feature = F.struct(name.alias("id"), F.lit("a").alias("area_id"), F.lit("t").alias("title"), F.lit("user").alias("audience"), F.lit("s").alias("summary"),
+                       F.concat(F.lit(f"{TAGS.state_dir}/workflows/"), name, F.lit(".yaml")).alias("workflow_path"))
+    area = json.dumps({"id": "a", "title": "A", "summary": "About it.", "perspective": "product", "order": 0})
+    index = _head(spark).unionByName(spark.createDataFrame([("areas", 0, area, None)], SCHEMA)).unionByName(rows.select(F.lit("features").alias("part"), "at", F.to_json(feature).alias("raw"), nothing))
+    text = _workflow(_options((F.col("doc_id") % 4).cast("int"), F.lit("external")), F.lit("partial"), F.lit("tests"))
+    text = F.when(F.col("doc_id") % 17 == 0, F.replace(text, F.lit('"source_hash":"h"'), F.lit('"source_hash":"older"'))).otherwise(text)
+    flows = rows.where("doc_id % 13 <> 0").select(name.alias("feature_id"), text.alias("json"))
+    found = validate.error_chunks(index, flows, _inventory(spark, sf_dir), "h", TAGS, rows=100)
+    return found.select("chunk", "offset", "text")
+
+
 # --- the read model
 
 
@@ -203,8 +247,8 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views of a feature per document: some have a workflow, some a broken one or none, some an unknown area."""
     rows = mapped.files(spark, sf_dir)
     case = F.col("doc_id") % 4
-    json = _workflow(_options(F.when(case == 0, 2).otherwise(0), F.lit("external")), F.lit("partial"), F.lit("tests"))
-    flows = rows.where(case != 2).select(_named("f", "doc_id").alias("feature_id"), F.when(case == 1, "[1, 2").otherwise(json).alias("json"))
+    document = _workflow(_options(F.when(case == 0, 2).otherwise(0), F.lit("external")), F.lit("partial"), F.lit("tests"))
+    flows = rows.where(case != 2).select(_named("f", "doc_id").alias("feature_id"), F.when(case == 1, "[1, 2").otherwise(document).alias("json"))
     features = rows.select(
         F.col("doc_id").alias("at"), _named("f", "doc_id").alias("id"), F.concat(F.lit("a"), (F.col("doc_id") % 5).cast("string")).alias("area_id"), _named("Title ", "doc_id").alias("title"),
         F.when(F.col("doc_id") % 2 == 0, "admin").alias("audience"), F.lit("Feature summary").alias("summary"))

@@ -48,6 +48,17 @@ VIEWS_SQL: dict[str, str] = {
         union all select 'schema', 'features schema must be catalog/features@4'""",
     "manifest_states": """select * from (values ('ready', 'ready'), ('stale', 'stale_features'), ('unknown now', 'ready'), ('missing', 'missing_features'),
           ('older', 'legacy_features: regenerate the catalog'), ('unreadable', 'invalid_features: broken'), ('no list', 'invalid_features')) t(variant, state)""",
+    "index_document": """select 'areas' as part, row_number() over (order by n_nationkey) - 1 as "at", 'area_' || n_nationkey as id, n_name as title, 'About it.' as summary, null::varchar as schema, null::varchar as error from nation
+        union all select 'features', row_number() over (order by c_custkey) - 1, 'f' || c_custkey, c_name, c_mktsegment, null, null from customer
+        union all select 'head', 0, null, null, null, 'catalog/features@4', null""",
+    "catalog_errors": f"""with {INVENTORY}, said as (
+          select doc_id, case when doc_id % 13 = 0 then 'workflow file is missing or invalid for f' || doc_id
+            when doc_id % 17 = 0 then 'workflow f' || doc_id || ' source_hash does not match the current snapshot'
+            when line_count < 1 then 'evidence for s exceeds ' || path || ' (' || line_count || ' lines)'
+            when doc_id % 4 = 1 then 'step options need at least two branches' end as message from inventory
+        ), placed as (select *, row_number() over (order by doc_id) - 1 as place from said where message is not null
+        ), texts as (select place // 100 as chunk, case when place // 100 > 0 then '; ' else '' end || string_agg(message, '; ' order by place) as text from placed group by place // 100)
+        select chunk, coalesce(sum(length(text)) over (order by chunk rows between unbounded preceding and 1 preceding), 0)::bigint as "offset", text from texts""",
     "document_reader": """select o_orderkey || case when o_orderkey % 5 = 0 then '.json' else '.yaml' end as path, case when o_orderkey % 7 <> 0 then o_orderkey end::bigint as id,
           case when o_orderkey % 7 <> 0 then 'b: c' end as tag, o_orderkey % 7 = 0 as broken from orders""",
     "evidence_rules": f"""with {INVENTORY}, said as (

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.text import basename
 from ledgerloom.schemas import Tags
+from ledgerloom.sources.members import read_members
 
 _DOCUMENT = "path string, json string, error string"
 
@@ -97,6 +98,11 @@ def read_catalog(spark: SparkSession, root: str, tags: Tags = Tags()) -> tuple[D
     return index.select("json", "error"), _named(flows)
 
 
+def read_index(spark: SparkSession, root: str, tags: Tags = Tags()) -> DataFrame:
+    """The index document as rows ``part, at, raw, error``; the root is a folder that all executors have mounted."""
+    return read_members(spark, f"{root.rstrip('/')}/{tags.state_dir}/features.yaml")
+
+
 def _named(documents: DataFrame) -> DataFrame:
     return documents.select(F.regexp_replace(basename(F.col("path")), r"\.yaml\z", "").alias("feature_id"), "json", "error")
 
