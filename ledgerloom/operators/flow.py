@@ -100,12 +100,37 @@ def contains(x: Column, y: Column) -> Column:
     return F.when(F.col("kind") == "decision", diamond).otherwise(box)
 
 
+#: Cells of the finest grid: no shape of a layout is larger.
+CELL_W, CELL_H = PROCESS_W, 126.0
+
+
+def _level(w: Column, h: Column) -> Column:
+    """The grid, of cells twice as large each, in which a shape covers four cells at most."""
+    larger = F.greatest(w / CELL_W, h / CELL_H, F.lit(1.0))
+    level = F.ceil(F.log2(larger)).cast("int")
+    return F.when(F.pow(F.lit(2.0), level) < larger, level + 1).otherwise(level)
+
+
+def near_shapes(points: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``points`` with each shape of their chart that shares a grid cell with them."""
+    scale = F.pow(F.lit(2.0), F.col("level"))
+    cell = lambda at, size: F.floor(at / (size * scale)).cast("long")
+    over = lambda low, high, size: F.explode(F.sequence(cell(low, size), cell(high, size)))
+    levelled = shapes.where("x is not null and y is not null and w >= 0 and h >= 0").withColumn("level", _level(F.col("w"), F.col("h")))
+    # A row per size of shapes, doubling: a few dozen at most.
+    levels = F.broadcast(levelled.select("level").distinct())
+    dealt = levelled.withColumn("cell_x", over(F.col("x"), F.col("x") + F.col("w"), CELL_W)).withColumn("cell_y", over(F.col("y"), F.col("y") + F.col("h"), CELL_H))
+    asked = points.crossJoin(levels).withColumn("cell_x", cell(F.col("px"), CELL_W)).withColumn("cell_y", cell(F.col("py"), CELL_H))
+    return asked.join(dealt, ["workflow_id", "level", "cell_x", "cell_y"]).drop("level", "cell_x", "cell_y")
+
+
 def hits(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """``point_id`` with the first node, in drawing order, that covers it.
 
-    ``points (point_id, workflow_id, px, py)``: a point is tested on its own workflow's chart.
+    ``points (point_id, workflow_id, px, py)``: a point is tested on its own workflow's chart, against the
+    shapes in its grid cells, however many the chart has.
     """
-    met = points.join(shapes, "workflow_id").where(contains(F.col("px"), F.col("py")))
+    met = near_shapes(points, shapes).where(contains(F.col("px"), F.col("py")))
     return met.groupBy("point_id", "workflow_id").agg(F.min(F.struct("step", "option")).alias("hit")).select("point_id", "workflow_id", "hit.step", "hit.option")
 
 

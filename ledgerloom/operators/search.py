@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.text import contains_lower
 from ledgerloom.operators.ranges import placed
+from ledgerloom.sources.shared import stored
 
 
 def matches(texts: Column, query: str) -> Column:
@@ -26,6 +30,62 @@ def search(views: DataFrame, query: str) -> DataFrame:
     return views.where(matches(view_texts(), query))
 
 
+#: Folders that an index's postings and texts are dealt to.
+BUCKETS, SLOTS = 64, 64
+#: Of a query's grams, so many of the rarest ones are looked up.
+LOOKED_UP = 4
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """Stored tables: ``postings (gram, id, bucket)`` and ``texts (id, texts, slot)``, each in folders by its last column."""
+
+    postings: DataFrame
+    texts: DataFrame
+
+
+def _dealt(value: Column, parts: int) -> Column:
+    return (F.crc32(value.cast("string").cast("binary")) % parts).cast("int")
+
+
+def index_texts(views: DataFrame, texts: Column | None = None, key: str = "id") -> TextIndex:
+    """The trigrams of all searched texts of ``views``, lower-cased, and the texts themselves.
+
+    A view's grams are distinct before they are dealt, and are dealt by gram and view, so a gram
+    that all views have is no task's alone.  Views of one key are one view with the texts of both.
+    """
+    rows = views.select(F.col(key).alias("id"), F.filter(view_texts() if texts is None else texts, lambda t: t.isNotNull()).alias("texts"))
+    lowered = F.transform("texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+    grams = rows.select(F.explode(F.array_distinct(F.flatten(lowered))).alias("gram"), "id")
+    grams = grams.select("gram", "id", _dealt(F.col("gram"), BUCKETS).alias("bucket")).distinct()
+    postings = stored(grams.repartition("bucket", _dealt(F.col("id"), 8)).sortWithinPartitions("bucket", "gram"), "postings", ("bucket",))
+    slots = rows.withColumn("slot", _dealt(F.col("id"), SLOTS))
+    return TextIndex(postings, stored(slots.repartition("slot", _dealt(F.concat(F.lit("-"), F.col("id").cast("string")), 8)).sortWithinPartitions("slot", "id"), "texts", ("slot",)))
+
+
+def indexed_search(index: TextIndex, query: str) -> DataFrame:
+    """``id`` of the views that :func:`search` finds; of texts, the folders with a candidate are read, and no others.
+
+    Candidates have the query's rarest grams; whether they contain the query is then asked of their texts.  A
+    query of one or two characters has no gram, and all texts are read.
+    """
+    wanted = query.strip().lower()
+    grams = sorted({wanted[k : k + 3] for k in range(len(wanted) - 2)})
+    if not grams:
+        return index.texts.where(matches(F.col("texts"), query)).select("id").distinct()
+    buckets = {g: zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams}
+    posted = index.postings.where(F.col("bucket").isin(*set(buckets.values())) & F.col("gram").isin(*grams))
+    counts = {r["gram"]: r["count"] for r in posted.groupBy("gram").count().collect()}  # a row per gram of the query
+    if len(counts) < len(grams):
+        return index.texts.where(F.lit(False)).select("id")
+    rarest = sorted(grams, key=lambda g: (counts[g], g))[:LOOKED_UP]
+    posted = index.postings.where(F.col("bucket").isin(*{buckets[g] for g in rarest}) & F.col("gram").isin(*rarest))
+    candidates = stored(posted.groupBy("id").count().where(F.col("count") == len(rarest)).select("id"), "candidates")
+    slots = [r["slot"] for r in candidates.select(_dealt(F.col("id"), SLOTS).alias("slot")).distinct().collect()]  # as many as there are folders
+    read = index.texts.where(F.col("slot").isin(*slots)) if slots else index.texts.where(F.lit(False))
+    return read.join(candidates, "id", "left_semi").where(matches(F.col("texts"), query)).select("id").distinct()
+
+
 def perspective_rank(perspective: Column) -> Column:
     return F.when(perspective == "product", 0).when(perspective == "technical", 1)
 

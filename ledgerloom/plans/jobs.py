@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import subprocess
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.operators import inventory, ranges, rules
+from ledgerloom.operators import inventory, ranges, rules, search
 from ledgerloom.plans import mapped
 from ledgerloom.sources.shared import fresh_path, local_path, stored
 
@@ -76,3 +77,15 @@ def inventory_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = mapped.files(spark, sf_dir)
     listed = inventory.inventory(files, F.col("path"), F.col("content")).select("path", "size")
     return ranges.placed(listed, [F.col("path").asc()], sums=F.col("size"))
+
+
+# --- search
+
+
+@_query
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of several queries in an index of the trigrams of all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    index = search.index_texts(docs, F.array("text", "lang", "source"), "doc_id")
+    found = [search.indexed_search(index, query).select(F.lit(query).alias("query"), F.col("id").alias("doc_id")) for query in ("License", " SRC13", "the s", "en", "not to be found")]
+    return reduce(DataFrame.unionByName, found)

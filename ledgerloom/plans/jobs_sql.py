@@ -17,4 +17,6 @@ JOBS_SQL: dict[str, str] = {
           sha256(text) as text_sha256 from texts""",
     "inventory_places": f"""with {INVENTORY} select path, size, row_number() over (order by path) as place,
           coalesce(sum(size) over (order by path rows between unbounded preceding and 1 preceding), 0)::bigint as before from inventory""",
+    "document_search": """with q as (select unnest(['License', ' SRC13', 'the s', 'en', 'not to be found']) as query), w as (select query, lower(trim(query)) as wanted from q)
+        select query, doc_id from documents, w where contains(lower(text), wanted) or contains(lower(lang), wanted) or contains(lower(source), wanted)""",
 }

@@ -267,9 +267,9 @@ def workflow_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def view_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of three queries: one in branches, one in files, one in titles."""
-    views = _views(spark, sf_dir)
-    found = [search.search(views, query).select(F.lit(query).alias("query"), "id") for query in ("BRANCH_SYMBOL", " 0007", "title 12")]
+    """Hits of three queries in an index of all views' texts: one in branches, one in files, one in titles."""
+    index = search.index_texts(_views(spark, sf_dir))
+    found = [search.indexed_search(index, query).select(F.lit(query).alias("query"), "id") for query in ("BRANCH_SYMBOL", " 0007", "title 12")]
     return reduce(DataFrame.unionByName, found)
 
 

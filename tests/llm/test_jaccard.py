@@ -71,7 +71,7 @@ def test_common_shingles_are_found_and_come_last(spark):
     common = jaccard.common_tokens(frame)
     assert set(jaccard.token_set(passage)) <= set(common)
     batch = frame.select("doc_id", "text").withColumn("row", frame.doc_id)
-    kinds = "doc_id long, row long, n long, class long, rare array<long>, common array<long>"
+    kinds = "doc_id long, row long, n long, need long, class long, rare array<long>, common array<long>"
     sets = batch.mapInArrow(jaccard._sets(4, 85, common), kinds).collect()
     assert all(r["rare"] and not r["common"] for r in sets)
     assert found(frame) == sorted(plain_join(rows), key=repr)
