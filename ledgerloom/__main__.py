@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -36,12 +35,11 @@ def main(words: list[str]) -> int:
     tags = Tags()
     found = catalog.scan(spark, given.path, tags=tags)
     if given.command != "ui":
-        status = {"command": given.command, **catalog.gate(spark, found, tags).first().asDict(), "files": found.files.count(), "source_hash": found.source_hash}
-        print(json.dumps(status) if given.json else "\n".join(f"{k}: {v}" for k, v in status.items()))
-        if status["needs_work"]:
-            return 0
-    page = catalog.export_page(catalog.explorer(spark, found, tags), os.path.join(found.root, tags.state_dir, "explorer.html"))
-    print(page)
+        told = catalog.status(spark, found, given.command, tags)
+        print(json.dumps(told, indent=2) if given.json else catalog.status_text(told, given.command))
+        return 0
+    print(catalog.export_page(catalog.explorer(spark, found, tags), catalog.page_path(found, tags)))
+    print(catalog.write_site(spark, found, tags))
     return 0
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 #: White space as a general-purpose string strip removes it, beyond plain spaces.
@@ -131,3 +133,12 @@ def sha256_hex(content: Column) -> Column:
 
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A template with each ``{{name}}`` replaced by its value, in one pass: names within values stay as they are."""
+    parts = re.split(r"\{\{(\w+)\}\}", template)
+    unknown = set(parts[1::2]) - set(values)
+    if unknown:
+        raise ValueError(f"the template names {sorted(unknown)[0]}, which has no value")
+    return F.concat(*[F.coalesce(values[p].cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])

@@ -8,7 +8,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.operators import inventory, ranges, rules, search
+from ledgerloom.functions import text
+from ledgerloom.operators import inventory, pages, ranges, rules, search
 from ledgerloom.plans import mapped
 from ledgerloom.sources.shared import fresh_path, local_path, stored
 
@@ -89,3 +90,34 @@ def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = search.index_texts(docs, F.array("text", "lang", "source"), "doc_id")
     found = [search.indexed_search(index, query).select(F.lit(query).alias("query"), F.col("id").alias("doc_id")) for query in ("License", " SRC13", "the s", "en", "not to be found")]
     return reduce(DataFrame.unionByName, found)
+
+
+# --- pages
+
+
+@_query
+def workflow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per conversation, with its chart and steps."""
+    steps = mapped.steps(spark, sf_dir).withColumn("phase", F.concat(F.col("title"), F.lit("_turn")))
+    flows = steps.groupBy("workflow_id").agg(F.count("*").alias("n"))
+    titles = flows.select("workflow_id", F.concat(F.lit("Talk <"), F.col("workflow_id").cast("string"), F.lit(">")).alias("title"), F.lit("generated").alias("status"), F.concat(F.col("n").cast("string"), F.lit(" turns & more")).alias("summary"))
+    return pages.workflow_pages(titles, steps).select("path", F.sha2("content", 256).alias("content_sha256"))
+
+
+@_query
+def card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of all customers by nation, a hundred on a page, written as files and read again."""
+    areas = ranges.placed(mapped.areas(spark, sf_dir), [F.col("title").asc()], "area_place").select(F.col("id").alias("area_id"), F.col("title").alias("area_title"), "area_place")
+    cards = mapped.features(spark, sf_dir).withColumnRenamed("id", "workflow_id").join(areas, "area_id")
+    root = fresh_path(spark, "pages")
+    inventory.write_tree(pages.card_pages(cards, many=100), root)
+    return inventory.tree_inventory(spark, root, "walk").select("path", "size", "sha256")
+
+
+@_query
+def filled_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template of four places filled from every page; values that name a place stay as they are."""
+    template = "<style>{{styles}}</style><script>{{data}}</script>{{view}}{{view}}<b>{{page}}</b>"
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    filled = text.fill(template, styles=F.lit("{{data}}"), data=text.json_for_script(F.col("html")), view=text.escape_html(F.col("url")), page=F.col("page_id"))
+    return rows.select("page_id", F.sha2(filled, 256).alias("filled_sha256"))

@@ -286,9 +286,11 @@ def escaped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     script = text.json_for_script(F.to_json(F.struct("url", "html")))
     back = F.from_json(script, "url string, html string", {"allowBackslashEscapingAnyCharacter": "true"})
+    # The text within a script, of what any JSON writer puts the same.
+    plain = F.concat(F.lit('{"page_id":'), F.col("page_id").cast("string"), F.lit(',"html":"'), F.regexp_replace("html", r"[\x00-\x1f\"\\]", " "), F.lit('"}'))
     same = back["url"].eqNullSafe(F.col("url")) & back["html"].eqNullSafe(F.col("html"))
     return pages.select("page_id", text.escape_html(F.col("html")).alias("attribute"), F.sha2(text.escape_html(F.col("html"), quotes=False), 256).alias("element_sha256"),
-                        (same & ~F.contains(script, F.lit("</script>")) & ~F.contains(script, F.lit("<!--"))).alias("embeddable"))
+                        (same & ~F.contains(script, F.lit("</script>")) & ~F.contains(script, F.lit("<!--"))).alias("embeddable"), F.sha2(text.json_for_script(plain), 256).alias("script_sha256"))
 
 
 @_query

@@ -63,7 +63,8 @@ ORACLE_SQL: dict[str, str] = {
           (11, '.gitignore', true, '', 'plain'), (12, 'a/b.tar.gz', false, '.gz', 'plain')) t(k, path, allowed, suffix, language))
         select doc_id, path, allowed, suffix, language from documents join names on doc_id % 13 = k""",
     "stale_flag": f"with {INVENTORY}, now as (select {HASH} as h from inventory) select doc_id, repeat(case when toxic = 1 then '0' else '1' end, 64) <> h as stale from labels, now",
-    "escaped_lines": f"""select page_id, replace(replace({ESCAPED}, '"', '&quot;'), '''', '&#39;') as attribute, sha256({ESCAPED}) as element_sha256, true as embeddable from pages""",
+    "escaped_lines": rf"""select page_id, replace(replace({ESCAPED}, '"', '&quot;'), '''', '&#39;') as attribute, sha256({ESCAPED}) as element_sha256, true as embeddable,
+        sha256(replace(replace('{{"page_id":' || page_id || ',"html":"' || regexp_replace(html, '[\x00-\x1f"\\]', ' ', 'g') || '"}}', '</script>', '<\/script>'), '<!--', '<\!--')) as script_sha256 from pages""",
     "phase_labels": "select event_id, upper(regexp_replace(event_type || '_of_user', '_', ' ')) as label from events",
     "managed_block": r"""with d as (select doc_id, case when text = '' then '' when ends_with(text, chr(10)) then text || chr(10) else text || chr(10) || chr(10) end as head from documents)
         select doc_id, sha256(head || '# BEGIN' || chr(10) || 'kept' || chr(10) || '# END' || chr(10)) as first_sha256, sha256(head || '# BEGIN' || chr(10) || 'changed' || chr(10) || '# END' || chr(10)) as again_sha256 from d""",
