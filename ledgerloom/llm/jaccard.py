@@ -20,11 +20,10 @@ Blocks
     If each set's shingles are put in one order, two linked sets share k of their first
     n - ceil(r n) + k.  The order is by name, but shingles that very many documents have come
     last (Misra-Gries summaries of all documents find them; the order never changes what
-    is found), and k is one in twenty.  Of the sets that have a shingle among
-    their first ones, those of near sizes make a block named by its smallest set, so that the shingles of one
-    family of near copies make few blocks.  Sets that share less than k with all others together
-    have no partner.  Each set also leaves the blocks that it shares least with, for less than half of
-    its k in all: a pair keeps a block, and chance meetings end here.  A block
+    is found).  With k one in twenty of a set, sets that share fewer of these with all others
+    together have no partner and are dropped, twice.  A shingle that two or more of the
+    others have makes a block named by its smallest set, so that the shingles of one family of near
+    copies make few blocks.  A block
     of over ``BLOCK_TOKENS`` shingles is cut into parts that meet two by two.  A pair is
     counted in the smallest block that both its sets are in.  What leaves a block is a count of links per
     set and a spanning forest, never pairs.
@@ -45,12 +44,11 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.llm.common import removed, written
 from ledgerloom.llm.components import components
@@ -66,8 +64,6 @@ BLOCK_TOKENS = 2_000_000
 COUNTED, COMMON_SHARE = 65_536, 200
 #: Ids up to which short lists are merged by a heap in Python; more are merged by one sort of the runs.
 HEAPED = 4_096
-#: Texts in one batch to Python.
-TEXTS = 500
 #: DivideSkip's constant: L = T / (MU log2(longest) + 1).
 MU = 0.0085
 #: Bits of the filter that picks out the rows whose sets are compared: 16 MB at most.
@@ -196,18 +192,6 @@ def links(sets: list[np.ndarray], least: int = LEAST, allowed: Callable[[int], n
             yield q, ids
 
 
-@contextmanager
-def _few_texts(spark: SparkSession) -> Iterator[None]:
-    """Within, a batch that goes to Python holds ``TEXTS`` rows: it is held several times, here and there, and texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(TEXTS, int(before)) if int(before) > 0 else TEXTS))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -272,35 +256,31 @@ def _sets(shingle: int, least: int, common: np.ndarray):
     return run
 
 
-def _members(sets: DataFrame, least: int) -> DataFrame:
-    """``class, block, shared``: in which blocks a class is, and by how many of its first shingles."""
-    single = sets.where("class is not null").select("class", "n", "rare", "common").dropDuplicates(["class"])
-    rare = single.select("class", "n", F.explode("rare").alias("token"))
-    by_size = Window.partitionBy("token").orderBy("n", "class")
-    # Sets of a shingle make chains in which each is near its neighbour's size; a block is a chain.
-    near = F.coalesce(100 * F.lag("n").over(by_size) >= least * F.col("n"), F.lit(False))
-    followed = F.coalesce(100 * F.col("n") >= least * F.lead("n").over(by_size), F.lit(False))
-    chained = rare.select("class", "token", "n", near.alias("near"), followed.alias("followed"))
-    first = F.last(F.when(~F.col("near"), F.col("class")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rare = chained.withColumn("block", first).where("near or followed").select("class", "block")
-    # Of the few common shingles, sets of the same class of size, or the next, make a block; a set is in two.
-    size = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / least)))
-    common = single.select("class", F.array(size, size + 1).alias("sizes"), F.explode("common").alias("token")).select("class", "token", F.explode("sizes").alias("size"))
-    ends = common.groupBy("token", "size").agg(F.min("class").alias("block"), F.max("class").alias("most")).where("block < most").select("token", "size", "block")
-    common = common.join(ends, ["token", "size"]).select("class", "block")
-    return rare.unionByName(common).groupBy("class", "block").agg(F.count("*").alias("shared"))
-
-
-def _in_blocks(sets: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def _shared(sets: DataFrame) -> DataFrame:
+    """``class, token``, a row per row of the class: first shingles that another class has too."""
+    several = F.col("least") < F.col("most")
+    rare = sets.select("class", F.explode("rare").alias("token"))
+    one = Window.partitionBy("token")
+    rare = rare.select("class", "token", F.min("class").over(one).alias("least"), F.max("class").over(one).alias("most")).where(several).select("class", "token")
+    common = sets.select("class", F.explode("common").alias("token"))
+    ends = common.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most")).where(several).select("token")
+    return rare.unionByName(common.join(F.broadcast(ends), "token").select("class", "token"))  # at most COUNTED rows
+
+
+def _alive(shared: DataFrame, classes: DataFrame, *more: Column) -> DataFrame:
+    """``classes`` that share as many of their first shingles as a partner must."""
+    counted = shared.groupBy("class").agg(F.count("*").alias("shared"), *more)
+    return counted.join(classes, "class").where("shared >= need * copies").drop("shared")
+
+
+def _in_blocks(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """``classes`` that may have partners, with their ``blocks``."""
-    own = Window.partitionBy("class")  # no more than the class has first shingles
-    members = _members(sets, least).withColumn("all", F.sum("shared").over(own)).withColumn("left", F.sum("shared").over(own.orderBy("shared", "block")))
-    members = members.join(classes.select("class", "need"), "class").where("all >= need and left > (need - 1) div 2").select("class", "block")
-    members = written(members, "members")
-    several = members.groupBy("block").count().where("count > 1").select("block")
-    blocks = members.join(several, "block").groupBy("class").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
-    alive = written(blocks.join(classes.select("class", "row", "n", "copies"), "class"), "alive")
-    removed(members)
+    shared = written(_shared(sets), "shared")
+    kept = written(shared.join(_alive(shared, classes).select("class"), "class"), "kept")
+    ends = kept.groupBy("token").agg(F.min("class").alias("block"), F.max("class").alias("most")).where("block < most").select("token", "block")
+    blocks = F.sort_array(F.collect_set("block")).alias("blocks")  # no more than the class has first shingles
+    alive = written(_alive(kept.join(ends, "token"), classes, blocks), "alive")
+    removed(shared, kept)
     return alive
 
 
@@ -376,7 +356,7 @@ def _dealt(alive: DataFrame) -> DataFrame:
 
 def class_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, shingle: int, least: int) -> DataFrame:
     """``class, links, up``: links found in a block per class, and the class it hangs on there."""
-    alive = _in_blocks(sets, classes, least)
+    alive = _in_blocks(sets, classes)
     wanted = _row_filter(alive, alive.count())
     whole = docs.select("row", "text").mapInArrow(_picked(shingle, wanted), "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
     found = written(_dealt(alive).join(whole, "class").groupBy("block", "one", "other").applyInArrow(_block_links(least), "class long, links long, up long"), "links")
@@ -388,14 +368,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """``doc_id, n_shingles, component_id, n_links`` for every row: the set's size, the smallest id that links lead to, the rows linked with."""
     texts = docs.select(_quoted(id_col).cast("long").alias("doc_id"), _quoted(text_col).cast("string").alias("text"))
     texts = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    common = common_tokens(texts, shingle)
     schema = "doc_id long, row long, n long, need long, class long, rare array<long>, common array<long>"
-    with _few_texts(docs.sparkSession):
-        common = common_tokens(texts, shingle)
-        sets = written(texts.select("doc_id", "row", "text").mapInArrow(_sets(shingle, least, common), schema), "sets")
+    sets = written(texts.select("doc_id", "row", "text").mapInArrow(_sets(shingle, least, common), schema), "sets")
     classes = written(sets.where("class is not null").groupBy("class").agg(
         F.min("row").alias("row"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("need").alias("need")), "classes")
-    with _few_texts(docs.sparkSession):
-        found = class_links(texts, sets, classes, shingle, least)
+    found = class_links(texts, sets, classes, shingle, least)
     hung = written(components(found.select(F.col("class").alias("u"), F.col("up").alias("v"))), "roots")
     rooted = classes.select("class", "first", "copies").join(hung, F.col("class") == F.col("node"), "left").select("class", "first", "copies", F.coalesce("root", "class").alias("root"))
     rooted = rooted.join(found.groupBy("class").agg(F.sum("links").alias("links")), "class", "left")
