@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import lines, mixing, packing, simhash, toxicity
-from ledgerloom.llm.common import fresh, table, written
+from ledgerloom.llm.common import fresh, quoted, table, written
 from ledgerloom.shipping import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,7 +26,7 @@ def clean_of_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     train = F.crc32(F.col("_id").cast("string")) % 5 != 0
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=train)
     (score,) = fresh(docs.columns, "_score")
-    return toxicity.score_frame(docs, model, score_col=score).where(F.col(score) < 0.5).select(*docs.columns)
+    return toxicity.score_frame(docs, model, score_col=score).where(F.col(score) < 0.5).select(*map(quoted, docs.columns))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

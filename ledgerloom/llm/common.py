@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def renumbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns' places as names, ``_0, _1, ...``: Python stages take no names with dots or back-ticks."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """``names``, each with as many underscores as it takes to differ from the ``taken`` ones."""
     used = {t.lower() for t in taken}

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import WORD, fresh, written
+from ledgerloom.llm.common import WORD, fresh, quoted, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -160,12 +160,14 @@ def targets(sources: DataFrame) -> DataFrame:
 
 def _mixed(docs: DataFrame, kept: list[str], results: list[str], id_col: str, text_col: str, source_col: str, narrow: bool) -> DataFrame:
     """The columns ``kept`` of ``docs`` and the results times, size, source size and target under the given names."""
-    key, size, hashed, bucket, place, once, more = fresh([*docs.columns, *results], "_from", "_words", "_hash", "_bucket", "_place", "_once", "_more")
-    words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    key, size, hashed, other, bucket, place, once, more = fresh([*docs.columns, *results], "_from", "_words", "_hash", "_texthash", "_bucket", "_place", "_once", "_more")
+    text = quoted(text_col).cast("string")
+    words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     # A prefix orders null last and keeps the code-point order of the rest.
-    name = F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1"))
-    number = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED))
-    rows = docs.select(*kept, name.alias(key), words.alias(size), number.alias(hashed), F.shiftrightunsigned(number, 58).cast("int").alias(bucket))
+    name = F.coalesce(F.concat(F.lit("0"), quoted(source_col).cast("string")), F.lit("1"))
+    number = F.xxhash64(quoted(id_col).cast("string"), F.lit(SEED))
+    # Rows of one id are told apart by their text, so that reruns take the same.
+    rows = docs.select(*map(quoted, kept), name.alias(key), words.alias(size), number.alias(hashed), F.xxhash64(text).alias(other), F.shiftrightunsigned(number, 58).cast("int").alias(bucket))
     if narrow:
         rows = written(rows, "sizes")
     counted = rows.groupBy(F.col(key).alias("_source"), F.col(size).alias("_size"), F.col(bucket).alias("_bucket")).agg(F.count("*").alias("_count"))
@@ -181,10 +183,10 @@ def _mixed(docs: DataFrame, kept: list[str], results: list[str], id_col: str, te
     ranges = ranges.join(planned, ["_source", "_size"]).withColumn("_take", F.col("_extra") - F.col("_before"))
     times, said, whole, target = results
     ranges = ranges.select(F.col("_source").alias(key), F.col("_size").alias(size), F.col("_bucket").alias(bucket), F.col("source_size").alias(whole), F.col("target").alias(target), F.col("_times").alias(once), F.col("_take").alias(more))
-    nth = F.row_number().over(Window.partitionBy(key, size, bucket).orderBy(hashed, id_col))
+    nth = F.row_number().over(Window.partitionBy(key, size, bucket).orderBy(hashed, quoted(id_col), other))
     chosen = rows.join(ranges, [key, size, bucket]).withColumn(place, nth)
     taken = F.col(once) + F.when(F.col(place) <= F.col(more), 1).otherwise(0)
-    return chosen.select(*kept, F.col(size).alias(said), whole, target, taken.alias(times))
+    return chosen.select(*map(quoted, kept), F.col(size).alias(said), whole, target, taken.alias(times))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", narrow: bool = False) -> DataFrame:
@@ -205,4 +207,4 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
     results = fresh(docs.columns, "_times", "_said", "_whole", "_target")
     rows = _mixed(docs, docs.columns, results, "doc_id", "text", "source", False)
-    return rows.select(F.explode(F.array_repeat(F.lit(0), F.col(results[0]))).alias(results[1]), *docs.columns).select(*docs.columns)
+    return rows.select(F.explode(F.array_repeat(F.lit(0), F.col(results[0]))).alias(results[1]), *map(quoted, docs.columns)).select(*map(quoted, docs.columns))

@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import fresh, removed, written
+from ledgerloom.llm.common import fresh, quoted, removed, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -179,7 +179,7 @@ class Encoder:
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                  capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) for every piece of every row."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], np.uint32).tobytes()
 
@@ -289,9 +289,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     """``pieces`` (with a column ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``."""
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     ties = [c for c in ("doc_id", "piece") if c in names]
-    tie, group, bin_, at, loose = fresh(pieces.columns, "_tie", "_group", "_bin", "_offset", "_loose")
+    # Grouped Python stages take no names with dots or back-ticks.
+    plain = [c if c == "length" else f"_{k}" for k, c in enumerate(names)]
+    tie, group, bin_, at, loose = fresh(plain, "_tie", "_group", "_bin", "_offset", "_loose")
     zero = F.lit(0).cast("long")
-    left = pieces.select(*names, F.xxhash64(*ties, F.lit(7)).alias(tie) if ties else zero.alias(tie),
+    left = pieces.select(*[quoted(c).alias(p) for c, p in zip(names, plain, strict=True)], F.xxhash64(*ties, F.lit(7)).alias(tie) if ties else zero.alias(tie),
                          zero.alias(group), zero.alias(bin_), zero.alias(at), F.lit(True).alias(loose))
     bound, rows = _bound(pieces, capacity), pieces.count()
     done, closed, rounds, before = None, 0, 0, None
@@ -309,10 +311,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
         # An exchange that closed no bin, or a packing at the bound, is the last.
         last = not bins.get(True) or total == bound or before is not None and total >= before
         number = ((F.lit(rounds) * (1 << 22) + F.col(group)) * (1 << 24) + F.col(bin_)).alias("sequence_id")
-        final = (packed if last else packed.where(~F.col(loose))).select(*names, number, F.col(at).alias("offset"))
+        final = (packed if last else packed.where(~F.col(loose))).select(*plain, number, F.col(at).alias("offset"))
         done = final if done is None else done.unionByName(final)
         if last:
-            return done
+            return done.toDF(*names, "sequence_id", "offset")
         left, rows, before = packed.where(F.col(loose)), next(r["rows"] for r in said if r[loose]), total
         closed += bins.get(False, 0)
         rounds += 1

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ledgerloom.llm.common import fresh, written
+from ledgerloom.llm.common import fresh, quoted, renumbered, written
 from ledgerloom.llm.components import components
 
 SHINGLE = 4
@@ -82,15 +82,15 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (signed 64 bits) for every row."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    narrow = docs.select(quoted(id_col).cast("long").alias("_id"), quoted(text_col).cast("string").alias("_text"))
     return narrow.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def _marked_batches(name: str):
+def _marked_batches(text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, name])
+            prints = np.fromiter((fingerprint(t.as_py()) for t in batch.column(text)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "_fp"])
 
     return run
 
@@ -237,11 +237,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     smallest hash of all its columns, so reruns agree.
     """
     mark, whole, kept = fresh(docs.columns, "_fp", "_row", "_kept")
-    batches = _marked_batches(mark)
-    marked = docs.mapInArrow(batches, StructType([*docs.schema.fields, StructField(mark, LongType())]))
-    marked = written(marked.withColumn(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])), "marked")
+    plain = renumbered(docs)
+    batches = _marked_batches(docs.columns.index("text"))
+    marked = plain.mapInArrow(batches, StructType([*plain.schema.fields, StructField("_fp", LongType())])).toDF(*docs.columns, mark)
+    marked = written(marked.withColumn(whole, F.xxhash64(F.to_json(F.struct(*map(quoted, docs.columns)), {"ignoreNullFields": "false"}))), "marked")
     groups = _grouped(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("fp"), F.col(whole).alias("row")))
     first = groups.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp", "row")).alias("first"))
     first = first.select(F.col("first.doc_id").alias(kept), F.col("first.fp").alias(mark), F.col("first.row").alias(whole))
     known = marked.where("doc_id is not null").withColumn(kept, F.col("doc_id").cast("long")).join(first, [kept, mark, whole], "left_semi")
-    return known.dropDuplicates([kept, mark, whole]).unionByName(marked.where("doc_id is null").withColumn(kept, F.lit(None).cast("long"))).select(*docs.columns)
+    return known.dropDuplicates([kept, mark, whole]).unionByName(marked.where("doc_id is null").withColumn(kept, F.lit(None).cast("long"))).select(*map(quoted, docs.columns))

@@ -43,6 +43,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom.llm.common import quoted, renumbered
+
 ORDERS = (3, 4, 5)
 BITS = 18
 #: Documented bound of the fit: labelled rows used for it.
@@ -210,15 +212,15 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def score_frame(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score_col`` added (replaced if there)."""
     kept = [c for c in docs.columns if c != score_col]
-    schema = docs.select(*kept).withColumn(score_col, F.lit(0.0)).schema
+    plain = renumbered(docs.select(*map(quoted, kept)))
+    text = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = score_texts(model, batch.column(text_col).cast(pa.string()).to_pylist())
-            columns = [batch.column(c) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], [*kept, score_col])
+            scores = score_texts(model, batch.column(text).cast(pa.string()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "_score"])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.withColumn("_score", F.lit(0.0)).schema).toDF(*kept, score_col)
 
 
 def scored(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
