@@ -38,7 +38,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the floor of ten words: later copies of every repeated run of non-blank lines."""
+    """The same, with the least run said: later copies of every repeated run of non-blank lines."""
     return lines.line_report(table(spark, sf_dir, "documents"), min_words=1)
 
 
@@ -93,7 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": sql.OP3,
     "op4_url_filters": sql.OP4,
-    "op5_line_dedup": sql.OP5,
+    "op5_line_dedup": sql.OP5_WHOLE,
     "op5_line_dedup_whole": sql.OP5_WHOLE,
     "op6_exact_top_k": sql.OP6,
     "op11_jaccard_join": sql.OP11,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from ledgerloom.llm import toxicity
+from ledgerloom.llm import mixing, packing, toxicity
 from tests.llm.test_lines import plain as plain_lines
 from tests.llm.test_mixing_packing import plain_targets
 from tests.llm.test_simhash import plain_fingerprint, plain_groups
@@ -61,7 +61,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert texts("toxicity") == clean
     assert not {k for k in range(300) if k % 10 == 3} & set(clean) and len(clean) == 273
 
-    deleted = plain_lines({k: t for k, t in clean.items() if t is not None}, 10)
+    deleted = plain_lines({k: t for k, t in clean.items() if t is not None}, 1)
     kept = {}
     for k, text in clean.items():
         lines = (text or "").split("\n")
@@ -106,7 +106,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["op3_chat_formatting", "op4_url_filters", "op5_line_dedup", "op6_exact_top_k"])
+@pytest.mark.parametrize("name", ["op3_chat_formatting", "op4_url_filters", "op5_line_dedup", "op5_line_dedup_whole", "op6_exact_top_k", "op11_jaccard_join", "op12_filter_audit", "op13_merkle_manifest"])
 def test_operator_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()
     for table in TABLES:
@@ -122,4 +122,49 @@ def test_operator_queries_equal_their_sql(spark, name):
 
 def test_all_operators_are_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
+
+
+def odd(frame):
+    """Columns of every kind, some named like what the stages use, some with characters that names seldom have."""
+    more = {"a.b": F.lit("x"), "m`n": F.col("doc_id"), "tags": F.create_map(F.lit("k"), F.col("doc_id")), "list": F.array(F.col("source")), "record": F.struct(F.col("lang").alias("in.ner"), F.create_map(F.lit(1), F.lit("v")).alias("map")),
+            "_score": F.lit(1), "_doc": F.lit(2), "_fp": F.lit(3), "_words": F.lit(4), "_group": F.lit(5), "score": F.lit(6), "n_lines": F.lit(7), "size": F.lit(8), "_texthash": F.lit(9)}
+    return frame.select("*", *[c.alias(name) for name, c in more.items()])
+
+
+def test_stages_keep_columns_of_any_name_and_kind(spark, tmp_path):
+    rows = [r for r in documents() if r[0] < 120] + [(None, "null id one two three four five", "en", "src1", 5), (None, None, None, None, None), (7, "another text of the same id here", "en", "src1", 3)]
+    frame = odd(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    frame.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k % 10 == 3)) for k in range(120)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    given = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = str(tmp_path / name)
+        stage(spark, given, str(tmp_path)).write.parquet(path)
+        given = spark.read.parquet(path)
+        assert given.columns == frame.columns and 0 < given.count(), name
+    last = given.where("doc_id is not null").select("doc_id", "`a.b`", "`m``n`", "tags", "list", "record", "_score").collect()
+    assert all(r["a.b"] == "x" and r["m`n"] == r["doc_id"] and r["tags"] == {"k": r["doc_id"]} and r["record"]["map"] == {1: "v"} and r["_score"] == 1 for r in last)
+    assert corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path)).count() >= given.count()
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    pieces = spark.createDataFrame([(k, 0, 1000 + k, {"a": k}) for k in range(10)], "doc_id long, piece int, length long, `x.y` map<string,long>")
+    packed = packing.pack(pieces, 4096).collect()
+    assert sorted(r["x.y"]["a"] for r in packed) == list(range(10))
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    frame = odd(spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"))
+    spark.createDataFrame(documents()[:100], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k % 10 == 3)) for k in range(100)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, frame, str(tmp_path))
+        assert found.count() == 0, name
+
+
+def test_the_mix_takes_the_same_texts_of_an_id_again(spark):
+    rows = [(7, f"text number {k} has words", "s") for k in range(40)] + [(8, "one more source with some words " * 9, "t")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [Counter(r["text"] for r in mixing.mixed(given).collect()) for given in (frame, frame.orderBy("text").repartition(3), frame.orderBy(F.desc("text")).coalesce(1))]
+    assert kept[0] == kept[1] == kept[2] and len(set(kept[0].values())) > 1
