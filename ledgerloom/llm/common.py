@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable
 from weakref import WeakKeyDictionary
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
@@ -31,6 +32,27 @@ def renumbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
 
 
+def bitmap(numbers: DataFrame, count: int, most: int = 27) -> np.ndarray:
+    """Bytes with a bit for each row of ``numbers (number)``, modulo their number of bits: 64 a row, ``2**most`` (16 MB) at most.
+
+    Fewer bits for many rows let through more that are not among them, and never hold one back.
+    """
+    bits = 1 << min(most, max(18, (64 * count).bit_length()))
+    place = numbers.select((F.pmod("number", F.lit(bits)) + 1).alias("bit"))
+    parts = place.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bytes")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for part in parts:
+        whole = np.frombuffer(part["bytes"], np.uint8)
+        out[(part["part"] - 1) * len(whole) :][: len(whole)] = whole
+    return out
+
+
+def in_bitmap(numbers: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which 64-bit numbers may be among a bitmap's."""
+    at = numbers.view(np.uint64) & np.uint64(len(held) * 8 - 1)
+    return (held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """``names``, each with as many underscores as it takes to differ from the ``taken`` ones."""
     used = {t.lower() for t in taken}

@@ -52,7 +52,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ledgerloom.llm.common import removed, written
+from ledgerloom.llm.common import bitmap, in_bitmap, removed, written
 from ledgerloom.llm.components import components
 
 SHINGLE = 4
@@ -70,8 +70,6 @@ HEAPED = 4_096
 TEXTS = 500
 #: DivideSkip's constant: L = T / (MU log2(longest) + 1).
 MU = 0.0085
-#: Bits of the filter that picks out the rows whose sets are compared: 16 MB at most.
-FILTER_BITS = 27
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -304,23 +302,10 @@ def _in_blocks(sets: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return alive
 
 
-def _row_filter(rows: DataFrame, count: int) -> np.ndarray:
-    """Bytes with the bit of each ``row`` set, modulo their number."""
-    bits = 1 << min(FILTER_BITS, max(18, (16 * count).bit_length()))
-    place = rows.select((F.pmod("row", F.lit(bits)) + 1).alias("bit"))
-    parts = place.groupBy(F.expr("bitmap_bucket_number(bit)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bytes")).collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for part in parts:
-        whole = np.frombuffer(part["bytes"], np.uint8)
-        out[(part["part"] - 1) * len(whole) :][: len(whole)] = whole
-    return out
-
-
 def _picked(shingle: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.mod(batch.column("row").to_numpy(), len(wanted) * 8)
-            keep = np.flatnonzero(wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            keep = np.flatnonzero(in_bitmap(batch.column("row").to_numpy(), wanted))
             sets = [token_set(t.as_py(), shingle) for t in batch.column("text").take(pa.array(keep))]
             sets = [s for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "tokens"])
@@ -377,7 +362,7 @@ def _dealt(alive: DataFrame) -> DataFrame:
 def class_links(docs: DataFrame, sets: DataFrame, classes: DataFrame, shingle: int, least: int) -> DataFrame:
     """``class, links, up``: links found in a block per class, and the class it hangs on there."""
     alive = _in_blocks(sets, classes, least)
-    wanted = _row_filter(alive, alive.count())
+    wanted = bitmap(alive.select(F.col("row").alias("number")), alive.count())
     whole = docs.select("row", "text").mapInArrow(_picked(shingle, wanted), "class long, tokens binary").groupBy("class").agg(F.first("tokens").alias("tokens"))
     found = written(_dealt(alive).join(whole, "class").groupBy("block", "one", "other").applyInArrow(_block_links(least), "class long, links long, up long"), "links")
     removed(alive)

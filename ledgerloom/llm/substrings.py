@@ -60,7 +60,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.llm.common import removed, written
+from ledgerloom.llm.common import bitmap, in_bitmap, removed, written
 
 LENGTH = 50
 GRAM = 20
@@ -341,7 +341,7 @@ def _batch_rows(hasher: Hasher, batch: pa.RecordBatch, splitters: np.ndarray, ho
     whole = np.zeros(len(row), bool)
     whole[shared] = _copies(data, place[shared], windows[shared], token[shared] ^ content[shared], ids[row[shared]], length)[0]
     out = [(-1 - int(keys[row[p[0]]]) % buckets, int(ids[row[p[0]]]), int(keys[row[p[0]]]), None, _spans(start[p], windows[p] + (length - 1))) for p in _by_row(row, whole)]
-    frequent = ~whole & (hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token if len(hot) else False)
+    frequent = ~whole & in_bitmap(token, hot)
     bucket = np.searchsorted(splitters, token, "right")
     sent = np.flatnonzero(~whole & ~frequent)
     sent = sent[np.argsort(bucket[sent], kind="stable")]
@@ -568,10 +568,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     sampled = _sampled(rows, info, number, length)
     unsigned = lambda found: np.array([r["token"] for r in found], np.int64).view(np.uint64)
     often = max(LEAST_HOT, math.ceil(HOT * min(number, count) / max(1, count)))
-    hot = np.sort(unsigned(sampled.groupBy("token").count().where(F.col("count") >= often).select("token").collect()))
+    # Some tokens more pass for hot, in every document alike; they are dealt by their windows, and nothing is lost.
+    many = written(sampled.groupBy("token").count().where(F.col("count") >= often).select(F.col("token").alias("number")), "hot")
+    hot = bitmap(many, many.count())
     tokens = unsigned(sampled.sample(min(1.0, SPLIT_TOKENS / max(1, sampled.count())), 17).collect())
-    removed(sampled)
-    sent = rows.mapInArrow(_token_batches(_splitters(tokens[~np.isin(tokens, hot)], buckets), hot, buckets, length), _SENT)
+    removed(sampled, many)
+    sent = rows.mapInArrow(_token_batches(_splitters(tokens[~in_bitmap(tokens, hot)], buckets), hot, buckets, length), _SENT)
     marks = written(sent.groupBy("bucket").applyInArrow(_mark_group(buckets, length), _MARKS), "marks")
 
     opens = marks.where("opens is not null").groupBy("doc_id", "key").agg(F.collect_list(F.struct("bucket", "opens")).alias("lists"))
