@@ -72,7 +72,8 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
 
     ``conv_id, formatted, turns`` (parsed from ``formatted``), ``loss_spans`` (start
     from 0 and length in code points of each ``loss_role`` text within
-    ``formatted``, and whether it is escaped there) and ``identical``.
+    ``formatted``, and whether it is escaped there), ``mask`` (the same with a place for every
+    turn, null for other roles) and ``identical``.
     One shuffle, by conversation; its turns are sorted and summed where they arrive.
     """
     turns = rows.select("conv_id", F.col("turn").cast("long").alias("turn"),
@@ -96,26 +97,38 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
     whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "end", "piece", "span", "safe_span"))).alias("rows"))
     whole = whole.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"], r["text"])).alias("source"),
                          F.array_join(F.transform("rows", lambda r: r["piece"]), "").alias("first"),
-                         F.filter("rows", lambda r: r["role"] == loss_role)["span"].alias("span"),
-                         F.filter("rows", lambda r: r["role"] == loss_role)["safe_span"].alias("safe_span"))
+                         F.transform("rows", lambda r: F.when(r["role"] == loss_role, r["span"])).alias("span"),
+                         F.transform("rows", lambda r: F.when(r["role"] == loss_role, r["safe_span"])).alias("safe_span"))
     whole = whole.withColumn("back", _parsed(F.col("first")))
     again = F.array_join(F.transform("source", lambda r: _render(F.lit("1"), escaped(r["role"]), escaped(r["text"]))), "")
     good = F.coalesce(F.col("back") == F.col("source"), F.lit(False))
     whole = whole.select("conv_id", "source", F.when(good, F.col("first")).otherwise(again).alias("formatted"),
-                         F.when(good, F.col("back")).alias("back"), F.when(good, F.col("span")).otherwise(F.col("safe_span")).alias("loss_spans"))
+                         F.when(good, F.col("back")).alias("back"), F.when(good, F.col("span")).otherwise(F.col("safe_span")).alias("mask"))
     whole = whole.withColumn("turns", F.coalesce("back", _parsed(F.col("formatted"))))
-    return whole.select("conv_id", "formatted", "turns", "loss_spans", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("identical"))
+    spans = F.filter("mask", lambda m: m.isNotNull()).alias("loss_spans")
+    return whole.select("conv_id", "formatted", "turns", spans, "mask", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("identical"))
 
 
-def digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """What is read back from the rendered conversations, as counts and hashes.
+def masked_texts(formatted: DataFrame, *kept: str) -> DataFrame:
+    """``conv_id``, other ``kept`` columns and ``texts``: the texts under the loss mask, in order and unescaped, cut out of ``formatted`` by the mask's offsets.
 
-    Turns and loss texts come from the parse of ``formatted``: a conversation's cost
-    grows with its length, never with its square.
+    The rendered conversation is split at its turns' ends; each span is cut out of its own turn, by
+    its offset from where that turn starts, so the cost grows with a conversation's length alone.
     """
+    pieces = F.split("formatted", "</s>", -1)
+    cut = formatted.select("conv_id", *kept, F.posexplode(F.arrays_zip(F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("piece"), F.col("mask").alias("span"))).alias("at", "x"))
+    cut = cut.select("conv_id", *kept, "at", "x.piece", "x.span")
+    earlier = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.sum((F.length("piece") + len("</s>")).cast("long")).over(earlier), F.lit(0))
+    text = F.substring(F.col("piece"), (F.col("span.start") - F.col("begins") + 1).cast("int"), F.col("span.length").cast("int"))
+    text = F.when(F.col("span.escaped"), unescaped(text)).otherwise(text)
+    rows = cut.withColumn("begins", begins).select("conv_id", *kept, F.when(F.col("span").isNotNull(), F.struct("at", text.alias("text"))).alias("one"))
+    return rows.groupBy("conv_id", *kept).agg(F.transform(F.array_sort(F.collect_list("one")), lambda o: o["text"]).alias("texts"))
+
+
+def digests(formatted: DataFrame) -> DataFrame:
+    """What is read back from the rendered conversations, as counts and hashes: turns by the parse, loss texts by the mask."""
     turns = F.array_join(F.flatten(F.transform("turns", lambda t: F.array(t["role"], F.lit("\n"), t["text"], F.lit("\n")))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
-    return formatted.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"))
+    read = formatted.select("conv_id", "formatted", "mask", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    found = masked_texts(read, "n_turns", "turns_sha256", "formatted_chars").withColumn("loss", F.array_join("texts", ""))
+    return found.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

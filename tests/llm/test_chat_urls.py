@@ -165,3 +165,16 @@ def test_templates_equal_brute_force_at_any_depth(spark, seed):
         want = plain_templates(rows)
     found = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules)
     assert {r["page_id"]: (r["verdict"], r["template"]) for r in found.collect()} == want
+
+
+def test_a_wrong_mask_shows_in_the_digests(spark):
+    rows = [(k % 5, k, ("user", "assistant")[k % 2], f"text {k} é\\ {'</s>' if k % 3 == 0 else ''} end") for k in range(60)] + [(None, 1, "assistant", "null id"), (9, 0, "user", "no loss")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(frame).cache()
+    fine = {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.digests(out).collect()}
+    for conv in (0, 1, 2, 3, 4, None, 9):
+        text = "".join(r[3] for r in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]) if r[2] == "assistant")
+        assert fine[conv] == (len(text), hashlib.sha256(text.encode()).hexdigest())
+    moved = out.withColumn("mask", F.transform("mask", lambda m: F.when(m.isNotNull(), F.struct((m["start"] + 1).alias("start"), m["length"].alias("length"), m["escaped"].alias("escaped")))))
+    wrong = {r["conv_id"]: (r["loss_chars"], r["loss_sha256"]) for r in chat.digests(moved).collect()}
+    assert all(wrong[c] != fine[c] for c in fine if c != 9)
