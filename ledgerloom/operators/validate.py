@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.functions.text import normalize_path, slashes, strip
 from ledgerloom.operators.rules import earliest, first_failure, joined, joined_chunks, same_json
 from ledgerloom.operators.shape import valid_workflow
-from ledgerloom.schemas import AREA, AUDIENCES, FEATURE, ID_PATTERN, INDEX, OPTION, PERSPECTIVES, STATUSES, WORKFLOW, Tags
+from ledgerloom.schemas import AREA, AUDIENCES, EVIDENCE, FEATURE, ID_PATTERN, INDEX, OPTION, PERSPECTIVES, STATUSES, STEP, WORKFLOW, Tags
 
 
 def _absent(value: Column) -> Column:
@@ -128,25 +128,46 @@ def index_failure(index: DataFrame, source_hash: str, tags: Tags = Tags()) -> Da
     return every.where("message is not null").agg(F.min_by("message", F.struct("part", "at")).alias("error"))
 
 
-def _evidence_rows(typed: DataFrame) -> DataFrame:
-    """Every evidence record with its place: of the workflow, of a step, of an option."""
-    one = lambda prefix, rows, item: rows.select("feature_id", F.struct(*prefix, F.col("e_at").alias("evidence")).alias("place"), item)
-    place = lambda section, step, branch, option: (F.lit(section).alias("section"), step.alias("step"), F.lit(branch).alias("branch"), option.alias("option"))
-    zero = F.lit(0)
-    own = typed.select("feature_id", F.posexplode("w.evidence").alias("e_at", "e"))
-    steps = typed.select("feature_id", F.posexplode("w.steps").alias("s_at", "s"))
-    of_steps = steps.select("feature_id", "s_at", F.posexplode("s.evidence").alias("e_at", "e"))
-    options = steps.select("feature_id", "s_at", F.posexplode("s.options").alias("o_at", "o"))
-    of_options = options.select("feature_id", "s_at", "o_at", F.posexplode("o.evidence").alias("e_at", "e"))
-    return one(place(0, zero, 0, zero), own, "e").unionByName(one(place(1, F.col("s_at"), 0, zero), of_steps, "e")) \
-        .unionByName(one(place(1, F.col("s_at"), 1, F.col("o_at")), of_options, "e"))
+def _place(section: int, step: Column | int, branch: int, option: Column | int, evidence: Column | int) -> Column:
+    parts = {"section": section, "step": step, "branch": branch, "option": option, "evidence": evidence}
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("int").alias(k) for k, v in parts.items()])
+
+
+def _parts(w: Column) -> Column:
+    """All that is looked at within a workflow, in one array: each evidence record with its place, and what its steps and options lack."""
+    nothing, silent = F.lit(None).cast(EVIDENCE), F.lit(None).cast("string")
+    part = lambda place, e, said: F.struct(place.alias("place"), e.alias("e"), said.alias("said"))
+    listed = lambda items, kind: F.coalesce(items, F.array().cast(f"array<{kind}>"))
+    needed = "a non-empty evidence list is required"
+    lacking = lambda x: F.when((w["status"] != "pending") & (F.coalesce(F.size(x["evidence"]), F.lit(0)) < 1), F.lit(needed))
+
+    def option_parts(step: Column, o: Column, at: Column) -> Column:
+        cited = F.transform(listed(o["evidence"], EVIDENCE), lambda e, k: part(_place(1, step, 1, at, k), e, silent))
+        return F.concat(F.array(part(_place(1, step, 1, at, -1), nothing, lacking(o))), cited)
+
+    def step_parts(s: Column, at: Column) -> Column:
+        few = F.when((w["status"] != "pending") & s["options"].isNotNull() & (F.size(s["options"]) < 2), F.lit("step options need at least two branches"))
+        cited = F.transform(listed(s["evidence"], EVIDENCE), lambda e, k: part(_place(1, at, 0, 0, k), e, silent))
+        options = F.flatten(F.transform(listed(s["options"], OPTION), lambda o, k: option_parts(at, o, k)))
+        return F.concat(F.array(part(_place(1, at, 0, 0, -1), nothing, lacking(s)), part(_place(1, at, 1, -1, -1), nothing, few)), cited, options)
+
+    size = F.coalesce(F.size(w["steps"]), F.lit(0))
+    whole = first_failure(
+        ((w["status"] == "pending") & (size > 0), "pending workflows cannot contain steps"),
+        ((w["status"] != "pending") & (size < 1), F.concat(w["status"], F.lit(" workflows need steps"))))
+    own = F.transform(listed(w["evidence"], EVIDENCE), lambda e, k: part(_place(0, 0, 0, 0, k), e, silent))
+    # The steps as a whole are looked at after the workflow's own evidence, before any step.
+    every = F.concat(own, F.array(part(_place(1, -1, 0, 0, 0), nothing, whole)), F.flatten(F.transform(listed(w["steps"], STEP), step_parts)))
+    return F.filter(every, lambda p: p["e"].isNotNull() | p["said"].isNotNull())
 
 
 def evidence_failures(evidence: DataFrame, files: DataFrame) -> DataFrame:
     """``feature_id, place, message`` of evidence ``(feature_id, place, e)`` that breaks a rule.
 
-    ``files`` is the inventory; one join brings each cited file's number of lines.
+    ``files`` is the inventory; one join brings each cited file's number of lines.  A row of
+    ``evidence`` whose ``said`` is not null has that message.
     """
+    said = F.col("said") if "said" in evidence.columns else F.lit(None).cast("string")
     given = slashes(F.coalesce(F.col("e.file"), F.lit("")))
     rows = evidence.withColumn("given", given).withColumn("file", normalize_path(given))
     rows = rows.join(files.select(F.col("path").alias("known"), "line_count"), F.col("file") == F.col("known"), "left")
@@ -160,7 +181,7 @@ def evidence_failures(evidence: DataFrame, files: DataFrame) -> DataFrame:
         (_not((start >= 1) & (stop >= start)), F.concat(F.lit("evidence for "), symbol, F.lit(" has an invalid line range"))),
         (stop > F.col("line_count"), F.concat(F.lit("evidence for "), symbol, F.lit(" exceeds "), F.col("file"), F.lit(" ("), F.col("line_count").cast("string"), F.lit(" lines)"))),
     )
-    return rows.select("feature_id", "place", message.alias("message")).where("message is not null")
+    return rows.select("feature_id", "place", F.coalesce(said, message).alias("message")).where("message is not null")
 
 
 def canonical_evidence(items: Column) -> Column:
@@ -199,22 +220,9 @@ def workflow_failures(features: DataFrame, workflows: DataFrame, files: DataFram
         (_not(w("status").isin(*STATUSES)) | (w("status").isin("partial", "pending") & (strip(w("missing_coverage")) == "")), said("has an unsupported status")),
         (F.coalesce(F.size(w("evidence")), F.lit(0)) < 1, "a non-empty evidence list is required"),
     )
-    typed = rows.select(F.col("id").alias("feature_id"), "w", head.alias("head"))
-    steps = typed.where("w.status <> 'pending'").select("feature_id", F.posexplode("w.steps").alias("s_at", "s"))
-    lacking = F.coalesce(F.size("s.evidence"), F.lit(0)) < 1
-    few = F.col("s.options").isNotNull() & (F.size("s.options") < 2)
-    place = lambda branch, option, evidence: F.struct(F.lit(1).alias("section"), F.col("s_at").alias("step"), F.lit(branch).alias("branch"), option.alias("option"), F.lit(evidence).alias("evidence"))
-    of_steps = steps.select("feature_id", place(0, F.lit(0), -1).alias("place"), F.when(lacking, F.lit("a non-empty evidence list is required")).alias("message")) \
-        .unionByName(steps.select("feature_id", place(1, F.lit(-1), -1).alias("place"), F.when(few, F.lit("step options need at least two branches")).alias("message")))
-    options = steps.select("feature_id", "s_at", F.posexplode("s.options").alias("o_at", "o"))
-    of_options = options.select("feature_id", place(1, F.col("o_at"), -1).alias("place"), F.when(F.coalesce(F.size("o.evidence"), F.lit(0)) < 1, F.lit("a non-empty evidence list is required")).alias("message"))
-    nested = evidence_failures(_evidence_rows(typed), files).unionByName(of_steps).unionByName(of_options).where("message is not null")
-    stepless = (w("status") == "pending") & (F.coalesce(F.size(w("steps")), F.lit(0)) > 0)
-    whole = first_failure(
-        (stepless, "pending workflows cannot contain steps"),
-        ((w("status") != "pending") & (F.coalesce(F.size(w("steps")), F.lit(0)) < 1), F.concat(w("status"), F.lit(" workflows need steps"))))
-    # The steps as a whole are looked at after the workflow's own evidence, before any step.
-    nested = nested.unionByName(rows.select(F.col("id").alias("feature_id"), F.struct(F.lit(1).alias("section"), F.lit(-1).alias("step"), F.lit(0).alias("branch"), F.lit(0).alias("option"), F.lit(0).alias("evidence")).alias("place"), whole.alias("message")).where("message is not null"))
+    # A workflow is parsed for its parts, exploded once, and once more for its canonical form.
+    parts = rows.where("w is not null").select(F.col("id").alias("feature_id"), F.explode(_parts(F.col("w"))).alias("p")).select("feature_id", "p.place", "p.e", "p.said")
+    nested = evidence_failures(parts, files)
     inner = earliest(nested, ["feature_id"], F.col("place")).select(F.col("feature_id").alias("inner_id"), F.col("message").alias("inner"))
     canonical = F.struct(
         F.lit(tags.workflow_schema).alias("schema"), F.lit(source_hash).alias("source_hash"), F.lit(tags.workflow_generator).alias("generator"), name.alias("feature_id"),
