@@ -27,7 +27,6 @@ import mmap
 import os
 import re
 import shutil
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ledgerloom.sources.shared import local_path
+from ledgerloom.sources.shared import Staging, created, local_path
 
 SCHEMA = "part string, at long, raw string, error string"
 #: Bytes of a split.
@@ -269,26 +268,27 @@ class Texts(WriterCommitMessage):
 class MembersWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]) -> None:
         self.path = local_path(options["path"])
-        self.staging = f"{self.path}.staged-{uuid.uuid4().hex}"
+        self.staging = Staging(self.path)
 
     def write(self, iterator: Iterator[Row]) -> Texts:
-        folder = os.path.join(self.staging, uuid.uuid4().hex)
-        os.makedirs(folder)
-        done, handle = Texts([], None), None
+        folder, handle = self.staging.attempt()
+        done, file = Texts([], None), None
         try:
             for row in iterator:
                 if row["part"] == "head":
                     done.head = row["raw"]
                     continue
                 if not done.parts or done.parts[-1][0] != row["part"]:
-                    if handle:
-                        handle.close()
-                    done.parts.append((row["part"], row["at"], os.path.join(folder, str(len(done.parts)))))
-                    handle = open(done.parts[-1][2], "w", encoding="utf-8")
-                handle.write(as_yaml([json.loads(row["raw"])]))
+                    if file:
+                        file.close()
+                    name = str(len(done.parts))
+                    done.parts.append((row["part"], row["at"], os.path.join(folder, name)))
+                    file = created(handle, name)
+                file.write(as_yaml([json.loads(row["raw"])]).encode("utf-8"))
         finally:
-            if handle:
-                handle.close()
+            if file:
+                file.close()
+            os.close(handle)
         return done
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -297,8 +297,7 @@ class MembersWriter(DataSourceWriter):
         parts = sorted(p for m in texts for p in m.parts)
         head = json.loads(heads[0]) if heads else {}
         head |= {p: [] for p, *_ in parts}
-        whole = os.path.join(self.staging, "whole")
-        os.makedirs(self.staging, exist_ok=True)
+        whole = os.path.join(self.staging.path, "whole")
         with open(whole, "wb") as to:
             for key, value in head.items():
                 own = [file for part, _, file in parts if part == key]
@@ -307,10 +306,10 @@ class MembersWriter(DataSourceWriter):
                     with open(file, "rb") as given:
                         shutil.copyfileobj(given, to)
         os.replace(whole, self.path)
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self.staging.remove()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self.staging.remove()
 
 
 class MembersSource(DataSource):

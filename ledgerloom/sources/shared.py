@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
+import time
 import uuid
+from typing import BinaryIO
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +44,44 @@ def local_path(path: str) -> str:
     return re.sub(r"^file:(//(?=/))?", "", path)
 
 
+class Staging:
+    """A folder beside a target for what attempts write until the job commits.
+
+    The driver makes it and removes it.  Attempts hold their folder open and create files below that handle,
+    so one that still runs when the folder is gone fails instead of making it anew.
+    """
+
+    def __init__(self, target: str) -> None:
+        self.path = f"{target}.staged-{uuid.uuid4().hex}"
+        os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+        os.mkdir(self.path)
+
+    def attempt(self) -> tuple[str, int]:
+        """A new attempt's folder and its handle."""
+        folder = os.path.join(self.path, uuid.uuid4().hex)
+        os.mkdir(folder)
+        return folder, os.open(folder, os.O_RDONLY | os.O_DIRECTORY)
+
+    def remove(self) -> None:
+        """Also while attempts that are being stopped still write to it."""
+        for _ in range(200):
+            shutil.rmtree(self.path, ignore_errors=True)
+            if not os.path.lexists(self.path):
+                return
+            time.sleep(0.05)
+
+
+def created(handle: int, place: str) -> BinaryIO:
+    """A new file at a relative path below a folder's handle, with the folders in between."""
+    folders = place.split(os.sep)[:-1]
+    for k in range(len(folders)):
+        try:
+            os.mkdir(os.sep.join(folders[: k + 1]), dir_fd=handle)
+        except FileExistsError:
+            pass
+    return os.fdopen(os.open(place, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o666, dir_fd=handle), "wb")
+
+
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written once to the shared folder and read back: lost executors cost no more than a reread."""
     path = fresh_path(df.sparkSession, name)

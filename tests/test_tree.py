@@ -166,3 +166,21 @@ def test_only_committed_attempts_count(tmp_path):
     other.write(iter([Row(path="b.txt", content="x")]))
     other.abort([None])
     assert sorted(os.listdir(tmp_path / "out")) == ["a"] and os.listdir(tmp_path) == ["out"]
+
+
+def test_an_attempt_that_outlives_the_job_leaves_no_file(tmp_path):
+    from pyspark.sql import Row
+    from pyspark.sql.types import StringType, StructType
+
+    writer = tree.TreeWriter({"path": str(tmp_path / "out")}, StructType().add("path", StringType()).add("content", StringType()))
+
+    def rows():
+        yield Row(path="a/b.txt", content="x")
+        writer.abort([])
+        yield Row(path="c/d.txt", content="y")
+
+    with pytest.raises(FileNotFoundError):
+        writer.write(rows())
+    with pytest.raises(FileNotFoundError):
+        writer.write(iter([Row(path="e.txt", content="z")]))
+    assert os.listdir(tmp_path) == []
