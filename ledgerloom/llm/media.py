@@ -27,6 +27,7 @@ Edge cases
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,11 +37,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerloom.llm.common import fresh
+from ledgerloom.llm.common import WORD, fresh
 
 ROW = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _SCHEME = "media:"
+#: Where elements refer to media, in order; of a ``srcset`` every candidate is a reference.
+_REFERENCES = {"img": ("src", "data-src", "srcset", "data-srcset"), "source": ("src", "data-src", "srcset", "data-srcset"), "audio": ("src", "data-src"), "video": ("src", "data-src", "poster"),
+               "track": ("src",), "embed": ("src",), "iframe": ("src", "data-src"), "object": ("data",)}
+#: Elements that end a run of text at either side, beside the blocks.
+_BREAKS = frozenset("address button caption dd details dialog dl dt fieldset form hr label legend menu noscript option pre search select summary tbody template textarea tfoot thead title".split())
 _BLOCKS = frozenset("article section main header footer aside nav div blockquote figure figcaption p ul ol li table tr td th h1 h2 h3 h4 h5 h6".split())
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
 OUTSIDE = "array<struct<position:int,src:string,caption:string>>"
@@ -87,6 +93,17 @@ def feature_of(payload: bytes) -> str:
     return f"{bits}-{total * 1000 // len(payload)}"
 
 
+def sources_of(tag: str, attributes: dict[str, str | None]) -> list[str]:
+    """What a media element refers to, each once."""
+    found: dict[str, None] = {}
+    for name in _REFERENCES.get(tag, ()):
+        value = (attributes.get(name) or "").strip()
+        # Candidates end with the commas behind them, or behind what is said of their size.
+        candidates = re.findall(r"[\s,]*(\S*[^\s,])(?:,+(?=\s|$)|[^,]*(?:,|$))", value) if name.endswith("srcset") else [value]
+        found.update(dict.fromkeys(c for c in candidates if c))
+    return list(found)
+
+
 class _Figure:
     """An open figure: places of its media, which still lack a caption, and of its caption's blocks."""
 
@@ -141,25 +158,26 @@ class _Sequence(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("script", "style"):
             self.silent += 1
-        elif tag in ("img", "audio", "video", "source"):
+        elif tag in _REFERENCES:
             named = dict(attrs)
-            source = named.get("src") or ""
-            if source:
+            for source in sources_of(tag, named):
                 self.flush()
-                ours = source.startswith(_SCHEME)
-                self.add("media" if ours else "outside", None, source.removeprefix(_SCHEME) if ours else source, named.get("alt") or None)
+                ours = source[: len(_SCHEME)].lower() == _SCHEME
+                self.add("media" if ours else "outside", None, source[len(_SCHEME) :] if ours else source, named.get("alt") or None)
         elif tag in _BLOCKS:
             self.flush()
             if self.open and (self.open[-1][0] == "p" or self.open[-1][0] == tag == "li"):
                 self.leave()
             figure = _Figure() if tag == "figure" else self.inner()[1] if tag == "figcaption" else None
             self.open.append((tag, figure, len(figure.said) if figure else 0))
-        elif tag == "br":
+        elif tag == "br" or tag in _BREAKS:
             self.flush()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.silent = max(0, self.silent - 1)
+        elif tag in _BREAKS:
+            self.flush()
         elif tag in _BLOCKS:
             self.flush()
             if any(tag == t for t, *_ in (self.open[-1:] if tag == "p" else self.open)):
@@ -222,6 +240,18 @@ def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return narrow.mapInArrow(run, schema)
 
 
+def page_report(pages: DataFrame) -> DataFrame:
+    """``page_id, n_texts, n_media, n_outside, words, sequence_sha256`` for every row of ``pages (page_id, html)``.
+
+    The hash is over the items in order, each as its kind, text or digest, and caption.
+    """
+    found = sequences(pages, "page_id", "html")
+    of = lambda kind: F.filter("items", lambda i: i["kind"] == kind)
+    told = F.array_join(F.transform("items", lambda i: F.concat_ws("\x1f", i["kind"], F.coalesce(i["text"], i["digest"], F.lit("")), F.coalesce(i["caption"], F.lit("")))), "\x1e")
+    words = F.aggregate(of("text"), F.lit(0).cast("long"), lambda n, i: n + F.regexp_count(i["text"], F.lit(WORD)))
+    return found.select("page_id", *[F.size(of(k)).cast("long").alias(f"n_{k}" if k == "media" else f"n_{k}s") for k in ("text", "media")], F.size("outside").cast("long").alias("n_outside"), words.alias("words"), F.sha2(told, 256).alias("sequence_sha256"))
+
+
 def payload_of(text: Column) -> Column:
     """A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64."""
     raw = F.coalesce(text.cast("string"), F.lit("")).cast("binary")

@@ -50,6 +50,11 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.placed_media(table(spark, sf_dir, "documents"))
 
 
+def media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parser of ``op7`` finds in the web pages."""
+    return media.page_report(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup_whole": op5_line_dedup_whole,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_media_columns": op7_media_columns,
+    "media_sequences": media_sequences,
     "op8_mixing": op8_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,

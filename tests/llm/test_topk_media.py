@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import hashlib
+import html as html_module
 import math
 import random
+import re
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import media, topk
+from ledgerloom.llm import media, queries, topk
 
 
 def plain_top(rows, every, k):
@@ -150,3 +152,26 @@ def test_positions_and_captions_of_any_page(html, items, outside):
     assert [(i["digest"], i["caption"]) if i["kind"] == "media" else i["text"] for i in found] == items
     assert [i["position"] for i in found] == list(range(len(items)))
     assert [(o["position"], o["src"], o["caption"]) for o in far] == outside
+
+
+def test_references_of_all_media_elements():
+    html = """<title>T</title><template>a</template><noscript>b</noscript><textarea>c</textarea>x<hr>y
+    <img src="MEDIA:one" srcset="two.png 1x, media:three 2x , two.png" data-src=" four ">
+    <video poster="p.png" src="v.mp4"><source src="s.webm"><track src="t.vtt"></video><object data="o.pdf"></object><iframe src="f.html"></iframe><embed src="e.swf"><audio data-src="a.mp3"></audio>"""
+    items, outside = media.parse_page(html)
+    assert [i["text"] for i in items if i["kind"] == "text"] == ["T", "a", "b", "c", "x", "y"]
+    assert [i["digest"] for i in items if i["kind"] == "media"] == ["one", "three"]
+    assert [o["src"] for o in outside] == ["four", "two.png", "v.mp4", "p.png", "s.webm", "t.vtt", "o.pdf", "f.html", "e.swf", "a.mp3"]
+    assert media.sources_of("img", {"srcset": "a.png, b.png 2x,c.png 300w"}) == ["a.png", "b.png", "c.png"] and media.sources_of("p", {"src": "x"}) == []
+
+
+def test_pages_lose_no_word_and_no_reference(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r["page_id"]: r for r in queries.QUERIES["media_sequences"](spark, "/root/testdata/sf0.01").collect()}
+    rows = pages.collect()
+    assert len(found) == len(rows)
+    for row in rows:
+        silent = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ", row["html"] or "")
+        plain = html_module.unescape(re.sub(r"(?s)<[^>]*>", "", re.sub(r"(?i)<(/?(?:p|div|h[1-6]|li|ul|ol|td|th|tr|table|title|br|hr|nav|header|footer|main|section|article|aside|body|html|head|form|button|figure|figcaption|blockquote|option|select|label|pre)\b)", r" <\1", silent)))
+        assert found[row["page_id"]]["words"] == len(plain.split()), row["page_id"]
+        assert found[row["page_id"]]["n_media"] + found[row["page_id"]]["n_outside"] == len(re.findall(r"(?i)<(?:img|audio|video|source|iframe|embed|track)\b[^>]*\bsrc\s*=\s*[\"']?[^\"'\s>]", silent))
