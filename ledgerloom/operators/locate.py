@@ -66,3 +66,8 @@ def evidence_label(file: Column, start: Column, end: Column) -> Column:
 def open_source(files: DataFrame, path: str) -> DataFrame:
     """The content of one inventoried path."""
     return files.where(F.col("path") == path)
+
+
+def open_sources(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The contents of all inventoried ``paths (path)``."""
+    return files.join(paths.select("path").distinct(), "path", "left_semi")

@@ -293,7 +293,7 @@ def view_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = mapped.files(spark, sf_dir)
     path = files.where("doc_id = 7").select("path")
-    return locate.open_source(files, path.first()[0]).select("path", F.sha2("content", 256).alias("content_sha256"))
+    return locate.open_sources(files, path).select("path", F.sha2("content", 256).alias("content_sha256"))
 
 
 # --- the viewer
