@@ -47,4 +47,6 @@ JOBS_SQL: dict[str, str] = {
     "filled_templates": f"""with parts as (select page_id, replace(replace(html, '</script>', '<\\/script>'), '<!--', '<\\!--') as data,
           replace(replace({ESCAPED.replace("html", "url")}, '"', '&quot;'), chr(39), '&#39;') as view from pages)
         select page_id, sha256('<style>{{{{data}}}}</style><script>' || data || '</script>' || view || view || '<b>' || page_id || '</b>') as filled_sha256 from parts""",
+    "text_health": """with s as (select 'src/' || doc_id || '.py' as path, (len(string_split(text, chr(10))) + 2)::int as n from documents)
+        select path, 'function_lines' as metric, n as value, 50 as "limit" from s where n > 50 union all select path, 'file_lines', n, 400 from s where n >= 400""",
 }
