@@ -15,7 +15,7 @@ from ledgerloom.plans.mapped import table
 from ledgerloom.schemas import OPTION, Tags
 from ledgerloom.sources.documents import parse_documents
 from ledgerloom.sources.members import SCHEMA, read_members, write_members
-from ledgerloom.sources.shared import fresh_path
+from ledgerloom.sources.shared import fresh_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,7 +114,8 @@ def feature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index is written as one document and read in splits."""
     path = f"{fresh_path(spark, 'index')}.yaml"
     write_members(_index(_numbered(spark, sf_dir), faulty_features=True), path)
-    areas, features = validate.index_members(read_members(spark, path, split=1 << 16))
+    # Stored: the rules look at the members several times.
+    areas, features = validate.index_members(stored(read_members(spark, path, split=1 << 16), "members"))
     return validate.feature_failures(features, areas, TAGS)
 
 
