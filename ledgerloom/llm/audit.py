@@ -63,7 +63,7 @@ def flags(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # Written: texts are read once, and what is joined by a hot digest can be split.
     seen = written(narrow.select("doc_id", "part", text_flags(F.col("text")).alias("own"), F.sha2("text", 256).alias("digest")), "flags")
     first = written(seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first"), "copies")
-    said = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") == 1).alias("good"), (F.max("toxic") == 1).alias("toxic"))
+    said = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic"))
     late = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     mask = F.col("own") + F.when(late, _bit("E")).otherwise(0)
     told = [F.coalesce(name, F.lit(False)).alias(name) for name in ("good", "toxic")]

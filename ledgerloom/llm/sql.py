@@ -175,7 +175,7 @@ with texts as (
 ), split as (
   select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, doc_id > min(doc_id) over (partition by text) as late from texts
 ), said as (
-  select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id
+  select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id
 ), flagged as (
   select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, {
     'A': len(words) < 200,

@@ -46,7 +46,7 @@ DULL = "again and " * 150
 DOCS = [(1, LONG, "a"), (2, LONG, "a"), (3, LONG + " # ", "b"), (4, DULL, None), (5, DULL, ""), (6, None, "a"), (7, "", "b"), (8, "LOUD words", "b"), (8, "LOUD words", "b"),
         (9, "LOUD words", "b"), (None, LONG, "a"), (None, "x", "c"), (10, "É" * 60 + "AB", "c"), (11, "É" * 98 + "AB", "c"), (12, "É" * 99 + "A\x0b " + LONG, "c"),
         (13, "one | two", "c"), (14, " \t\r\n\x0c ", "c"), (15, "word " * 100_000, "a"), (0, "word " * 100_000, "b"), (16, LONG.upper(), "a")]
-LABELS = [(1, 1, 0), (2, 1, 0), (3, 0, 1), (4, None, 1), (4, 1, None), (8, 1, 1), (9, 0, 0), (15, 1, 0), (99, 1, 1), (None, 1, 1)]
+LABELS = [(1, 1, 0), (2, 1, 0), (3, 0, 1), (4, None, 1), (4, 1, None), (8, 1, 1), (9, 0, 0), (15, 1, 0), (15, 2, 2), (99, 1, 1), (None, 1, 1)]
 
 
 def frames(spark):
