@@ -38,8 +38,7 @@ def main(words: list[str]) -> int:
         told = catalog.status(spark, found, given.command, tags)
         print(json.dumps(told, indent=2) if given.json else catalog.status_text(told, given.command))
         return 0
-    print(catalog.export_page(catalog.explorer(spark, found, tags), catalog.page_path(found, tags)))
-    print(catalog.write_site(spark, found, tags))
+    print("\n".join(catalog.write_pages(spark, found, catalog.listed_features(spark, found, tags), tags)))
     return 0
 
 

@@ -68,3 +68,16 @@ def test_status_of_a_tree(spark, source_repo):
         assert told["next_action"] == ["Saved 1 feature(s).", "Generated .catalog/explorer.html and .catalog/site."]
     assert sorted(os.listdir(source_repo / ".catalog" / "site")) == ["index.html", "workflows"] and sorted(os.listdir(source_repo / ".catalog")) == ["explorer.html", "features.yaml", "site", "workflows"]
     assert catalog.status_text(told, "init").startswith("INIT: COMPLETE\nstatus: done\n")
+
+
+def test_a_large_catalog_has_pages_but_not_one_page(spark, source_repo, monkeypatch, capsys):
+    from ledgerloom.__main__ import main
+
+    found = catalog.scan(spark, str(source_repo), "walk")
+    index, flows = complete_catalog(found.source_hash)
+    write_document(str(source_repo / ".catalog" / "features.yaml"), index)
+    write_document(str(source_repo / ".catalog" / "workflows" / "run_app.yaml"), flows["run_app"])
+    assert main(["ui", str(source_repo)]) == 0
+    assert [os.path.basename(x) for x in capsys.readouterr().out.split()] == ["explorer.html", "site"]
+    monkeypatch.setattr(catalog, "ONE_PAGE", 0)
+    assert [os.path.basename(p) for p in catalog.write_pages(spark, found, 1)] == ["site"] and catalog.listed_features(spark, found) == 1
