@@ -51,13 +51,13 @@ def _dealt(value: Column, parts: int) -> Column:
 def index_texts(views: DataFrame, texts: Column | None = None, key: str = "id") -> TextIndex:
     """The trigrams of all searched texts of ``views``, lower-cased, and the texts themselves.
 
-    A view's grams are distinct before they are dealt, and are dealt by gram and view, so a gram
-    that all views have is no task's alone.  Views of one key are one view with the texts of both.
+    A row's grams are distinct before they are dealt, and are dealt by gram and view, so a gram
+    that all views have is no task's alone.  A view's key may have several rows.
     """
     rows = views.select(F.col(key).alias("id"), F.filter(view_texts() if texts is None else texts, lambda t: t.isNotNull()).alias("texts"))
     lowered = F.transform("texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
     grams = rows.select(F.explode(F.array_distinct(F.flatten(lowered))).alias("gram"), "id")
-    grams = grams.select("gram", "id", _dealt(F.col("gram"), BUCKETS).alias("bucket")).distinct()
+    grams = grams.select("gram", "id", _dealt(F.col("gram"), BUCKETS).alias("bucket"))
     postings = stored(grams.repartition("bucket", _dealt(F.col("id"), 8)).sortWithinPartitions("bucket", "gram"), "postings", ("bucket",))
     slots = rows.withColumn("slot", _dealt(F.col("id"), SLOTS))
     return TextIndex(postings, stored(slots.repartition("slot", _dealt(F.concat(F.lit("-"), F.col("id").cast("string")), 8)).sortWithinPartitions("slot", "id"), "texts", ("slot",)))
@@ -80,7 +80,7 @@ def indexed_search(index: TextIndex, query: str) -> DataFrame:
         return index.texts.where(F.lit(False)).select("id")
     rarest = sorted(grams, key=lambda g: (counts[g], g))[:LOOKED_UP]
     posted = index.postings.where(F.col("bucket").isin(*{buckets[g] for g in rarest}) & F.col("gram").isin(*rarest))
-    candidates = stored(posted.groupBy("id").count().where(F.col("count") == len(rarest)).select("id"), "candidates")
+    candidates = stored(posted.groupBy("id").agg(F.count_distinct("gram").alias("met")).where(F.col("met") == len(rarest)).select("id"), "candidates")
     slots = [r["slot"] for r in candidates.select(_dealt(F.col("id"), SLOTS).alias("slot")).distinct().collect()]  # as many as there are folders
     read = index.texts.where(F.col("slot").isin(*slots)) if slots else index.texts.where(F.lit(False))
     return read.join(candidates, "id", "left_semi").where(matches(F.col("texts"), query)).select("id").distinct()
