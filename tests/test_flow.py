@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import ast
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,50 @@ def test_deep_trees_and_odd_lines_do_not_end_the_job(spark):
     feeds = "x = 1\x0c\n" * 399
     files = spark.createDataFrame([("deep.py", deep), ("brackets.py", brackets), ("feeds.py", feeds), ("nul.py", "a\0b")], "path string, content string")
     assert {(r["path"], r["metric"]) for r in health.health(files).collect()} == {("brackets.py", "syntax"), ("nul.py", "syntax")}
+
+
+def test_equal_texts_are_parsed_once(monkeypatch):
+    parsed = []
+    parse = ast.parse
+    monkeypatch.setattr(ast, "parse", lambda text, *how: parsed.append(text) or parse(text, *how))
+    texts = [f"def same_{k}(x):\n" + "    x += 1\n" * 60 for k in range(3)] + ["def (:\n", "def same_4():\r\n    return\r"]
+    limits = health.Limits()
+    once = [list(health.findings_of(t, limits)) for t in texts]
+    assert [list(health.findings_of(t, limits)) for t in texts * 50] == once * 50 and len(parsed) == len(texts)
+    assert [f[2] for found in once for f in found] == ["function_lines"] * 3 + ["syntax"]
+    # Other limits are another question about the same measures.
+    assert [list(health.findings_of(t, health.Limits(1, 1, 0))) for t in texts][0] == [(None, None, "file_lines", 61, 1), (1, "same_0", "function_lines", 61, 1), (1, "same_0", "complexity", 1, 0)]
+
+
+def test_what_is_kept_of_texts_is_bounded(monkeypatch):
+    monkeypatch.setattr(health, "KEPT", 10)
+    monkeypatch.setattr(health, "_known", {})
+    for k in range(50):
+        assert [f.name for f in health.measured(f"def f{k}(): pass\n").functions] == [f"f{k}"] and len(health._known) <= 10
+    many = "".join(f"def f{k}(): pass\n" for k in range(health.KEPT_FUNCTIONS + 1))
+    assert len(health.measured(many).functions) == len(health.measured(many).functions) == health.KEPT_FUNCTIONS + 1 and many not in health._known and len(health._known) <= 10
+
+
+def test_branches_are_counted_wherever_they_stand():
+    text = """
+@d(1 if a else 2)
+def f(a=b if c else d, *v: (x and y), k=(p or q)) -> (r if s else t):
+    v[i if j else k].w = lambda z=(1 if 2 else 3): z and a and b
+    with (o if p else q) as r, s: pass
+    match (g if h else i):
+        case {"k": [1, *rest], **more} if a or b: del u[a and b]
+        case C(x=1) | (2 as y): x: (int or str) = f"{a if b else c!r:>{d or e}}"
+    for x in (yield a or b): raise E(*[i for i in j if k and l], **{"a": m or n}) from (o and p)
+    try: pass
+    except (A if B else C) as e: assert a, (b or c)
+    type T[U: (a or b)] = int
+    class D((a or b), metaclass=(c if d else e)):
+        x = a < (b and c) < d
+        async def g(self): return await (a or b)
+    print(-(a or b), not (a and b), a[b or c : d : e if f else g], {a: b or c}, {**(d or e)}, (h := i or j))
+"""
+    tree = ast.parse(text)
+    # By brute force over all nodes below.
+    cost = lambda f: 1 + sum(len(n.values) - 1 if type(n) is ast.BoolOp else health._COST.get(type(n), 0) for n in ast.walk(f))
+    plain = {(n.name, n.lineno): cost(n) for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)}
+    assert {(f.name, f.line): f.complexity for f in health.functions_of(tree)} == plain and min(plain.values()) == 2 and max(plain.values()) == 39
