@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerloom.functions.text import contains_lower
 from ledgerloom.operators.ranges import placed
@@ -30,15 +32,22 @@ def search(views: DataFrame, query: str) -> DataFrame:
     return views.where(matches(view_texts(), query))
 
 
-#: Folders that an index's postings and texts are dealt to.
-BUCKETS, SLOTS = 64, 64
+#: Folders that an index's texts are dealt to.
+SLOTS = 64
+#: Characters whose grams a task brings in order at a time, before Spark sorts what all of its runs hold.
+CHARACTERS = 1 << 21
+#: Rows of postings in a page of a file, which is what a query reads for a gram at least.
+PAGE_ROWS = 200
 #: Of a query's grams, so many of the rarest ones are looked up.
 LOOKED_UP = 4
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Stored tables: ``postings (gram, id, bucket)`` and ``texts (id, texts, slot)``, each in folders by its last column."""
+    """Stored tables: ``postings (gram, ids)``, files in order of their grams, and lower-cased ``texts (id, texts, slot)``, in folders by slot.
+
+    A gram is a number, see :func:`_gram`; it has a row in each run of texts that it occurs in, with the texts' ids.
+    """
 
     postings: DataFrame
     texts: DataFrame
@@ -48,19 +57,66 @@ def _dealt(value: Column, parts: int) -> Column:
     return (F.crc32(value.cast("string").cast("binary")) % parts).cast("int")
 
 
+def _gram(characters: str) -> int:
+    """Three code points as one number, 21 bits each."""
+    a, b, c = map(ord, characters)
+    return a << 42 | b << 21 | c
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.diff(values, prepend=-1) != 0]
+
+
+def _grams(texts: list[str] | None) -> np.ndarray:
+    """The distinct trigrams of a row's texts, in order."""
+    found = [np.empty(0, np.int64)]
+    for text in texts or ():
+        for at in range(0, len(text) - 2, CHARACTERS):
+            c = np.frombuffer(text[at : at + CHARACTERS + 2].encode("utf-32-le"), np.uint32).astype(np.int64)
+            found.append(_distinct(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+    return _distinct(np.concatenate(found)) if len(found) > 2 else found[-1]
+
+
+def _posted(ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
+    """``gram, ids`` of a run of rows, from their ids and grams."""
+    grams, places = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    starts = np.flatnonzero(np.diff(grams, prepend=-1))
+    offsets = pa.array(np.append(starts, len(grams)), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(grams[starts]), pa.ListArray.from_arrays(offsets, ids.take(pa.array(places[order])))], ["gram", "ids"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, texts = batch.column("id"), batch.column("texts")
+        first, rows, held = 0, [], 0
+        for k in range(batch.num_rows):
+            rows.append(_grams(texts[k].as_py()))
+            held += len(rows[-1])
+            if held >= CHARACTERS // 4 or k + 1 == batch.num_rows:
+                yield _posted(ids.slice(first, len(rows)), rows)
+                first, rows, held = k + 1, [], 0
+
+
 def index_texts(views: DataFrame, texts: Column | None = None, key: str = "id") -> TextIndex:
-    """The trigrams of all searched texts of ``views``, lower-cased, and the texts themselves.
+    """All searched texts of ``views``, lower-cased, and their trigrams.
 
-    A row's grams are distinct before they are dealt, and are dealt by gram and view, so a gram
-    that all views have is no task's alone.  A view's key may have several rows.
+    Texts are dealt once, and their grams stay where they are read: no row for a gram of a text is made or shuffled.  Each
+    task writes the postings of its texts in order of the grams, so a query reads the pages of its own grams in each file.
+    A view's key may have several rows.
     """
-    rows = views.select(F.col(key).alias("id"), F.filter(view_texts() if texts is None else texts, lambda t: t.isNotNull()).alias("texts"))
-    lowered = F.transform("texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
-    grams = rows.select(F.explode(F.array_distinct(F.flatten(lowered))).alias("gram"), "id")
-    grams = grams.select("gram", "id", _dealt(F.col("gram"), BUCKETS).alias("bucket"))
-    postings = stored(grams.repartition("bucket", _dealt(F.col("id"), 8)).sortWithinPartitions("bucket", "gram"), "postings", ("bucket",))
-    slots = rows.withColumn("slot", _dealt(F.col("id"), SLOTS))
-    return TextIndex(postings, stored(slots.repartition("slot", _dealt(F.concat(F.lit("-"), F.col("id").cast("string")), 8)).sortWithinPartitions("slot", "id"), "texts", ("slot",)))
+    searched = F.filter(view_texts() if texts is None else texts, lambda t: t.isNotNull())
+    slots = views.select(F.col(key).alias("id"), F.transform(searched, F.lower).alias("texts")).withColumn("slot", _dealt(F.col("id"), SLOTS))
+    rows = stored(slots.repartition("slot", _dealt(F.concat(F.lit("-"), F.col("id").cast("string")), 8)).sortWithinPartitions("slot", "id"), "texts", ("slot",))
+    kinds = T.StructType([T.StructField("gram", T.LongType()), T.StructField("ids", T.ArrayType(rows.schema["id"].dataType))])
+    return TextIndex(stored(rows.select("id", "texts").mapInArrow(_runs, kinds).sortWithinPartitions("gram"), "postings", page_rows=PAGE_ROWS), rows)
+
+
+def _holding(texts: DataFrame, wanted: str) -> DataFrame:
+    """``id`` of an index's texts that contain what is wanted."""
+    return texts.where(F.exists("texts", lambda t: F.contains(t, F.lit(wanted))) if wanted else F.lit(True)).select("id").distinct()
 
 
 def indexed_search(index: TextIndex, query: str) -> DataFrame:
@@ -70,20 +126,19 @@ def indexed_search(index: TextIndex, query: str) -> DataFrame:
     query of one or two characters has no gram, and all texts are read.
     """
     wanted = query.strip().lower()
-    grams = sorted({wanted[k : k + 3] for k in range(len(wanted) - 2)})
+    grams = sorted({_gram(wanted[k : k + 3]) for k in range(len(wanted) - 2)})
     if not grams:
-        return index.texts.where(matches(F.col("texts"), query)).select("id").distinct()
-    buckets = {g: zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams}
-    posted = index.postings.where(F.col("bucket").isin(*set(buckets.values())) & F.col("gram").isin(*grams))
-    counts = {r["gram"]: r["count"] for r in posted.groupBy("gram").count().collect()}  # a row per gram of the query
+        return _holding(index.texts, wanted)
+    counts = {r["gram"]: r["n"] for r in index.postings.where(F.col("gram").isin(*grams)).groupBy("gram").agg(F.sum(F.size("ids")).alias("n")).collect()}  # a row per gram of the query
     if len(counts) < len(grams):
         return index.texts.where(F.lit(False)).select("id")
     rarest = sorted(grams, key=lambda g: (counts[g], g))[:LOOKED_UP]
-    posted = index.postings.where(F.col("bucket").isin(*{buckets[g] for g in rarest}) & F.col("gram").isin(*rarest))
-    candidates = stored(posted.groupBy("id").agg(F.count_distinct("gram").alias("met")).where(F.col("met") == len(rarest)).select("id"), "candidates")
+    bit = F.coalesce(*[F.when(F.col("gram") == g, F.lit(1 << k)) for k, g in enumerate(rarest)])
+    posted = index.postings.where(F.col("gram").isin(*rarest)).select(bit.alias("bit"), F.explode("ids").alias("id"))
+    candidates = stored(posted.groupBy("id").agg(F.bit_or("bit").alias("met")).where(F.col("met") == (1 << len(rarest)) - 1).select("id"), "candidates")
     slots = [r["slot"] for r in candidates.select(_dealt(F.col("id"), SLOTS).alias("slot")).distinct().collect()]  # as many as there are folders
     read = index.texts.where(F.col("slot").isin(*slots)) if slots else index.texts.where(F.lit(False))
-    return read.join(candidates, "id", "left_semi").where(matches(F.col("texts"), query)).select("id").distinct()
+    return _holding(read.join(candidates, "id", "left_semi"), wanted)
 
 
 def perspective_rank(perspective: Column) -> Column:

@@ -82,10 +82,13 @@ def created(handle: int, place: str) -> BinaryIO:
     return os.fdopen(os.open(place, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o666, dir_fd=handle), "wb")
 
 
-def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lost executors cost no more than a reread."""
+def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), page_rows: int = 20_000) -> DataFrame:
+    """``df`` written once to the shared folder and read back: lost executors cost no more than a reread.
+
+    Rows that are few and long, and looked up by an order, want fewer of them in a page.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("parquet.page.row.count.limit", page_rows).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[back] = path
     return back

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,36 @@ def test_texts_without_a_candidate_are_not_read(spark):
     assert read[0].metrics().apply("numOutputRows").value() < 2000 / search.SLOTS * 2
 
 
+def test_postings_are_lists_in_order_of_their_grams(spark):
+    rng = random.Random(8)
+    texts = {k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ÄÖ😀") for _ in range(400)) for k in range(1500)}
+    built = search.index_texts(spark.createDataFrame([(k, [t, None]) for k, t in texts.items()], "id long, texts array<string>"), F.col("texts"))
+    plain = {(search._gram(t[k : k + 3]), i) for i, t in ((i, t.lower()) for i, t in texts.items()) for k in range(len(t) - 2)}
+    rows = built.postings.withColumn("file", F.input_file_name()).collect()
+    assert sum(len(r["ids"]) for r in rows) == len(plain) and {(r["gram"], i) for r in rows for i in r["ids"]} == plain and len(rows) < len(plain) / 2
+    for file in {r["file"] for r in rows}:
+        grams = [r["gram"] for r in rows if r["file"] == file]
+        assert grams == sorted(grams)
+    # Of each file, the pages with the gram are read.
+    wanted = built.postings.where(F.col("gram") == search._gram("abc")).select("gram", F.size("ids"))
+    assert 1 <= len(wanted.collect()) <= 16
+    assert scans(wanted._jdf.queryExecution().executedPlan())[0].metrics().apply("numOutputRows").value() < len(rows) / 10
+
+
+@pytest.mark.parametrize("characters", [3, 8, 40, 1 << 21])
+def test_grams_of_runs_and_parts_of_texts(monkeypatch, characters):
+    monkeypatch.setattr(search, "CHARACTERS", characters)
+    rng = random.Random(characters)
+    rows = [(f"v{k % 20}", None if k % 9 == 0 else ["".join(rng.choice("aä😀\0") for _ in range(rng.randint(0, 30))) for _ in range(k % 4)]) for k in range(60)] + [("last", [])]
+    batches = [pa.RecordBatch.from_pylist([{"id": i, "texts": t} for i, t in part], pa.schema([("id", pa.string()), ("texts", pa.list_(pa.string()))])) for part in (rows[:25], rows[25:], [])]
+    found = [(g, i) for batch in search._runs(iter(batches)) for r in batch.to_pylist() for g, i in ((r["gram"], i) for i in r["ids"])]
+    plain = [(g, i) for i, texts in rows for g in {search._gram(t[k : k + 3]) for t in texts or () for k in range(len(t) - 2)}]
+    assert sorted(found) == sorted(plain) and len(plain) > 500
+    for batch in search._runs(iter(batches)):
+        grams = batch.column("gram").to_pylist()
+        assert grams == sorted(set(grams))
+
+
 def test_grid_hits_on_a_long_chart(spark):
     steps = spark.range(10_000).select(F.lit(1).alias("workflow_id"), F.col("id").cast("int").alias("step"), (F.col("id") + 1).cast("int").alias("number"), F.when(F.col("id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("options"))
     shapes = flow.nodes(steps, flow.VERTICAL).cache()
